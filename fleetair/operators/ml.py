@@ -138,12 +138,12 @@ def score_readings(
     A reading with a missing feature gets a NULL class and confidence and the
     name UNKNOWN.
     """
-    probs = dense_layers(F.array(*_scaled(cols, params)), layers)
-    scored = df.withColumn("_probs", probs)
+    scaled = df.withColumn("_x", F.array(*_scaled(cols, params)))
+    scored = scaled.withColumn("_probs", dense_layers(F.col("_x"), layers))
     best, confidence = argmax_class(F.col("_probs"))
     return scored.withColumns({
         "predicted": best, "confidence": confidence, "predicted_name": class_name(best),
-    }).drop("_probs")
+    }).drop("_probs", "_x")
 
 
 def layers_from_table(weights: DataFrame) -> list[Layer]:

@@ -207,8 +207,8 @@ def aqi_band(df: DataFrame, value: str, breakpoints: DataFrame, out: str = "aqi"
         .otherwise(F.raise_error(F.lit("too many bands"))).alias("bands")
     ).scalar()
     x = F.col(value).cast("double")
-    hit = F.get(F.filter(bands, lambda b: (b["lo"] <= x) & (x < b["hi"])), F.lit(0))
-    with_hit = df.withColumn("_band", hit)
+    hit = F.get(F.filter("_bands", lambda b: (b["lo"] <= x) & (x < b["hi"])), F.lit(0))
+    with_hit = df.withColumn("_bands", bands).withColumn("_band", hit).drop("_bands")
     b = F.col("_band")
     share = (x - b["lo"]) / (b["hi"] - b["lo"])
     index = b["index_lo"] + share * (b["index_hi"] - b["index_lo"])

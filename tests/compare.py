@@ -11,6 +11,12 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "embeddings pages benchmark labels conversations").split()
 
 
+SAME_TYPE = {
+    "BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string",
+    "BOOLEAN": "boolean", "TIMESTAMP": "timestamp_ntz", "DATE": "date", "BLOB": "binary",
+}
+
+
 def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for t in TABLES:
@@ -43,6 +49,10 @@ def differences(df, con, sql: str) -> str | None:
     got_names, got = _sorted(df.columns, [tuple(r) for r in df.collect()])
     if got_names != want_names:
         return f"columns {got_names} != {want_names}"
+    types = {c[0]: SAME_TYPE.get(str(c[1]), str(c[1])) for c in res.description}
+    wrong = [f"{n}: {t} != {types[n]}" for n, t in df.dtypes if t != types[n]]
+    if wrong:
+        return f"types {wrong}"
     if len(got) != len(want):
         return f"{len(got)} rows != {len(want)}"
     if not got:
