@@ -213,7 +213,7 @@ def m4(spark, d):
     rows = feature_rows(spark, d)
     train, test = ml.stratified_split(rows, "vec_id", "label")
     params = ml.fit_scaler(train, FEATURES)
-    model = ml.train_mlp(ml.standardise(train, FEATURES, params), FEATURES, rounds=50)
+    model = ml.train_mlp(ml.standardise(train, FEATURES, params), FEATURES, rounds=20)
     scored = ml.score_readings(test, params, ml.layers_from_mlp(model))
     return metrics.classification_report(scored, "label", "predicted", CLASSES)
 

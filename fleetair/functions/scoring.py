@@ -13,17 +13,7 @@ from pyspark.sql import functions as F
 Layer = dict[str, Any]  # {"w": [[...]] one row per output, "b": [...], "act": name}
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    e = np.exp(z - z.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
-
-
-ACTIVATIONS = {
-    "linear": lambda z: z,
-    "relu": lambda z: np.maximum(z, 0.0),
-    "sigmoid": lambda z: 1.0 / (1.0 + np.exp(-z)),
-    "softmax": _softmax,
-}
+ACTIVATIONS = ("linear", "relu", "sigmoid", "softmax")
 
 
 def dense_layers(features: Column, layers: Sequence[Layer]) -> Column:
@@ -41,14 +31,24 @@ def dense_layers(features: Column, layers: Sequence[Layer]) -> Column:
     if unknown:
         raise ValueError(f"unknown activations {unknown}; known: {set(ACTIVATIONS)}")
     width, n_out = net[0][0].shape[0], net[-1][0].shape[1]
-    activations = {act: ACTIVATIONS[act] for _, _, act in net}
+
+    # Nested, so that it travels by value and executors need not have the package.
+    def activate(z: np.ndarray, act: str) -> np.ndarray:
+        if act == "relu":
+            return np.maximum(z, 0.0)
+        if act == "sigmoid":
+            return 1.0 / (1.0 + np.exp(-z))
+        if act == "softmax":
+            e = np.exp(z - z.max(axis=1, keepdims=True))
+            return e / e.sum(axis=1, keepdims=True)
+        return z
 
     @F.arrow_udf("array<double>")
     def forward(batch: pa.Array) -> pa.Array:
         n = len(batch)
         x = batch.flatten().to_numpy(zero_copy_only=False).reshape(n, width)
         for w, b, act in net:
-            x = activations[act](x @ w + b)
+            x = activate(x @ w + b, act)
         offsets = pa.array(np.arange(n + 1, dtype=np.int32) * n_out)
         return pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))
 

@@ -102,22 +102,25 @@ def fit_scaler(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return row.select(F.explode(F.array(*rows)).alias("p")).select("p.*")
 
 
-def _scaled(cols: Sequence[str], params: DataFrame) -> list[Column]:
-    """Scaled columns; the parameters are one row, read as a scalar subquery."""
+def _with_params(df: DataFrame, cols: Sequence[str], params: DataFrame) -> DataFrame:
+    """Add ``_p``: the parameters of ``cols``, one row read as a scalar subquery."""
     fields = [
         F.max(F.when(F.col("feature") == c, F.struct("mean", "scale"))).alias(f"p{i}")
         for i, c in enumerate(cols)
     ]
-    p = params.agg(F.struct(*fields).alias("p")).scalar()
+    return df.withColumn("_p", params.agg(F.struct(*fields).alias("p")).scalar())
+
+
+def _scaled(cols: Sequence[str]) -> list[Column]:
     return [
-        (F.col(c).cast("double") - p[f"p{i}"]["mean"]) / p[f"p{i}"]["scale"]
+        (F.col(c).cast("double") - F.col(f"_p.p{i}.mean")) / F.col(f"_p.p{i}.scale")
         for i, c in enumerate(cols)
     ]
 
 
 def standardise(df: DataFrame, cols: Sequence[str], params: DataFrame) -> DataFrame:
     """(x - mean) / scale with parameters fitted on the training rows."""
-    return df.withColumns(dict(zip(cols, _scaled(cols, params))))
+    return _with_params(df, cols, params).withColumns(dict(zip(cols, _scaled(cols)))).drop("_p")
 
 
 def dense_score(
@@ -138,12 +141,12 @@ def score_readings(
     A reading with a missing feature gets a NULL class and confidence and the
     name UNKNOWN.
     """
-    scaled = df.withColumn("_x", F.array(*_scaled(cols, params)))
+    scaled = _with_params(df, cols, params).withColumn("_x", F.array(*_scaled(cols)))
     scored = scaled.withColumn("_probs", dense_layers(F.col("_x"), layers))
     best, confidence = argmax_class(F.col("_probs"))
     return scored.withColumns({
         "predicted": best, "confidence": confidence, "predicted_name": class_name(best),
-    }).drop("_probs", "_x")
+    }).drop("_probs", "_x", "_p")
 
 
 def layers_from_table(weights: DataFrame) -> list[Layer]:

@@ -120,18 +120,22 @@ def write_sensor_log(
     Rows are cut by (device, time) range before the write: each task holds a
     stretch of few devices, so a folder gets few files, and a hot device is
     shared by many tasks. A day per folder would make thirty times as many.
-    ``csv`` writes the fixed decimals and a header per file.
+    ``csv`` writes the log columns only, with their fixed decimals and a header
+    per file.
     """
     if fmt not in ("parquet", "csv"):
         raise ValueError(f"unknown log format {fmt!r}")
     if fmt == "csv":
         rounded = df.withColumns({c: _fixed(c) for c in LOG_DECIMALS if c in df.columns})
+        columns = [f.name for f in LOG.fields if f.name in df.columns]
     else:
         rounded = log_decimals(df)
+        columns = [c for c in df.columns if c != "device_id"]
     (
         rounded.withColumn("period", F.date_format(ts, "yyyy-MM"))
         .repartitionByRange("device_id", ts)
         .sortWithinPartitions("device_id", ts)
+        .select(*columns, "device_id", "period")
         .write.partitionBy("device_id", "period").mode(mode)
         .option("header", True).option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
         .format(fmt).save(path)

@@ -13,7 +13,7 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 
 SAME_TYPE = {
     "BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string",
-    "BOOLEAN": "boolean", "TIMESTAMP": "timestamp_ntz", "DATE": "date", "BLOB": "binary",
+    "BOOLEAN": "boolean", "TIMESTAMP": "timestamp_ntz", "DATE": "date", "BLOB": "binary", "SMALLINT": "smallint",
 }
 
 
