@@ -14,7 +14,7 @@ from fleetair.functions.codes import (
 )
 from fleetair.operators import asof, metrics, pairing, quality
 from fleetair.operators import timeseries as ts_ops
-from fleetair.plans.timeline import Slices
+from fleetair.plans.timeline import Slices, plan_slices
 from fleetair.schema import UNLABELED
 from fleetair.sources import adapters as ad
 
@@ -84,9 +84,12 @@ FROM r ASOF LEFT JOIN c ON r.device_id = c.device_id AND r.ts >= c.ts
 def flagship(spark, d):
     """Pair both sides, attach the label in force, count per device and label."""
     e = ad.events(spark, d)
-    pairs = paired(ad.readings_of(e))
+    readings = ad.readings_of(e)
+    # Measured once: pairs are a subset of the readings.
+    slices = plan_slices(readings, "device_id", "ts")
     labels = asof.label_asof(
-        pairs, label_commands(ad.commands_of(e)), "device_id", "ts", "event_id"
+        paired(readings, slices), label_commands(ad.commands_of(e)), "device_id", "ts",
+        "event_id", slices,
     )
     return labels.groupBy("device_id", F.col("label").cast("int").alias("label")).agg(
         F.count(F.lit(1)).alias("rows"), F.round(F.avg("value_a"), 6).alias("mean_a"),

@@ -31,9 +31,12 @@ def last_before(
     struct is ``_state``, NULL before the first update.
     """
     key = as_list(key)
+    # Keys and time stay columns of their own: what follows can rely on the
+    # partitioning by key.
+    rest = [c for c in df.columns if c not in (*key, ts)]
     rows = df.select(
         *key, ts, F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_tie"),
-        F.struct(*df.columns).alias("_row"), F.lit(None).alias("_value"),
+        F.struct(F.lit(True).alias("_"), *rest).alias("_row"), F.lit(None).alias("_value"),
     )
     states = updates.select(
         *key, ts, F.lit(0).alias("_kind"),
@@ -42,7 +45,8 @@ def last_before(
     )
     line = Timeline(rows.unionByName(states), key, [ts, "_kind", "_tie"], slices)
     line = line.scan(last={"_state": F.col("_value")})
-    return line.df.where("_kind = 1").select("_row.*", "_state")
+    columns = [F.col(f"_row.{c}").alias(c) if c in rest else F.col(c) for c in df.columns]
+    return line.df.where("_kind = 1").select(*columns, "_state")
 
 
 def label_asof(

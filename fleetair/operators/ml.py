@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from fleetair.functions.codes import class_name
 from fleetair.functions.scoring import Layer, argmax_class, dense_layers
 from fleetair.operators.metrics import rank_features
+from fleetair.plans.joins import estimated_bytes
+from fleetair.plans.timeline import SMALL_INPUT_BYTES
 from fleetair.schema import CLASS_NAMES, FEATURES
 
 # More strata than this is an id, not a label.
@@ -33,11 +35,13 @@ def assign_split(
     label can hold most of the table, so nothing ranks a whole label: counts per
     leading hash digits find where each label is cut, rows on either side are
     settled where they are read, and only those sharing the digits at the cut
-    (one in 65,536) are ranked. A NULL label has no stratum and no side.
+    (one in 65,536 of a large table) are ranked. A NULL label has no stratum and
+    no side.
     """
+    digits = 2 if estimated_bytes(df) < SMALL_INPUT_BYTES else 4
     digest = F.md5(F.concat(F.col(id).cast("string"), F.lit(str(seed))))
-    bucket = F.conv(F.substring("_h", 1, 4), 16, 10).cast("int")
-    hashed = df.withColumn("_h", digest).withColumn("_b", bucket)
+    # Hexadecimal digits sort as text just as the numbers do.
+    hashed = df.withColumn("_h", digest).withColumn("_b", F.substring("_h", 1, digits))
     stratum = F.col(label).cast("string")
 
     w = Window.partitionBy("_l")

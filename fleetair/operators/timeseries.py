@@ -92,8 +92,9 @@ def trailing_means(
     """
     key = as_list(key)
     all_widths = sorted({s for outs in widths.values() for s in outs.values()})
+    rest = [c for c in df.columns if c not in key]
     wide = df.select(
-        *key, F.struct(*df.columns).alias("_row"), position(df, ts).alias("_t"),
+        *key, F.struct(*rest).alias("_row"), position(df, ts).alias("_t"),
         *[F.col(c).cast("decimal(28,12)").alias(f"_v_{c}") for c in widths],
     )
     moves = F.array(
@@ -122,7 +123,8 @@ def trailing_means(
                F.col(f"_s_{c}_{s}").cast("double") / F.col(f"_n_{c}_{s}")).alias(name)
         for c, outs in widths.items() for name, s in outs.items()
     ]
-    return line.df.where("_w = 0").select("_row.*", *means)
+    columns = [F.col(c) if c in key else F.col(f"_row.{c}").alias(c) for c in df.columns]
+    return line.df.where("_w = 0").select(*columns, *means)
 
 
 # How many rows a block of a re-cut hot key holds.

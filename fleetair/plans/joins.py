@@ -12,7 +12,7 @@ MAX_BROADCAST_BYTES = 128 * 1024 * 1024
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of the optimised plan; huge when unknown."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     except Exception:  # no JVM handle on this session
         return 1 << 62
 

@@ -48,12 +48,14 @@ def union_logs(*dfs: DataFrame) -> DataFrame:
 def _parse(df: DataFrame, col: str, fields: list[tuple[str, str]], min_good: int) -> DataFrame:
     """Positional parse. Fields from the first bad one on are NULL; ``line_ok``
     tells whether enough fields came before it."""
-    parts = F.split(F.btrim(F.col(col), F.lit(" \r\n")), ",")
-    values = F.struct(*[
-        F.trim(F.get(parts, F.lit(i))).try_cast(kind).alias(name)
-        for i, (name, kind) in enumerate(fields)
-    ])
-    parsed = df.withColumn("_v", values)
+    schema = ", ".join(f"{name} {kind}" for name, kind in fields)
+    options = {"mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "true",
+               "ignoreTrailingWhiteSpace": "true"}
+    # A field that does not parse is NULL; the others keep their values. The
+    # explode of one element keeps the filter on the fields above the parse;
+    # pushed below, it would parse the line again for each field it looks at.
+    values = F.from_csv(F.btrim(F.col(col), F.lit(" \r\n")), schema, options)
+    parsed = df.select("*", F.explode(F.array(values)).alias("_v"))
     missing = F.array(*[F.col(f"_v.{name}").isNull() for name, _ in fields])
     parsed = parsed.withColumn("_bad", F.array_position(missing, True))
     before_bad = {
