@@ -234,6 +234,26 @@ def t2(spark, d):
     return _ntz(out, "ts")
 
 
+def w3_stream(spark, d):
+    r = ad.readings(spark, d).select("device_id", "event_id", "ts", "value")
+    out = collected(spark, st.stream_cadence(
+        staged(spark, r), "device_id", "ts", "event_id", 18000, "0 seconds"))
+    return _ntz(out.where("device_id >= 0"), "ts")
+
+
+CADENCE_SQL = f"""
+WITH RECURSIVE n AS (
+  SELECT device_id, event_id, ts, value, epoch_us(ts) AS us,
+         row_number() OVER (PARTITION BY device_id ORDER BY ts, event_id) AS i FROM ({ad.READINGS_SQL})),
+walk AS (
+  SELECT n.*, us + 18000000000 AS next_call, TRUE AS taken FROM n WHERE i = 1
+  UNION ALL
+  SELECT n.*, CASE WHEN n.us >= next_call THEN n.us + 18000000000 ELSE next_call END, n.us >= next_call
+  FROM walk w JOIN n ON n.device_id = w.device_id AND n.i = w.i + 1)
+SELECT device_id, event_id, ts, value FROM walk WHERE taken
+"""
+
+
 def rollup(kind, **options):
     def query(spark, d):
         r = staged(spark, ad.readings(spark, d))
@@ -301,6 +321,7 @@ QUERIES = {
     "t3_stream_rollup_session": rollup("session", gap="5 hours"),
     "t4_stream_score": t4,
     "t5_stream_dedup": t5,
+    "w3_cadence_exact_stream": w3_stream,
 }
 SQL = {
     "s1_scan_sensor_log": LOG_SQL,
@@ -318,5 +339,6 @@ SELECT * REPLACE (CASE WHEN device_id = 'dev 1' THEN 1.5e0 ELSE temperature END
     "t3_stream_rollup_sliding": SLIDING_SQL,
     "t3_stream_rollup_session": SESSION_SQL,
     "t4_stream_score": models.SCORED_SQL,
+    "w3_cadence_exact_stream": CADENCE_SQL,
     "t5_stream_dedup": f"SELECT DISTINCT device_id, date_trunc('hour', ts) AS ts FROM ({ad.READINGS_SQL})",
 }

@@ -19,6 +19,7 @@ from fleetair.functions.codes import class_name
 from fleetair.functions.scoring import Layer, argmax_class, dense_layers
 from fleetair.operators.metrics import rank_features
 from fleetair.plans.joins import estimated_bytes
+from fleetair.plans.scratch import cut_lineage
 from fleetair.plans.timeline import SMALL_INPUT_BYTES
 from fleetair.schema import CLASS_NAMES, FEATURES
 
@@ -27,7 +28,8 @@ MAX_STRATA = 10_000
 
 
 def assign_split(
-    df: DataFrame, id: str, label: str, frac: float = 0.2, seed: int = 42
+    df: DataFrame, id: str, label: str, frac: float = 0.2, seed: int = 42,
+    digits: int | None = None,
 ) -> DataFrame:
     """Add ``is_test``: exactly ``ceil(frac * n)`` rows of every label.
 
@@ -38,7 +40,8 @@ def assign_split(
     (one in 65,536 of a large table) are ranked. A NULL label has no stratum and
     no side.
     """
-    digits = 2 if estimated_bytes(df) < SMALL_INPUT_BYTES else 4
+    if digits is None:
+        digits = 2 if estimated_bytes(df) < SMALL_INPUT_BYTES else 4
     digest = F.md5(F.concat(F.col(id).cast("string"), F.lit(str(seed))))
     # Hexadecimal digits sort as text just as the numbers do.
     hashed = df.withColumn("_h", digest).withColumn("_b", F.substring("_h", 1, digits))
@@ -56,25 +59,26 @@ def assign_split(
     )
     below = F.col("upto") - F.col("n")
     cuts = hist.where((below < F.col("take")) & (F.col("upto") >= F.col("take")))
-    entry = F.struct(
-        F.col("_l"), F.struct(F.col("_b").alias("at"), (F.col("take") - below).alias("need"))
-    )
-    cut = cuts.agg(
-        F.when(F.count(F.lit(1)) <= MAX_STRATA, F.map_from_entries(F.collect_list(entry)))
-        .otherwise(F.raise_error(F.lit("too many strata"))).alias("cut")
-    ).scalar()
+    # One row per label, fetched now: a label has one cut.
+    found = cuts.select("_l", "_b", (F.col("take") - below).alias("need")).limit(MAX_STRATA + 1).collect()
+    if len(found) > MAX_STRATA:
+        raise ValueError(f"{label} has more than {MAX_STRATA} values")
 
-    placed = hashed.withColumn("_cut", F.try_element_at(cut, stratum))
-    at = F.col("_cut.at")
+    def per_label(i: int, kind: str) -> Column:
+        pairs = [x for r in found for x in (F.lit(r["_l"]), F.lit(r[i]))]
+        by_label = F.create_map(*pairs).cast(f"map<string,{kind}>")
+        return F.try_element_at(by_label, stratum) if found else F.lit(None).cast(kind)
+
+    at, need = per_label(1, "string"), per_label(2, "bigint")
     on_cut = F.coalesce(F.col("_b") == at, F.lit(False))
-    settled = placed.where(~on_cut).withColumn(
+    settled = hashed.where(~on_cut).withColumn(
         "is_test", F.when(F.col(label).isNotNull(), F.coalesce(F.col("_b") < at, F.lit(False)))
     )
-    ranked = placed.where(on_cut).withColumn(
+    ranked = hashed.where(on_cut).withColumn(
         "is_test",
-        F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", id)) <= F.col("_cut.need"),
+        F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", id)) <= need,
     )
-    return settled.unionByName(ranked).drop("_h", "_b", "_cut")
+    return settled.unionByName(ranked).drop("_h", "_b")
 
 
 def stratified_split(
@@ -106,25 +110,23 @@ def fit_scaler(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return row.select(F.explode(F.array(*rows)).alias("p")).select("p.*")
 
 
-def _with_params(df: DataFrame, cols: Sequence[str], params: DataFrame) -> DataFrame:
-    """Add ``_p``: the parameters of ``cols``, one row read as a scalar subquery."""
-    fields = [
-        F.max(F.when(F.col("feature") == c, F.struct("mean", "scale"))).alias(f"p{i}")
-        for i, c in enumerate(cols)
-    ]
-    return df.withColumn("_p", params.agg(F.struct(*fields).alias("p")).scalar())
-
-
-def _scaled(cols: Sequence[str]) -> list[Column]:
+def _scaled(cols: Sequence[str], params: DataFrame) -> list[Column]:
+    """Scaled columns. The parameters, two numbers per feature, are fetched once
+    and become literals."""
+    rows = params.where(F.col("feature").isin(list(cols))).limit(len(cols) + 1).collect()
+    fitted = {r["feature"]: (r["mean"], r["scale"]) for r in rows}
+    if set(fitted) != set(cols) or len(rows) != len(fitted):
+        raise ValueError(f"need one row of parameters per feature, have {sorted(fitted)}")
     return [
-        (F.col(c).cast("double") - F.col(f"_p.p{i}.mean")) / F.col(f"_p.p{i}.scale")
-        for i, c in enumerate(cols)
+        (F.col(c).cast("double") - F.lit(fitted[c][0]).cast("double"))
+        / F.lit(fitted[c][1]).cast("double")
+        for c in cols
     ]
 
 
 def standardise(df: DataFrame, cols: Sequence[str], params: DataFrame) -> DataFrame:
     """(x - mean) / scale with parameters fitted on the training rows."""
-    return _with_params(df, cols, params).withColumns(dict(zip(cols, _scaled(cols)))).drop("_p")
+    return df.withColumns(dict(zip(cols, _scaled(cols, params))))
 
 
 def dense_score(
@@ -145,12 +147,12 @@ def score_readings(
     A reading with a missing feature gets a NULL class and confidence and the
     name UNKNOWN.
     """
-    scaled = _with_params(df, cols, params).withColumn("_x", F.array(*_scaled(cols)))
+    scaled = df.withColumn("_x", F.array(*_scaled(cols, params)))
     scored = scaled.withColumn("_probs", dense_layers(F.col("_x"), layers))
     best, confidence = argmax_class(F.col("_probs"))
     return scored.withColumns({
         "predicted": best, "confidence": confidence, "predicted_name": class_name(best),
-    }).drop("_probs", "_x", "_p")
+    }).drop("_probs", "_x")
 
 
 def layers_from_table(weights: DataFrame) -> list[Layer]:
@@ -185,7 +187,7 @@ def train_trees(
 ) -> OneVsRestModel:
     """Boosted trees, one binary ensemble per class."""
     gbt = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed)
-    return OneVsRest(classifier=gbt).fit(_vectors(df, features, label))
+    return OneVsRest(classifier=gbt).fit(cut_lineage(_vectors(df, features, label)))
 
 
 def train_mlp(
@@ -194,7 +196,7 @@ def train_mlp(
 ) -> MultilayerPerceptronClassificationModel:
     """A dense network of the given sizes; its hidden units are sigmoid."""
     mlp = MultilayerPerceptronClassifier(layers=list(layers), maxIter=rounds, seed=seed)
-    return mlp.fit(_vectors(df, features, label))
+    return mlp.fit(cut_lineage(_vectors(df, features, label)))
 
 
 def predict(model, df: DataFrame, features: Sequence[str] | str, label: str = "label") -> DataFrame:

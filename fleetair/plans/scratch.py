@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -13,7 +13,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
     A session that names none is a local one, where a temporary folder will do.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="fleetair-")
+    base = _shared_folder(spark) or tempfile.mkdtemp(prefix="fleetair-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _shared_folder(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint a table that is about to be read many times.
+
+    Later jobs start from the files, also after executors are lost.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(
+            _shared_folder(spark) or tempfile.mkdtemp(prefix="fleetair-")
+        )
+    return df.checkpoint()

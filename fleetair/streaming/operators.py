@@ -103,6 +103,31 @@ def stream_label(
     return ordered_stream(both, keys, ts, ["_kind", id], watermark, step, output)
 
 
+def stream_cadence(
+    df: DataFrame, key, ts: str, id: str, seconds: float, watermark: str = "1 minute"
+) -> DataFrame:
+    """Take a row only once its time has reached the next call.
+
+    The next call is ``seconds`` after the last row taken, so what is taken
+    depends on all that went before; ``cadence_sample`` is the fixed-grid form.
+    """
+    keys = as_list(key)
+    names, wait = df.columns, pd.Timedelta(seconds=seconds)
+
+    def step(rows: pd.DataFrame, carried: pd.DataFrame | None):
+        times = rows[ts].to_numpy()
+        next_call = times[0] if carried is None else (carried[ts].iloc[0] + wait).to_datetime64()
+        taken, i = [], int(np.searchsorted(times, next_call))
+        while i < len(times):
+            taken.append(i)
+            i = int(np.searchsorted(times, times[i] + wait.to_timedelta64()))
+        out = rows.iloc[taken][names]
+        return out, out.tail(1) if taken else carried
+
+    output = T.StructType(_fields(df, names))
+    return ordered_stream(df, keys, ts, [id], watermark, step, output)
+
+
 def stream_rollup(
     df: DataFrame, key, ts: str, cols: Sequence[str], kind: str = "tumbling",
     width: str = "1 minute", slide: str | None = None, gap: str = "5 minutes",

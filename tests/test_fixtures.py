@@ -255,6 +255,15 @@ def test_split_counts_and_disjoint(spark):
     assert train.join(test, "id").count() == 0
 
 
+def test_split_does_not_depend_on_the_digits(spark):
+    df = spark.range(5000).withColumn("label", (F.col("id") % 2).cast("int"))
+    got = [
+        {r.id for r in ml.assign_split(df, "id", "label", 0.3, 7, digits).where("is_test").collect()}
+        for digits in (1, 2, 4, 32)
+    ]
+    assert len(got[0]) == 1500 and all(g == got[0] for g in got)
+
+
 def test_report_on_empty_class(spark):
     df = spark.createDataFrame([(0, 0), (0, 1), (1, 1)], "y int, p int")
     out = {r["class"]: r for r in metrics.classification_report(df, "y", "p", [0, 1, 2]).collect()}
