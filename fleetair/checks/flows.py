@@ -264,6 +264,13 @@ def rollup(kind, **options):
     return query
 
 
+def table_sessions(spark, d):
+    r = ad.readings(spark, d)
+    out = st.stream_rollup(
+        r, "device_id", "ts", ["value"], "session", gap="5 hours", watermark=None)
+    return out.withColumn("value_mean", F.round("value_mean", 6))
+
+
 TUMBLING_SQL = f"""
 SELECT device_id, time_bucket(INTERVAL 1 HOUR, ts) AS start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS "end",
        count(*) AS rows, round(avg(value), 6) AS value_mean
@@ -319,6 +326,7 @@ QUERIES = {
     "t3_stream_rollup_tumbling": rollup("tumbling", width="1 hour"),
     "t3_stream_rollup_sliding": rollup("sliding", width="1 hour", slide="20 minutes"),
     "t3_stream_rollup_session": rollup("session", gap="5 hours"),
+    "t3_table_sessions": table_sessions,
     "t4_stream_score": t4,
     "t5_stream_dedup": t5,
     "w3_cadence_exact_stream": w3_stream,
@@ -338,6 +346,7 @@ SELECT * REPLACE (CASE WHEN device_id = 'dev 1' THEN 1.5e0 ELSE temperature END
     "t3_stream_rollup_tumbling": TUMBLING_SQL,
     "t3_stream_rollup_sliding": SLIDING_SQL,
     "t3_stream_rollup_session": SESSION_SQL,
+    "t3_table_sessions": SESSION_SQL,
     "t4_stream_score": models.SCORED_SQL,
     "w3_cadence_exact_stream": CADENCE_SQL,
     "t5_stream_dedup": f"SELECT DISTINCT device_id, date_trunc('hour', ts) AS ts FROM ({ad.READINGS_SQL})",

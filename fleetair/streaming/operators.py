@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from fleetair.functions.scoring import Layer
 from fleetair.operators.ml import score_readings
-from fleetair.plans.timeline import as_list
+from fleetair.plans.timeline import Slices, Timeline, as_list
 from fleetair.schema import DEFAULT_LABEL, FEATURES, UNLABELED_NAME
 from fleetair.streaming.ordered import ordered_stream
 
@@ -131,12 +131,14 @@ def stream_cadence(
 def stream_rollup(
     df: DataFrame, key, ts: str, cols: Sequence[str], kind: str = "tumbling",
     width: str = "1 minute", slide: str | None = None, gap: str = "5 minutes",
-    watermark: str | None = "1 minute",
+    watermark: str | None = "1 minute", slices: Slices | None = None,
 ) -> DataFrame:
     """Averages per key over tumbling, sliding or session windows.
 
-    The same plan on a batch table (``watermark=None``) and on a stream.
+    The same on a batch table (``watermark=None``) and on a stream.
     """
+    if kind == "session" and not df.isStreaming:
+        return _table_sessions(df, as_list(key), ts, cols, gap, slices)
     if kind == "tumbling":
         window = F.window(ts, width)
     elif kind == "sliding":
@@ -152,6 +154,25 @@ def stream_rollup(
              "rows", *[f"{c}_mean" for c in cols])
 
 
+def _table_sessions(
+    df: DataFrame, keys: list[str], ts: str, cols: Sequence[str], gap: str,
+    slices: Slices | None,
+) -> DataFrame:
+    """Sessions of a whole table: ``session_window`` merges all rows of a key in
+    one task, which a hot key of a table, unlike one of a micro-batch, overfills."""
+    length = F.expr(f"INTERVAL '{gap}'")
+    line = Timeline(df, keys, ts, slices).scan(lag={"_prev": F.col(ts)})
+    fresh = F.col("_prev").isNull() | (F.col(ts) > F.col("_prev") + length)
+    # Rows of one time are one session, whichever of them comes first.
+    line = line.with_columns(_fresh=fresh.cast("long")).scan(
+        total={"_session": F.col("_fresh")}, peers=True
+    )
+    return line.df.groupBy(*keys, "_session").agg(
+        F.min(ts).alias("start"), (F.max(ts) + length).alias("end"),
+        F.count(F.lit(1)).alias("rows"), *[F.avg(c).alias(f"{c}_mean") for c in cols],
+    ).drop("_session")
+
+
 def stream_score(
     df: DataFrame, params: DataFrame, layers: Sequence[Layer], path: str, checkpoint: str,
     cols: Sequence[str] = FEATURES, available_now: bool = False,

@@ -162,3 +162,25 @@ def test_first_per_group_keeps_every_group(spark):
     got = first_per_group(df, "k", ["v", "id"], count="n").collect()
     assert {(r.k, r.v, r.id) for r in got} == {(k, *x) for k, x in best.items()}
     assert sum(r.n for r in got) == 2000
+
+
+def test_table_sessions(spark):
+    """Equal to Spark's session windows, with ties and gaps of just the length."""
+    from fleetair.streaming.operators import stream_rollup
+
+    df = spark.range(400).select(
+        (F.col("id") % 3).alias("k"),
+        F.timestamp_seconds(F.floor(F.col("id") / 4) * 150 % 7919).alias("ts"),
+        F.col("id").cast("double").alias("v"),
+    )
+    edges = spark.createDataFrame([(9, t, 1.0) for t in (0, 300, 601, 602)], "k long, t long, v double")
+    df = df.unionByName(edges.select("k", F.timestamp_seconds("t").alias("ts"), "v"))
+    spark_own = df.groupBy("k", F.session_window("ts", "5 minutes").alias("w")).agg(
+        F.count(F.lit(1)).alias("rows"), F.avg("v").alias("v_mean")
+    ).select("k", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "rows", "v_mean")
+
+    def ours(slices=None):
+        return stream_rollup(df, "k", "ts", ["v"], "session", gap="5 minutes", watermark=None, slices=slices)
+
+    assert rows(ours()) == rows(spark_own)
+    assert rows(ours(plan_slices(df, "k", "ts", 20))) == rows(spark_own)
