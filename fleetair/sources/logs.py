@@ -136,7 +136,8 @@ def write_sensor_log(
     (
         rounded.withColumn("period", F.date_format(ts, "yyyy-MM"))
         .repartitionByRange("device_id", ts)
-        .sortWithinPartitions("device_id", ts)
+        # The writer wants its folders in order; with them first it keeps our sort.
+        .sortWithinPartitions("device_id", "period", ts)
         .select(*columns, "device_id", "period")
         .write.partitionBy("device_id", "period").mode(mode)
         .option("header", True).option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
@@ -152,7 +153,7 @@ def replace_log(df: DataFrame, path: str, device: str, ts: str = "ts") -> None:
     mine = log_decimals(df.where(F.col("device_id") == device)).drop("device_id")
     (
         mine.withColumn("period", F.date_format(ts, "yyyy-MM"))
-        .repartitionByRange(ts).sortWithinPartitions(ts)
+        .repartitionByRange(ts).sortWithinPartitions("period", ts)
         .write.partitionBy("period").mode("overwrite")
         .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
         .parquet(f"{path}/device_id={quote(str(device), safe=' ')}")

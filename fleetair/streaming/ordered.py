@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -30,7 +31,7 @@ def ordered_stream(
 
     ``step`` must be a closure over plain values: it travels to the executors by
     value. The buffer of a key holds at most one watermark delay of rows plus
-    one batch.
+    one batch. Rows without a time have no place in the order and are left out.
     """
     keys, order = as_list(key), [ts, *tie]
 
@@ -65,11 +66,12 @@ def ordered_stream(
         state.update((pack(rest), carried))
         if rest is not None and not rest.empty:
             first_ms = rest[ts].min().value // 1_000_000
-            state.setTimeoutTimestamp(max(limit, first_ms - 1))
+            state.setTimeoutTimestamp(max(limit, first_ms - 1, 1))
 
     names = output.fieldNames()
     return (
-        df.withWatermark(ts, watermark)
+        df.where(F.col(ts).isNotNull())
+        .withWatermark(ts, watermark)
         .groupBy(*keys)
         .applyInPandasWithState(
             advance, output, "pending binary, carried binary", "append",

@@ -15,6 +15,8 @@ def test_csv_has_fixed_decimals_and_one_header_per_file(spark, sf, tmp_path):
     assert files
     with open(files[0]) as f:
         header, first = f.readline().strip().split(","), f.readline().strip().split(",")
+        times = [int(line.split(",")[0]) for line in f]
+    assert times == sorted(times) and len(times) > 5
     assert header[0] == "timestamp_ms" and header[-1] == "event_name" and len(header) == 19
     row = dict(zip(header, first))
     for name, digits in (("temperature", 2), ("iaq", 1), ("o3_ppb", 3), ("rmox_3", 3)):
