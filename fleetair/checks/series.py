@@ -68,9 +68,10 @@ def w6(spark, d):
                       F.round("value_log_var", 6).alias("value_log_var"))
 
 
+# A zero has no logarithm and is left out of both.
 LOG_STATS_SQL = """
-SELECT event_id, round(avg(ln(value)) OVER w, 6) AS value_log_mean,
-       round(var_pop(ln(value)) OVER w, 6) AS value_log_var
+SELECT event_id, round(avg(CASE WHEN value > 0 THEN ln(value) END) OVER w, 6) AS value_log_mean,
+       round(var_pop(CASE WHEN value > 0 THEN ln(value) END) OVER w, 6) AS value_log_var
 FROM events
 WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 31 PRECEDING AND CURRENT ROW)
 """

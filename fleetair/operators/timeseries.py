@@ -137,6 +137,8 @@ def log_resistance_stats(
 ) -> DataFrame:
     """Mean and variance of ln(resistance) over the last ``rows`` rows.
 
+    Values without a logarithm (zero, negative, NULL) are left out of both.
+
     Hot keys are numbered and re-cut into blocks, each of which also receives
     the ``rows - 1`` rows before it, so a frame never leaves its block.
     """
