@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetair.plans.scratch import scratch_path
+
 _HASH_STEPS = 1_000_000
 
 
@@ -39,3 +41,13 @@ def bounded_sample(df: DataFrame, key: str, label: str, per_label: int) -> DataF
         ).otherwise(share)
     position = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(_HASH_STEPS))
     return df.where(F.col(label).isNotNull() & (position < share))
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared scratch folder and read it again.
+
+    Later jobs start from the files, also after executors are lost.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -31,6 +31,8 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _PRIME = np.uint64(0x100000001B3)
 #: The 2-gram of a word followed by itself, whatever the word: it backs off to this one.
 _REPEATED = np.uint64(0x7265706561746564)
+#: Likewise a word that comes again after one other ("so. so. so.").
+_ALTERNATING = np.uint64(0x616C7465726E6174)
 
 
 def _byte_classes() -> np.ndarray:
@@ -83,7 +85,8 @@ def word_hashes(data: np.ndarray) -> np.ndarray:
 def buckets(text: str) -> np.ndarray:
     """The bucket of every word 1- and 2-gram of the whole text.
 
-    A word followed by itself also counts in the bucket of all such 2-grams.
+    A word that comes again at once, or after one other, also counts in the bucket
+    of all such repeats.
     """
     data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     parts, at = [], 0
@@ -98,7 +101,8 @@ def buckets(text: str) -> np.ndarray:
     one = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
     two = (one[:-1] ^ (one[:-1] >> np.uint64(29))) * _MIX + one[1:]
     same = np.full(int((one[:-1] == one[1:]).sum()), _REPEATED)
-    both = np.concatenate([one, two, same])
+    every_other = np.full(int((one[:-2] == one[2:]).sum()), _ALTERNATING)
+    both = np.concatenate([one, two, same, every_other])
     return ((both ^ (both >> np.uint64(32))) * _MIX >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
