@@ -12,6 +12,7 @@ median falls among them. Everything is DataFrame functions.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,7 +26,6 @@ EXACT_ROWS = 20_000
 #: Rows of a shard that are numbered in one task, about.
 ROWS_PER_CHUNK = 200_000
 MIN_CHUNKS = 8
-_DIMENSIONS = ("_kd_size", "_kd_source", "_kd_lang")
 
 
 @dataclass
@@ -50,8 +50,12 @@ class _Node:
 
 
 def _pick(values: list, node: Column) -> Column:
-    """The value that belongs to a node, from a literal array over first leaves."""
-    return F.get(F.array(*[F.lit(v) for v in values]), node)
+    """The value that belongs to a node, from a literal array over first leaves.
+
+    Never NULL, so that no later join asks for a NULL check: pushed down through the
+    levels, it would repeat the whole tree.
+    """
+    return F.coalesce(F.get(F.array(*[F.lit(v) for v in values]), node), F.lit(values[0]))
 
 
 def _table(nodes: list[_Node], n: int, get) -> list:
@@ -62,45 +66,55 @@ def _table(nodes: list[_Node], n: int, get) -> list:
 
 
 class _Tree:
-    def __init__(self, n_shards: int):
+    def __init__(self, n_shards: int, dimensions: list[str]):
         self.n = n_shards
+        self.dimensions = dimensions
         self.levels: list[list[_Node]] = []
 
     def place(self, rows: DataFrame) -> DataFrame:
-        """Add ``_kd_node``, the first leaf of the node that each row has reached."""
+        """Add ``_kd_node``, the leaf that each row belongs to."""
         out = rows.withColumn("_kd_node", F.lit(0))
         for nodes in self.levels:
-            out = self.keyed(out, nodes)
-            get = lambda f, nodes=nodes: _pick(_table(nodes, self.n, f), F.col("_kd_node"))
-            a, b = get(lambda x: x.cut[0] if x.cut else 0), get(lambda x: x.cut[1] if x.cut else 0)
-            also = get(lambda x: bool(x.cut and x.cut[2]))
-            goes_left = (F.col("_kd_first") < a) | ((F.col("_kd_first") == a) & (
-                (F.col("_kd_second") < b) | ((F.col("_kd_second") == b) & also)))
-            step = get(lambda x: x.left if x.cut else 0)
-            out = out.withColumn("_kd_node", F.col("_kd_node") + F.when(goes_left, F.lit(0)).otherwise(step)).drop("_kd_first")
+            out = self.step(self.keyed(out, nodes), nodes)
         return out
 
+    def step(self, keyed: DataFrame, nodes: list[_Node]) -> DataFrame:
+        """Move every row of a split node to the node's left or right child."""
+        def pick(f) -> Column:
+            return _pick(_table(nodes, self.n, f), F.col("_kd_node"))
+
+        a, b = pick(lambda x: x.cut[0] if x.cut else 0), pick(lambda x: x.cut[1] if x.cut else 0)
+        also = pick(lambda x: bool(x.cut and x.cut[2]))
+        goes_left = (F.col("_kd_first") < a) | ((F.col("_kd_first") == a) & (
+            (F.col("_kd_second") < b) | ((F.col("_kd_second") == b) & also)))
+        right = F.when(goes_left, F.lit(0)).otherwise(pick(lambda x: x.left if x.cut else 0))
+        return keyed.withColumn("_kd_node", F.col("_kd_node") + right).drop("_kd_first")
+
     def keyed(self, rows: DataFrame, nodes: list[_Node]) -> DataFrame:
         """Add ``_kd_first``, the key along each row's node's dimension."""
         dim = _pick(_table(nodes, self.n, lambda x: x.dim), F.col("_kd_node"))
         value = F.lit(0)
-        for i, name in enumerate(_DIMENSIONS):
+        for i, name in enumerate(self.dimensions):
             value = F.when(dim == i, F.col(name)).otherwise(value)
         return rows.withColumn("_kd_first", F.shiftleft(value.cast("long"), 32).bitwiseOR(F.col("_kd_crc")))
 
 
-def _dimensions(docs: DataFrame, key: str, text: str, source: str, lang: str) -> DataFrame:
+def _dimensions(docs: DataFrame, key: str, text: str, by: Sequence[str]) -> DataFrame:
     """Integer metadata below 2**31, the size in bytes and the two ordering keys."""
     raw = F.coalesce(F.col(text), F.lit(""))
+    size = (F.octet_length(raw) + 1).cast("long")
+    lines = F.length(raw) - F.length(F.replace(raw, F.lit("\n"), F.lit(""))) + 1
 
     def code(name: str) -> Column:
-        return F.shiftright(F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")), 1) if name in docs.columns else F.lit(0).cast("long")
+        return F.shiftright(F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")), 1)
 
-    size = (F.octet_length(raw) + 1).cast("long")
     return docs.withColumns({
         "_kd_bytes": size, "_kd_crc": F.crc32(raw.cast("binary")),
-        "_kd_size": F.floor(F.log2(size) * 1_000_000).cast("long"), "_kd_source": code(source), "_kd_lang": code(lang),
         "_kd_second": F.shiftrightunsigned(F.xxhash64(F.col(key)), 1),
+        "_kd_dim0": F.floor(F.log2(size) * 1_000_000).cast("long"),
+        "_kd_dim1": F.floor(size / (F.length(raw) + 1) * 100_000_000).cast("long"),
+        "_kd_dim2": F.floor(F.log2(lines) * 1_000_000).cast("long"),
+        **{f"_kd_dim{i}": code(c) for i, c in enumerate(by, 3)},
     })
 
 
@@ -162,50 +176,57 @@ def _finish(rows: DataFrame, nodes: list[_Node], tree: _Tree) -> None:
 
 
 def _grow(rows: DataFrame, tree: _Tree) -> None:
-    """Split every node until each leaf has its share of the bytes."""
-    open_ = [_Node(0, tree.n)]
+    """Split every node until each leaf has its share of the bytes.
+
+    The rows' few numbers are written once per level with the node they have reached.
+    """
+    dims = tree.dimensions
+    open_, placed = [_Node(0, tree.n)], rows.withColumn("_kd_node", F.lit(0))
     while open_ := [x for x in open_ if x.leaves > 1]:
-        placed = tree.place(rows)
-        spans = [f(c).alias(f"{c}{i}") for c in _DIMENSIONS for i, f in enumerate((F.min, F.max))]
+        spans = [f(c).alias(f"{c}{i}") for c in dims for i, f in enumerate((F.min, F.max))]
         stats = {r["_kd_node"]: r for r in placed.groupBy("_kd_node").agg(F.sum("_kd_bytes").alias("bytes"), *spans).collect()}
         if not tree.levels:
-            whole = [max(1, stats[0][f"{c}1"] - stats[0][f"{c}0"]) for c in _DIMENSIONS]
+            whole = [max(1, stats[0][f"{c}1"] - stats[0][f"{c}0"]) for c in dims]
         nodes = [x for x in open_ if x.first in stats]
         for x in nodes:
             r = stats[x.first]
-            x.dim = max(range(len(_DIMENSIONS)), key=lambda i: (r[f"{_DIMENSIONS[i]}1"] - r[f"{_DIMENSIONS[i]}0"]) / whole[i])
-            x.lo = r[f"{_DIMENSIONS[x.dim]}0"] << 32
-            x.hi = (r[f"{_DIMENSIONS[x.dim]}1"] << 32) | 0xFFFFFFFF
+            x.dim = max(range(len(dims)), key=lambda i: (r[f"{dims[i]}1"] - r[f"{dims[i]}0"]) / whole[i])
+            x.lo = r[f"{dims[x.dim]}0"] << 32
+            x.hi = (r[f"{dims[x.dim]}1"] << 32) | 0xFFFFFFFF
             x.target = r["bytes"] * x.left / x.leaves
-        keyed = tree.keyed(placed, nodes)
+        keyed = written(tree.keyed(placed, nodes), "level")
         while todo := [x for x in nodes if not x.exact and not x.cut]:
             _narrow(keyed, todo, tree)
         if todo := [x for x in nodes if not x.cut]:
             _finish(keyed, todo, tree)
         tree.levels.append(nodes)
+        placed = tree.step(keyed, nodes)
         open_ = [y for x in nodes for y in (_Node(x.first, x.left), _Node(x.first + x.left, x.leaves - x.left))]
 
 
 def shard(
     docs: DataFrame, n_shards: int | None = None, target_bytes: int | None = None,
-    key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang",
+    key: str = "doc_id", text: str = "text", by: Sequence[str] = (),
 ) -> DataFrame:
     """Every column and row of ``docs``, with ``shard``, ``slot`` and ``size`` added.
 
-    Give the number of shards or the bytes a shard should have. A row's size is the
+    Give the number of shards or the bytes a shard should have. The dimensions are a
+    text's bytes, bytes per character and lines; ``by`` adds metadata columns. Equal
+    texts agree in the first three, so copies share a shard unless a cut falls among them. A row's size is the
     UTF-8 bytes of its text plus one (NULL text: one). Shards differ in bytes by about
     one row. ``slot`` counts the rows of a shard from 0 without gaps. Columns of ``docs``
-    with these names are replaced. Missing or NULL metadata count as empty. Rows with
+    with these names are replaced. NULL metadata count as empty. Rows with
     the same key and text are not separated; an empty table gives an empty result.
     """
     docs = docs.drop("shard", "slot", "size")
-    tagged = _dimensions(docs, key, text, source, lang)
-    hidden = ["_kd_bytes", "_kd_crc", "_kd_second", *_DIMENSIONS]
+    tagged = _dimensions(docs, key, text, by)
+    dims = [f"_kd_dim{i}" for i in range(3 + len(by))]
+    hidden = ["_kd_bytes", "_kd_crc", "_kd_second", *dims]
     rows = written(tagged.select(*hidden), "metadata")
     totals = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("_kd_bytes").alias("bytes")).first()
     if n_shards is None:
         n_shards = max(1, math.ceil((totals["bytes"] or 0) / target_bytes))
-    tree = _Tree(n_shards)
+    tree = _Tree(n_shards, dims)
     if totals["n"]:
         _grow(rows, tree)
 
