@@ -37,6 +37,10 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(low, F.lit(_WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
+def text_hash(text: Column) -> Column:
+    return F.when(text.isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(text))
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(_WORD_ANY_CASE)), F.lit(0)).cast("long")
 
@@ -102,7 +106,8 @@ def contamination(
     docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text",
     item: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
-    """One row per document row: ``key, n_words, n_hit, n_items, item_ids, contaminated``.
+    """One row per document row: ``key, text_hash, n_words, n_hit, n_items, item_ids,
+    contaminated``; ``text_hash`` is Spark's xxhash64 of the text, 0 for NULL.
 
     A word inside any occurrence of a benchmark window is hit. ``item_ids`` are the
     items with occurring windows, as sorted strings (a NULL id is the empty string).
@@ -110,7 +115,7 @@ def contamination(
     without words, an empty benchmark and NULL texts have no hits; repeated rows each
     get their result.
     """
-    base = docs.select(F.col(key).alias("_key"), F.coalesce(F.xxhash64(F.col(text)), F.lit(0)).alias("_of"), F.col(text).alias("_text"))
+    base = docs.select(F.col(key).alias("_key"), text_hash(F.col(text)).alias("_of"), F.col(text).alias("_text"))
     same = ["_key", "_of"]
 
     windows = written(_item_windows(benchmark, item, item_text), "windows")
@@ -181,13 +186,21 @@ def contamination(
     return (
         _same_rows(counted, marks, same, "left")
         .select(
-            F.col("_key").alias(key), "n_words", n_hit.alias("n_hit"),
+            F.col("_key").alias(key), F.col("_of").alias("text_hash"), "n_words", n_hit.alias("n_hit"),
             F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"),
             F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
             ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
     )
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with their columns."""
+    found = contamination(docs, benchmark, key, text).where("contaminated")
+    bad = found.select(F.col(key).alias("_bad"), F.col("text_hash").alias("_bad_hash")).distinct()
+    same = docs[key].eqNullSafe(bad["_bad"]) & (text_hash(docs[text]) == bad["_bad_hash"])
+    return docs.join(bad, same, "left_anti")
+
+
 def _same_rows(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Join on keys that may be NULL, keeping the left side's."""
     renamed = right.withColumnsRenamed({c: f"{c}_r" for c in on})

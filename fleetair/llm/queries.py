@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetair.llm import decontaminate, exact_dedup, language, quality, sharding, simhash
+from fleetair.llm import decontaminate, exact_dedup, language, mixing, quality, sharding, simhash
 from fleetair.llm.common import fold, table
 
 
@@ -43,6 +43,23 @@ def op4_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Target shares of tokens by domain of the labels table.
+DOMAIN_WEIGHTS = {"good": 0.92, "poor": 0.075, "toxic": 0.005}
+
+
+def domain_labels(labels: DataFrame) -> DataFrame:
+    """``doc_id, domain`` of the rows that carry a label."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "poor").when(F.col("quality") == 1, "good")
+    return labels.select("doc_id", domain.alias("domain")).where("domain IS NOT NULL")
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    mixed = mixing.mix(docs, domain_labels(labels), DOMAIN_WEIGHTS)
+    return mixed.select(
+        "doc_id", "tokens", *[F.get("p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(DOMAIN_WEIGHTS)], "rate", "copies")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
 
@@ -52,7 +69,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality, op3_decontaminate, op4_kd_shards, op7_exact_dedup, op8_simhash)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality, op3_decontaminate, op4_kd_shards, op5_mixing, op7_exact_dedup, op8_simhash)}
 
 SQL: dict[str, str] = {
     "op3_decontaminate": r"""

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetair.llm.common import written
@@ -214,3 +214,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     least = roots.groupBy("root").agg(F.min("first").alias("component_id"))
     component = roots.join(least, "root").select("fp", "component_id")
     return prints.join(component, "fp").select(F.col("_key").alias(key), "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The row with the smallest key of every group of near-duplicates.
+
+    Rows that repeat a key are reduced to one; rows without a key are kept, once each,
+    if their group has no row with a key.
+    """
+    found = near_duplicates(docs, key, text)
+    stay = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_stay")).distinct()
+    kept = docs.join(stay, docs[key].eqNullSafe(stay["_stay"]), "left_semi")
+    without_key = F.when(F.col(key).isNull(), F.xxhash64(F.col(text)))
+    order = Window.partitionBy(key, without_key).orderBy(F.xxhash64(F.col(text)))
+    return kept.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
