@@ -1,7 +1,7 @@
 """A corpus pipeline: language, near-duplicates, contamination, mixture, shards.
 
 Every stage takes all that the one before kept and returns the columns of its input;
-the last adds ``shard``, ``slot`` and ``size``. An empty table passes through.
+the last adds ``shard``, ``slot``, ``size`` and ``text_crc32``. An empty table passes through.
 """
 
 from __future__ import annotations

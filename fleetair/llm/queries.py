@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetair.llm import decontaminate, exact_dedup, language, mixing, quality, sharding, simhash
+from fleetair.llm import decontaminate, exact_dedup, language, mixing, pii, quality, secrets_scan, sharding, simhash
 from fleetair.llm.common import fold, table
 
 
@@ -36,9 +38,8 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(table(spark, sf_dir, "documents"), n_shards=16)
-    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32")
     return placed.select(
-        "doc_id", "size", crc, F.lit("bytes").alias("law"), "shard", "slot",
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
 
@@ -69,7 +70,35 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality, op3_decontaminate, op4_kd_shards, op5_mixing, op7_exact_dedup, op8_simhash)}
+def _listed(spans: Column) -> Column:
+    """Spans as kind:start:end, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def _digested(found: DataFrame, base: Sequence[str]) -> DataFrame:
+    """Counts of the fixed kinds, the digest of their spans, and all spans."""
+    spans = F.col("spans")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *[count(k) for k in base],
+        F.sha2(_listed(F.filter(spans, lambda s: s["kind"].isin(*base))).cast("binary"), 256).alias("base_sha256"),
+        _listed(spans).alias("spans"),
+    )
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return _digested(docs.select("doc_id", secrets_scan.find(F.col("text")).alias("spans")), secrets_scan.KINDS[:3])
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digested(pii.find(table(spark, sf_dir, "documents")), pii.KINDS[:4])
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality, op3_decontaminate, op4_kd_shards, op5_mixing, op7_exact_dedup, op8_simhash, op9_secrets, op10_pii)}
 
 SQL: dict[str, str] = {
     "op3_decontaminate": r"""

@@ -24,7 +24,7 @@ from fleetair.llm.common import written
 BUCKETS = 1 << 14
 EXACT_ROWS = 20_000
 #: Rows of a shard that are numbered in one task, about.
-ROWS_PER_CHUNK = 200_000
+ROWS_PER_CHUNK = 50_000
 MIN_CHUNKS = 8
 
 
@@ -208,7 +208,8 @@ def shard(
     docs: DataFrame, n_shards: int | None = None, target_bytes: int | None = None,
     key: str = "doc_id", text: str = "text", by: Sequence[str] = (),
 ) -> DataFrame:
-    """Every column and row of ``docs``, with ``shard``, ``slot`` and ``size`` added.
+    """Every column and row of ``docs``, with ``shard``, ``slot``, ``size`` and
+    ``text_crc32`` added.
 
     Give the number of shards or the bytes a shard should have. The dimensions are a
     text's bytes, bytes per character and lines; ``by`` adds metadata columns. Equal
@@ -218,7 +219,7 @@ def shard(
     with these names are replaced. NULL metadata count as empty. Rows with
     the same key and text are not separated; an empty table gives an empty result.
     """
-    docs = docs.drop("shard", "slot", "size")
+    docs = docs.drop("shard", "slot", "size", "text_crc32")
     tagged = _dimensions(docs, key, text, by)
     dims = [f"_kd_dim{i}" for i in range(3 + len(by))]
     hidden = ["_kd_bytes", "_kd_crc", "_kd_second", *dims]
@@ -242,4 +243,5 @@ def shard(
     )
     numbered = sharded(tagged).withColumn("_kd_row", F.row_number().over(order) - 1)
     return numbered.join(start, ["shard", "_kd_chunk"]).select(
-        *docs.columns, "shard", (F.col("_kd_start") + F.col("_kd_row")).alias("slot"), F.col("_kd_bytes").alias("size"))
+        *docs.columns, "shard", (F.col("_kd_start") + F.col("_kd_row")).alias("slot"), F.col("_kd_bytes").alias("size"),
+        F.col("_kd_crc").alias("text_crc32"))
