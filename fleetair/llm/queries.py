@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetair.llm import decontaminate, exact_dedup, language, mixing, pii, quality, secrets_scan, sharding, simhash
+from fleetair.llm import decontaminate, exact_dedup, html_text, language, mixing, pii, quality, secrets_scan, sharding, simhash
 from fleetair.llm.common import fold, table
 
 
@@ -61,6 +61,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "tokens", *[F.get("p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(DOMAIN_WEIGHTS)], "rate", "copies")
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text").withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
 
@@ -98,7 +103,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digested(pii.find(table(spark, sf_dir, "documents")), pii.KINDS[:4])
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality, op3_decontaminate, op4_kd_shards, op5_mixing, op7_exact_dedup, op8_simhash, op9_secrets, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality, op3_decontaminate, op4_kd_shards, op5_mixing, op6_html_text, op7_exact_dedup, op8_simhash, op9_secrets, op10_pii)}
 
 SQL: dict[str, str] = {
     "op3_decontaminate": r"""
