@@ -90,6 +90,15 @@ FROM events WHERE event_id % 7 NOT IN (0, 3)
 # --- logs ----------------------------------------------------------------------
 
 
+# Ids that folder names, numbers and CSV would change; users 0 to 8 have them.
+DEVICE_NAMES = ["007", "1e3", "AA:BB:CC", "a+b", "x%y", "d(1)", "é1", "a,b", None]
+
+
+def device_name(user: Column) -> Column:
+    odd = F.get(F.array(*[F.lit(x) for x in DEVICE_NAMES]), (user % 20).cast("int"))
+    return F.when(user % 20 < len(DEVICE_NAMES), odd).otherwise(F.concat(F.lit("dev "), user))
+
+
 def log_rows(spark, d):
     """Events in the shape of the log: the value scaled per column."""
     scaled = {
@@ -102,7 +111,7 @@ def log_rows(spark, d):
         "label": (F.col("event_id") % 3).cast("tinyint"), "event_name": F.col("event_type"),
     }
     return ad.events(spark, d).select(
-        F.concat(F.lit("dev "), F.col("user_id")).alias("device_id"), "ts",
+        device_name(F.col("user_id")).alias("device_id"), "ts",
         *[columns[f.name].alias(f.name) for f in LOG.fields])
 
 
@@ -120,8 +129,11 @@ def _dec(e, n):
     return f"CAST(round(CAST({e} AS DECIMAL(28, 12)), {n}) AS DOUBLE)"
 
 
+_NAMES = ", ".join("NULL" if x is None else f"'{x}'" for x in DEVICE_NAMES)
+DEVICE_SQL = (f"CASE WHEN user_id % 20 < {len(DEVICE_NAMES)} THEN list_extract([{_NAMES}], CAST(user_id % 20 AS INT) + 1) "
+              "ELSE 'dev ' || user_id END")
 LOG_SQL = f"""
-SELECT 'dev ' || user_id AS device_id, event_id, {_dec('value / 2', 2)} AS temperature,
+SELECT {DEVICE_SQL} AS device_id, event_id, {_dec('value / 2', 2)} AS temperature,
        {_dec('value / 5', 1)} AS iaq, {_dec('value / 11', 3)} AS o3_ppb,
        CAST(event_id % 3 AS INTEGER) AS label, event_type AS event_name
 FROM events
@@ -150,7 +162,8 @@ def s5(spark, d):
     path = scratch_path(spark, "log")
     rows = log_rows(spark, d)
     logs.write_sensor_log(rows, path)
-    logs.replace_log(rows.withColumn("temperature", F.lit(1.5)), path, "dev 1")
+    for device in ("AA:BB:CC", "a+b", None):
+        logs.replace_log(rows.withColumn("temperature", F.lit(1.5)), path, device)
     return _shown(logs.read_log(spark, path))
 
 
@@ -337,7 +350,7 @@ SQL = {
     "s3_parse_scan_lines": SCAN_LINES_SQL,
     "s4_write_sensor_log": LOG_SQL,
     "s5_replace_log": f"""
-SELECT * REPLACE (CASE WHEN device_id = 'dev 1' THEN 1.5e0 ELSE temperature END AS temperature) FROM ({LOG_SQL})""",
+SELECT * REPLACE (CASE WHEN device_id IN ('AA:BB:CC', 'a+b') OR device_id IS NULL THEN 1.5e0 ELSE temperature END AS temperature) FROM ({LOG_SQL})""",
     "s6_export_log": LOG_SQL,
     "s7_stream_readings": ad.READINGS_SQL,
     "u1_union_logs": UNION_SQL,

@@ -9,16 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder every executor sees (``spark.checkpoint.dir``).
-
-    A session that names none is a local one, where a temporary folder will do.
-    """
-    base = _shared_folder(spark) or tempfile.mkdtemp(prefix="fleetair-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that every executor sees (``spark.checkpoint.dir``)."""
+    return f"{_shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def _shared_folder(spark: SparkSession) -> str | None:
-    return spark.conf.get("spark.checkpoint.dir", None)
+def _shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a temporary folder where driver and executors are one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(
+            f"spark.checkpoint.dir is not set: executors of {master} need a folder they share")
+    return tempfile.mkdtemp(prefix="fleetair-")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -26,10 +30,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     Later jobs start from the files, also after executors are lost.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            _shared_folder(spark) or tempfile.mkdtemp(prefix="fleetair-")
-        )
+        context.setCheckpointDir(_shared_folder(df.sparkSession))
     return df.checkpoint()

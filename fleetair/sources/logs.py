@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fleetair.plans.scratch import scratch_path
 from fleetair.schema import (
     LOG,
     LOG_DECIMALS,
@@ -27,17 +27,22 @@ def scan_sensor_log(
 ) -> DataFrame:
     """Read CSV logs into one table.
 
-    The device is the ``device_id=`` folder a file lies in, or else its name
+    Columns are matched by the names in the header; one that the files lack is NULL,
+    and a file whose header differs from the first one's ends the read with an error.
+    The device is the column ``device_id``, or, in logs without it, the file's name
     without ``.csv``.
     """
-    path = F.col("_metadata.file_path")
-    folder = F.regexp_extract(path, r"/device_id=([^/]+)/", 1)
-    stem = F.regexp_extract(path, r"([^/]+?)(\.csv)?$", 1)
-    device = F.url_decode(F.when(folder != "", folder).otherwise(stem))
-    logs = spark.read.schema(schema).option("header", True).csv(
-        paths if isinstance(paths, str) else list(paths)
-    )
-    return logs.select(device.alias("device_id"), *[F.col(f.name) for f in schema.fields])
+    paths = paths if isinstance(paths, str) else list(paths)
+    kinds = {f.name: f.dataType for f in schema.fields}
+    header = spark.read.option("header", True).csv(paths).columns
+    found = T.StructType([T.StructField(c, kinds.get(c, T.StringType())) for c in header])
+    logs = spark.read.schema(found).option("header", True).option("enforceSchema", False).csv(paths)
+    stem = F.url_decode(F.regexp_replace(
+        F.regexp_extract("_metadata.file_path", r"([^/]+?)(\.csv)?$", 1), r"\+", "%2B"))
+    device = F.col("device_id") if "device_id" in header else stem
+    return logs.select(device.alias("device_id"), *[
+        F.col(f.name) if f.name in header else F.lit(None).cast(f.dataType).alias(f.name)
+        for f in schema.fields])
 
 
 def union_logs(*dfs: DataFrame) -> DataFrame:
@@ -112,56 +117,78 @@ def _fixed(c: str) -> Column:
 
 # Rows per file; a hot device spreads over many files.
 MAX_RECORDS_PER_FILE = 5_000_000
+# Folders that devices are dealt to. Replacing a device rewrites one of them.
+BUCKETS = 64
+
+
+def _bucket(device: Column) -> Column:
+    return F.pmod(F.xxhash64(device.cast("string")), F.lit(BUCKETS)).cast("int")
 
 
 def write_sensor_log(
     df: DataFrame, path: str, mode: str = "append", fmt: str = "parquet", ts: str = "ts"
 ) -> None:
-    """Append readings to a log laid out by device and month.
+    """Append readings to a log laid out by a hash bucket of the device and by month.
 
-    Rows are cut by (device, time) range before the write: each task holds a
-    stretch of few devices, so a folder gets few files, and a hot device is
-    shared by many tasks. A day per folder would make thirty times as many.
-    ``csv`` writes the log columns only, with their fixed decimals and a header
-    per file.
+    The device stays a column of the data, so that any id comes back as it was. Rows
+    are cut by (bucket, device, time) range before the write: each task holds a
+    stretch of few devices, so a folder gets few files, and a hot device is shared by
+    many tasks. ``csv`` writes the device and the log columns, with their fixed
+    decimals and a header per file; in it an empty id is NULL.
     """
     if fmt not in ("parquet", "csv"):
         raise ValueError(f"unknown log format {fmt!r}")
     if fmt == "csv":
         rounded = df.withColumns({c: _fixed(c) for c in LOG_DECIMALS if c in df.columns})
-        columns = [f.name for f in LOG.fields if f.name in df.columns]
+        columns = ["device_id", *[f.name for f in LOG.fields if f.name in df.columns]]
     else:
         rounded = log_decimals(df)
-        columns = [c for c in df.columns if c != "device_id"]
+        columns = df.columns
+    _write(rounded, path, mode, fmt, ts, ["bucket", "period"], columns)
+
+
+def _write(
+    df: DataFrame, path: str, mode: str, fmt: str, ts: str, folders: list[str], columns: list[str]
+) -> None:
     (
-        rounded.withColumn("period", F.date_format(ts, "yyyy-MM"))
-        .repartitionByRange("device_id", ts)
+        df.withColumns({"bucket": _bucket(F.col("device_id")), "period": F.date_format(ts, "yyyy-MM")})
+        .repartitionByRange("bucket", "device_id", ts)
         # The writer wants its folders in order; with them first it keeps our sort.
-        .sortWithinPartitions("device_id", "period", ts)
-        .select(*columns, "device_id", "period")
-        .write.partitionBy("device_id", "period").mode(mode)
+        .sortWithinPartitions("bucket", "period", "device_id", ts)
+        .select(*columns, *folders)
+        .write.partitionBy(*folders).mode(mode)
         .option("header", True).option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
         .format(fmt).save(path)
     )
 
 
-def replace_log(df: DataFrame, path: str, device: str, ts: str = "ts") -> None:
+def replace_log(df: DataFrame, path: str, device: str | None, ts: str = "ts") -> None:
     """Clear one device's log and start it again with its rows of ``df``.
 
-    Other devices are not touched; with no rows the log becomes empty.
+    The other devices of its bucket are set aside in the shared scratch folder and
+    written again with it; other buckets are not touched. With no rows the device's
+    log becomes empty.
     """
-    mine = log_decimals(df.where(F.col("device_id") == device)).drop("device_id")
-    (
-        mine.withColumn("period", F.date_format(ts, "yyyy-MM"))
-        .repartitionByRange(ts).sortWithinPartitions("period", ts)
-        .write.partitionBy("period").mode("overwrite")
-        .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
-        .parquet(f"{path}/device_id={quote(str(device), safe=' ')}")
-    )
-
-
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    spark = df.sparkSession
+    number = spark.range(1).select(_bucket(F.lit(device))).first()[0]
+    wanted = F.col("device_id").cast("string").eqNullSafe(F.lit(device))
+    log = spark.read.parquet(path)
+    aside = scratch_path(spark, "log-bucket")
+    others = log.where((F.col("bucket") == number) & ~wanted).drop("bucket", "period")
+    others.write.parquet(aside)
+    mine = log_decimals(df.where(wanted))
+    rows = spark.read.schema(others.schema).parquet(aside).unionByName(mine, allowMissingColumns=True)
+    _write(rows, f"{path}/bucket={number}", "overwrite", "parquet", ts, ["period"], rows.columns)
+
+
+def read_log(spark: SparkSession, path: str, device: str | None = None) -> DataFrame:
+    """A log; with ``device`` only its bucket is read."""
+    log = spark.read.parquet(path)
+    if device is not None:
+        number = spark.range(1).select(_bucket(F.lit(device))).first()[0]
+        log = log.where((F.col("bucket") == number) & (F.col("device_id").cast("string") == device))
+    return log.drop("bucket")
 
 
 def export_log(spark: SparkSession, path: str, out: str, ts: str = "ts") -> None:
@@ -169,7 +196,10 @@ def export_log(spark: SparkSession, path: str, out: str, ts: str = "ts") -> None
     log = read_log(spark, path).drop("period")
     first = [c for c in ("device_id", ts) if c in log.columns]
     rest = [c for c in log.columns if c not in first]
-    log.select(*first, *rest).sort(*first).write.mode("overwrite").option("header", True).csv(out)
+    (
+        log.select(*first, *rest).sort(*first).write.mode("overwrite").option("header", True)
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(out)
+    )
 
 
 def stream_readings(

@@ -1,7 +1,9 @@
 """Logs survive the round trip, and only the asked device is replaced."""
 
+import csv
 import glob
 
+import pytest
 from pyspark.sql import functions as F
 
 from fleetair.checks import flows
@@ -10,14 +12,14 @@ from fleetair.sources import logs
 
 def test_csv_has_fixed_decimals_and_one_header_per_file(spark, sf, tmp_path):
     path = str(tmp_path / "log")
-    logs.write_sensor_log(flows.log_rows(spark, sf).where("device_id = 'dev 1'"), path, fmt="csv")
-    files = glob.glob(f"{path}/device_id=dev 1/period=2024-01/*.csv")
+    logs.write_sensor_log(flows.log_rows(spark, sf).where("device_id = 'AA:BB:CC'"), path, fmt="csv")
+    files = glob.glob(f"{path}/bucket=*/period=2024-01/*.csv")
     assert files
     with open(files[0]) as f:
         header, first = f.readline().strip().split(","), f.readline().strip().split(",")
-        times = [int(line.split(",")[0]) for line in f]
+        times = [int(line.split(",")[1]) for line in f]
     assert times == sorted(times) and len(times) > 5
-    assert header[0] == "timestamp_ms" and header[-1] == "event_name" and len(header) == 19
+    assert header[:2] == ["device_id", "timestamp_ms"] and header[-1] == "event_name" and len(header) == 20
     row = dict(zip(header, first))
     for name, digits in (("temperature", 2), ("iaq", 1), ("o3_ppb", 3), ("rmox_3", 3)):
         assert len(row[name].split(".")[1]) == digits
@@ -28,12 +30,12 @@ def test_replace_with_nothing_clears_one_device(spark, sf, tmp_path):
     rows = flows.log_rows(spark, sf)
     logs.write_sensor_log(rows, path)
     before = logs.read_log(spark, path).count()
-    mine = rows.where("device_id = 'dev 1'").count()
-    logs.replace_log(rows.where("device_id = 'dev 2'"), path, "dev 1")
+    mine = rows.where("device_id = 'AA:BB:CC'").count()
+    logs.replace_log(rows.where("device_id = 'a+b'"), path, "AA:BB:CC")
     after = logs.read_log(spark, path)
     assert mine > 0
     assert after.count() == before - mine
-    assert after.where("device_id = 'dev 1'").count() == 0
+    assert after.where("device_id = 'AA:BB:CC'").count() == 0
 
 
 def test_device_from_file_name(spark, tmp_path):
@@ -55,10 +57,41 @@ def test_export_is_in_time_order(spark, sf, tmp_path):
     for name in sorted(glob.glob(f"{out}/*.csv")):
         with open(name) as f:
             assert f.readline().startswith("device_id,ts,timestamp_ms")
-            times += [tuple(x.split(",")[:2]) for x in f]
+            times += [tuple(x[:2]) for x in csv.reader(f)]
     assert times == sorted(times) and len(times) == flows.log_rows(spark, sf).count()
 
 
 def test_union_fills_missing_columns(spark):
     a = spark.range(2).withColumn("x", F.lit(1))
     assert logs.union_logs(a, spark.range(3)).where("x is null").count() == 3
+
+
+def test_any_id_comes_back(spark, tmp_path):
+    """Ids stay text and stay apart, in both formats, also after a replacement."""
+    ids = [*flows.DEVICE_NAMES, "", " x ", 'q"r', "dev 1", "1", "01", "a/b", "é,\n"]
+    rows = spark.createDataFrame(
+        [(d, i, float(i)) for i, d in enumerate(ids)], "device_id string, timestamp_ms long, temperature float"
+    ).withColumn("ts", F.timestamp_millis("timestamp_ms"))
+    shown = lambda df: sorted(((r.device_id, r.timestamp_ms, r.temperature) for r in df.collect()), key=repr)
+    want = shown(rows)
+    path = str(tmp_path / "log")
+    logs.write_sensor_log(rows, path)
+    assert shown(logs.read_log(spark, path)) == want
+    for d in ids:
+        logs.replace_log(rows, path, d)
+    assert shown(logs.read_log(spark, path)) == want
+    assert shown(logs.read_log(spark, path, "01")) == [r for r in want if r[0] == "01"]
+    # A line feed would need multi-line CSV, and an empty id is CSV's NULL.
+    plain = rows.where("device_id IS NULL OR device_id <> '' AND NOT contains(device_id, '\\n')")
+    logs.write_sensor_log(plain, str(tmp_path / "csv"), fmt="csv")
+    assert shown(logs.scan_sensor_log(spark, str(tmp_path / "csv"))) == shown(plain)
+
+
+def test_columns_by_name(spark, tmp_path):
+    """A header in another order is followed; files that disagree end the read."""
+    (tmp_path / "a.csv").write_text("timestamp_ms,humidity,temperature\n5,40,20\n")
+    r = logs.scan_sensor_log(spark, str(tmp_path / "a.csv")).first()
+    assert (r.device_id, r.humidity, r.temperature, r.iaq) == ("a", 40.0, 20.0, None)
+    (tmp_path / "b.csv").write_text("timestamp_ms,temperature,humidity\n5,20,40\n")
+    with pytest.raises(Exception, match="header"):
+        logs.scan_sensor_log(spark, str(tmp_path)).collect()
