@@ -410,8 +410,7 @@ QUERIES = {
     "f12_timestamp_check_drop": f12_drop,
     "a8_self_test": a8,
     "a9_drop_report": a9,
-    "a1_label_distribution": lambda s, d: metrics.label_distribution(
-        j2(s, d).where(F.col("label") != UNLABELED)),
+    "a1_label_distribution": lambda s, d: metrics.label_distribution(j2(s, d)),
 }
 
 SQL = {
@@ -455,5 +454,5 @@ SELECT vec_id, CASE label WHEN 1 THEN 'LOW' WHEN 2 THEN 'MODERATE' WHEN 3 THEN '
     "a8_self_test": SELF_TEST_SQL,
     "a9_drop_report": DROP_REPORT_SQL,
     "a1_label_distribution": f"""
-SELECT label, count(*) AS rows FROM ({LABELLED_SQL}) WHERE label <> -1 GROUP BY label""",
+SELECT label, count(*) AS rows FROM ({LABELLED_SQL}) GROUP BY label""",
 }

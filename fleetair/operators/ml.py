@@ -18,67 +18,53 @@ from pyspark.sql import functions as F
 from fleetair.functions.codes import class_name
 from fleetair.functions.scoring import Layer, argmax_class, dense_layers
 from fleetair.operators.metrics import rank_features
-from fleetair.plans.joins import estimated_bytes
 from fleetair.plans.scratch import cut_lineage
-from fleetair.plans.timeline import SMALL_INPUT_BYTES
 from fleetair.schema import CLASS_NAMES, FEATURES
 
-# More strata than this is an id, not a label.
-MAX_STRATA = 10_000
+# Hexadecimal digits of the hash by which a label's rows are counted.
+SPLIT_DIGITS = 4
 
 
 def assign_split(
     df: DataFrame, id: str, label: str, frac: float = 0.2, seed: int = 42,
-    digits: int | None = None,
+    digits: int = SPLIT_DIGITS,
 ) -> DataFrame:
     """Add ``is_test``: exactly ``ceil(frac * n)`` rows of every label.
 
     The rows of a label with the lowest ``md5(id || seed)`` are the test rows. A
     label can hold most of the table, so nothing ranks a whole label: counts per
-    leading hash digits find where each label is cut, rows on either side are
-    settled where they are read, and only those sharing the digits at the cut
-    (one in 65,536 of a large table) are ranked. A NULL label has no stratum and
-    no side.
+    leading hash digits find the digits at which each label is cut, only the
+    hashes that share them (one in 65,536 of a large label) are ranked, and every
+    row is then compared with its label's last test hash. A NULL label has no
+    stratum and no side. Labels may be many: they are joined, not fetched.
     """
-    if digits is None:
-        digits = 2 if estimated_bytes(df) < SMALL_INPUT_BYTES else 4
     digest = F.md5(F.concat(F.col(id).cast("string"), F.lit(str(seed))))
     # Hexadecimal digits sort as text just as the numbers do.
-    hashed = df.withColumn("_h", digest).withColumn("_b", F.substring("_h", 1, digits))
-    stratum = F.col(label).cast("string")
+    hashed = df.where(F.col(label).isNotNull()).select(
+        F.col(label).cast("string").alias("_l"), digest.alias("_h"), F.col(id).alias("_id")
+    ).withColumn("_b", F.substring("_h", 1, digits))
 
     w = Window.partitionBy("_l")
     upto = w.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hist = (
-        hashed.where(F.col(label).isNotNull()).groupBy(stratum.alias("_l"), "_b")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumns({
-            "upto": F.sum("n").over(upto),
-            "take": F.ceil(F.lit(float(frac)) * F.sum("n").over(w)).cast("long"),
-        })
-    )
+    hist = hashed.groupBy("_l", "_b").agg(F.count(F.lit(1)).alias("n")).withColumns({
+        "upto": F.sum("n").over(upto),
+        "take": F.ceil(F.lit(float(frac)) * F.sum("n").over(w)).cast("long"),
+    })
     below = F.col("upto") - F.col("n")
-    cuts = hist.where((below < F.col("take")) & (F.col("upto") >= F.col("take")))
-    # One row per label, fetched now: a label has one cut.
-    found = cuts.select("_l", "_b", (F.col("take") - below).alias("need")).limit(MAX_STRATA + 1).collect()
-    if len(found) > MAX_STRATA:
-        raise ValueError(f"{label} has more than {MAX_STRATA} values")
-
-    def per_label(i: int, kind: str) -> Column:
-        pairs = [x for r in found for x in (F.lit(r["_l"]), F.lit(r[i]))]
-        by_label = F.create_map(*pairs).cast(f"map<string,{kind}>")
-        return F.try_element_at(by_label, stratum) if found else F.lit(None).cast(kind)
-
-    at, need = per_label(1, "string"), per_label(2, "bigint")
-    on_cut = F.coalesce(F.col("_b") == at, F.lit(False))
-    settled = hashed.where(~on_cut).withColumn(
-        "is_test", F.when(F.col(label).isNotNull(), F.coalesce(F.col("_b") < at, F.lit(False)))
+    cuts = hist.where((below < F.col("take")) & (F.col("upto") >= F.col("take"))).select(
+        "_l", "_b", (F.col("take") - below).alias("_need"))
+    nth = F.row_number().over(Window.partitionBy("_l").orderBy("_h", "_id"))
+    last = (
+        hashed.join(cuts, ["_l", "_b"]).withColumn("_nth", nth).where("_nth = _need")
+        .select(F.col("_l").alias("_label"), F.struct("_h", "_id").alias("_last"))
     )
-    ranked = hashed.where(on_cut).withColumn(
-        "is_test",
-        F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", id)) <= need,
+    here = F.struct(digest.alias("_h"), F.col(id).alias("_id"))
+    return (
+        df.join(last, F.col(label).cast("string") == F.col("_label"), "left")
+        .withColumn("is_test", F.when(
+            F.col(label).isNotNull(), F.coalesce(here <= F.col("_last"), F.lit(False))))
+        .drop("_label", "_last")
     )
-    return settled.unionByName(ranked).drop("_h", "_b")
 
 
 def stratified_split(
@@ -110,23 +96,30 @@ def fit_scaler(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return row.select(F.explode(F.array(*rows)).alias("p")).select("p.*")
 
 
-def _scaled(cols: Sequence[str], params: DataFrame) -> list[Column]:
-    """Scaled columns. The parameters, two numbers per feature, are fetched once
-    and become literals."""
-    rows = params.where(F.col("feature").isin(list(cols))).limit(len(cols) + 1).collect()
-    fitted = {r["feature"]: (r["mean"], r["scale"]) for r in rows}
-    if set(fitted) != set(cols) or len(rows) != len(fitted):
-        raise ValueError(f"need one row of parameters per feature, have {sorted(fitted)}")
-    return [
-        (F.col(c).cast("double") - F.lit(fitted[c][0]).cast("double"))
-        / F.lit(fitted[c][1]).cast("double")
-        for c in cols
-    ]
+def _fitted(params: DataFrame) -> Column:
+    """The parameters as one map, read with the query that uses them."""
+    pair = F.struct(F.col("mean").cast("double").alias("mean"), F.col("scale").cast("double").alias("scale"))
+    return params.agg(F.map_from_entries(F.collect_list(F.struct("feature", pair))).alias("p")).scalar()
+
+
+def _scaled(cols: Sequence[str], fitted: Column) -> list[Column]:
+    """Scaled columns. A feature without parameters, or with two rows of them, ends the query."""
+    def one(c: str) -> Column:
+        p = F.coalesce(F.try_element_at(fitted, F.lit(c)), F.raise_error(F.lit(f"no parameters for {c}")))
+        return (F.col(c).cast("double") - p["mean"]) / p["scale"]
+
+    return [one(c) for c in cols]
+
+
+def fetched(params: DataFrame) -> DataFrame:
+    """The parameters, two numbers per feature, as a table that is computed already."""
+    return params.sparkSession.createDataFrame(params.collect(), params.schema)
 
 
 def standardise(df: DataFrame, cols: Sequence[str], params: DataFrame) -> DataFrame:
     """(x - mean) / scale with parameters fitted on the training rows."""
-    return df.withColumns(dict(zip(cols, _scaled(cols, params))))
+    with_params = df.withColumn("_params", _fitted(params))
+    return with_params.withColumns(dict(zip(cols, _scaled(cols, F.col("_params"))))).drop("_params")
 
 
 def dense_score(
@@ -147,22 +140,17 @@ def score_readings(
     A reading with a missing feature gets a NULL class and confidence and the
     name UNKNOWN.
     """
-    scaled = df.withColumn("_x", F.array(*_scaled(cols, params)))
+    scaled = df.withColumn("_params", _fitted(params)).withColumn("_x", F.array(*_scaled(cols, F.col("_params"))))
     scored = scaled.withColumn("_probs", dense_layers(F.col("_x"), layers))
     best, confidence = argmax_class(F.col("_probs"))
     return scored.withColumns({
         "predicted": best, "confidence": confidence, "predicted_name": class_name(best),
-    }).drop("_probs", "_x")
+    }).drop("_probs", "_x", "_params")
 
 
 def layers_from_table(weights: DataFrame) -> list[Layer]:
-    """Layers from a weights table (layer, unit, weights, bias, act).
-
-    A network has a few thousand weights; a larger table is refused.
-    """
-    rows = weights.orderBy("layer", "unit").limit(MAX_STRATA + 1).collect()
-    if len(rows) > MAX_STRATA:
-        raise ValueError("not a weights table: too many units")
+    """Layers from a weights table (layer, unit, weights, bias, act)."""
+    rows = weights.orderBy("layer", "unit").collect()
     layers: dict[int, Layer] = {}
     for r in rows:
         layer = layers.setdefault(r["layer"], {"w": [], "b": [], "act": r["act"]})

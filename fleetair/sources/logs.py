@@ -50,17 +50,25 @@ def union_logs(*dfs: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dfs)
 
 
+_FLOAT = r"(?i)^[+-]?(?:\d+\.?\d*(?:e[+-]?\d+)?|\.\d+(?:e[+-]?\d+)?|nan|inf|infinity)$"
+_WHOLE = r"^[+-]?\d+$"
+
+
+def _number(text: Column, kind: str) -> Column:
+    """A field as C's scanf reads it, ``nan`` and ``inf`` included; NULL if it is none."""
+    known = F.when(text.rlike(_FLOAT if kind in ("double", "float") else _WHOLE), text)
+    return F.regexp_replace(known, r"(?i)^[+-](nan)$", "$1").try_cast(kind)
+
+
 def _parse(df: DataFrame, col: str, fields: list[tuple[str, str]], min_good: int) -> DataFrame:
     """Positional parse. Fields from the first bad one on are NULL; ``line_ok``
     tells whether enough fields came before it."""
-    schema = ", ".join(f"{name} {kind}" for name, kind in fields)
-    options = {"mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "true",
-               "ignoreTrailingWhiteSpace": "true"}
-    # A field that does not parse is NULL; the others keep their values. The
-    # explode of one element keeps the filter on the fields above the parse;
+    cut = df.withColumn("_f", F.split(F.btrim(F.col(col), F.lit(" \r\n")), ","))
+    values = F.struct(*[
+        _number(F.btrim(F.get("_f", F.lit(i))), kind).alias(name) for i, (name, kind) in enumerate(fields)])
+    # The explode of one element keeps the filter on the fields above the parse;
     # pushed below, it would parse the line again for each field it looks at.
-    values = F.from_csv(F.btrim(F.col(col), F.lit(" \r\n")), schema, options)
-    parsed = df.select("*", F.explode(F.array(values)).alias("_v"))
+    parsed = cut.select("*", F.explode(F.array(values)).alias("_v")).drop("_f")
     missing = F.array(*[F.col(f"_v.{name}").isNull() for name, _ in fields])
     parsed = parsed.withColumn("_bad", F.array_position(missing, True))
     before_bad = {

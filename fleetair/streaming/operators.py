@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from fleetair.functions.scoring import Layer
-from fleetair.operators.ml import score_readings
+from fleetair.operators.ml import fetched, score_readings
 from fleetair.plans.timeline import Slices, Timeline, as_list
 from fleetair.schema import DEFAULT_LABEL, FEATURES, UNLABELED_NAME
 from fleetair.streaming.ordered import ordered_stream
@@ -177,11 +177,14 @@ def stream_score(
     df: DataFrame, params: DataFrame, layers: Sequence[Layer], path: str, checkpoint: str,
     cols: Sequence[str] = FEATURES, available_now: bool = False,
 ) -> StreamingQuery:
-    """Score every micro-batch and append it to ``path``.
+    """Score every micro-batch and append it to ``path``. ``params`` is computed once,
+    before the start.
 
     A batch owns the folder of its number and overwrites it, so a batch that is
     run again after a failure leaves its rows once.
     """
+    params = fetched(params)
+
     def write(batch: DataFrame, number: int) -> None:
         scored = score_readings(batch, params, layers, cols)
         scored.write.mode("overwrite").parquet(f"{path}/batch={number}")

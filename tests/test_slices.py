@@ -138,6 +138,9 @@ def test_trailing_means(hot):
     events = r.select("device_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("_at"))
     cut = ts_ops.trailing_means(r, "device_id", "ts", widths, sliced(events, "_at"))
     assert rows(plain) == rows(cut)
+    # The slices that other operators share are cut by time.
+    shared = ts_ops.trailing_means(r, "device_id", "ts", widths, sliced(r))
+    assert rows(plain) == rows(shared)
 
 
 def test_log_resistance_stats(hot):
