@@ -178,9 +178,7 @@ def j5(spark, d):
         F.when(F.col("s_nationkey") % 3 == 0, 0x6320).otherwise(F.col("s_nationkey")).alias("pid"),
     )
     raw = ad.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("device_id"), "l_quantity")
-    ok, rejected = asof.registry_check(raw, registry, "device_id")
-    marked = ok.withColumn("accepted", F.lit(True)).unionByName(
-        rejected.withColumn("accepted", F.lit(False)))
+    marked = asof.registry_flag(raw, registry, "device_id")
     return marked.groupBy("device_id", "accepted").agg(F.count(F.lit(1)).alias("rows"))
 
 

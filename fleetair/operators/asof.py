@@ -95,19 +95,35 @@ def hold_last(
 
 
 def with_calibration(df: DataFrame, calib: DataFrame, key) -> DataFrame:
-    """Join each raw row to its device's coefficients, kept in struct ``calib``."""
+    """Join each raw row to its device's coefficients, kept in struct ``calib``.
+
+    A device with several rows of coefficients gets the smallest of them, so that
+    readings never multiply; readings of a device without any are left out.
+    """
     key = as_list(key)
-    packed = calib.select(*key, F.struct(*[c for c in calib.columns if c not in key]).alias("calib"))
-    return df.join(small(packed), key, "inner")
+    packed = F.struct(*[c for c in calib.columns if c not in key])
+    one = calib.groupBy(*key).agg(F.min(packed).alias("calib"))
+    return df.join(small(one), key, "inner")
+
+
+def registry_flag(
+    df: DataFrame, registry: DataFrame, key, pid: int = EXPECTED_PID, out: str = "accepted"
+) -> DataFrame:
+    """Mark the rows of devices whose registered product id is ``pid``, in one pass."""
+    key = as_list(key)
+    good = registry.where(F.col("pid") == pid).select(*key).distinct().withColumn(out, F.lit(True))
+    return df.join(small(good), key, "left").withColumn(out, F.coalesce(out, F.lit(False)))
 
 
 def registry_check(
     df: DataFrame, registry: DataFrame, key, pid: int = EXPECTED_PID
 ) -> tuple[DataFrame, DataFrame]:
-    """(rows of devices whose registered product id is ``pid``, all others)."""
-    key = as_list(key)
-    good = registry.where(F.col("pid") == pid).select(*key)
-    return df.join(small(good), key, "left_semi"), df.join(small(good), key, "left_anti")
+    """(rows of devices whose registered product id is ``pid``, all others).
+
+    Two results cost two passes; ``registry_flag`` tells them apart in one.
+    """
+    flagged = registry_flag(df, registry, key, pid, "_accepted")
+    return flagged.where("_accepted").drop("_accepted"), flagged.where("NOT _accepted").drop("_accepted")
 
 
 def score_vs_label(pred: DataFrame, labels: DataFrame, id: str) -> DataFrame:

@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from fleetair.operators import ml
+from fleetair.operators import asof, ml
 from fleetair.operators import timeseries as ts_ops
 from fleetair.sources import logs
 
@@ -67,3 +67,13 @@ def test_lines_with_nan_and_inf(spark):
     r = got[0]
     names = ("iaq", "static_iaq", "humidity", "pressure", "gas_resistance", "status")
     assert [repr(getattr(r, n)) for n in names] == ["nan", "-inf", "inf", "1000.0", "nan", "2"]
+
+
+def test_repeated_calibration_does_not_multiply(spark):
+    raw = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "k string, adc int")
+    calib = spark.createDataFrame([("a", 7), ("a", 5), ("c", 1)], "k string, par int")
+    got = asof.with_calibration(raw, calib, "k").select("adc", "calib.par").collect()
+    assert sorted(map(tuple, got)) == [(1, 5), (2, 5)]
+    registry = spark.createDataFrame([("a", 0x6320), ("a", 0x6320), ("b", 1)], "k string, pid int")
+    ok, rest = asof.registry_check(raw, registry, "k", 0x6320)
+    assert ok.count() == 2 and rest.count() == 1
