@@ -16,14 +16,20 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetair.llm.common import written
+from fleetair.llm.common import bounded_sample, written
 
 BUCKETS = 1 << 14
+#: Labelled rows that the classifier learns from, of each domain about as many.
+SAMPLE_PER_DOMAIN = 20_000
 #: How often the commonest feature is added to each domain, the others in proportion,
 #: which pulls a feature's share in a domain to its share everywhere.
-SMOOTHING = 20.0
+SMOOTHING = 2.0
+#: Standard errors by which a feature's share must differ in a domain to count.
+SIGNIFICANT = 4.0
+#: And the factor by which it must differ.
+MIN_RATIO = 2.0
 TOLERANCE = 1e-4
-MAX_ROUNDS = 40
+MAX_ROUNDS = 60
 #: Gradient steps that are replayed from their few numbers before rates are written.
 REPLAY = 8
 
@@ -33,8 +39,8 @@ def _constant(values: object, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(values)), kind)
 
 
-def features(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, tokens, buckets``: the number of words, and the hashed features present.
+def features(docs: DataFrame, key: str, text: str, *keep: str) -> DataFrame:
+    """``key, tokens, buckets`` and the columns ``keep``: the number of words, and the hashed features present.
 
     The features are the distinct words (letters and digits), the distinct runs of
     punctuation, and three shares in eighths: of distinct words, of words that repeat
@@ -42,13 +48,13 @@ def features(docs: DataFrame, key: str, text: str) -> DataFrame:
     """
     raw = F.coalesce(F.col(text), F.lit(""))
     cut = docs.select(
-        F.col(key).alias("key"),
+        F.col(key).alias("key"), *keep,
         F.filter(F.split(raw, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), lambda w: w != "").alias("w"),
         F.regexp_extract_all(raw, F.lit(r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+"), F.lit(0)).alias("signs"))
     w = F.col("w")
     again = F.size(F.filter(w, lambda x, i: (x == F.get(w, i - 1)) | (x == F.get(w, i - 2))))
     distinct = cut.select(
-        "key", F.size("w").alias("tokens"), F.array_distinct("w").alias("w"), again.alias("again"),
+        "key", *keep, F.size("w").alias("tokens"), F.array_distinct("w").alias("w"), again.alias("again"),
         F.size("signs").alias("n_signs"), F.array_distinct("signs").alias("signs"))
     n = F.greatest("tokens", F.lit(1))
     shares = [
@@ -57,41 +63,109 @@ def features(docs: DataFrame, key: str, text: str) -> DataFrame:
     ]
     both = F.concat("w", "signs", F.array(*shares))
     hashed = F.transform(both, lambda x: F.pmod(F.xxhash64(x), F.lit(BUCKETS)).cast("int"))
-    return distinct.select("key", F.col("tokens").cast("long").alias("tokens"), F.array_distinct(hashed).alias("buckets"))
+    return distinct.select("key", *keep, F.col("tokens").cast("long").alias("tokens"), F.array_distinct(hashed).alias("buckets"))
 
 
-def posteriors(feats: DataFrame, labels: DataFrame, domains: Sequence[str]) -> DataFrame:
-    """``key, tokens, p``: the posterior over ``domains`` of every row of ``feats``.
+def posteriors(
+    docs: DataFrame, labels: DataFrame, domains: Sequence[str], key: str, text: str,
+    per_domain: int = SAMPLE_PER_DOMAIN,
+) -> DataFrame:
+    """``key, tokens, p``: the posterior over ``domains`` of every row of ``docs``.
 
-    ``labels`` has ``key, domain``. A domain without labels gets posterior 0; without
+    ``labels`` has ``key, domain``; a sample of them bounded by ``per_domain`` is learned
+    from, and so may be broadcast: two thirds for the features' log odds, the rest for
+    the probabilities that sums of log odds stand for. A domain without labels gets posterior 0; without
     any labels all domains are equally likely.
     """
     marked = labels.where(F.col("domain").isin(*domains)).groupBy("key").agg(F.min("domain").alias("domain"))
-    known = feats.join(marked, "key")
-    n = {r["domain"]: r["n"] for r in known.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sample = bounded_sample(marked, "key", "domain", per_domain).withColumnRenamed("key", "_sample")
+    docs = docs.select(key, text)
+    chosen = docs.join(F.broadcast(sample), docs[key] == sample["_sample"])
+    known = written(features(chosen, key, text, "domain"), "known")
+    for_odds = F.pmod(F.xxhash64(F.lit("odds"), "key"), F.lit(3)) < 2
+    feats = features(docs, key, text)
+    n = {r["domain"]: r["count"] for r in marked.groupBy("domain").count().collect()}
     seen = np.zeros((len(domains), BUCKETS))
     for r in (  # at most domains x BUCKETS rows
-        known.select("domain", F.explode("buckets").alias("b")).groupBy("domain", "b").agg(F.count(F.lit(1)).alias("n")).collect()
+        known.where(for_odds).select("domain", F.explode("buckets").alias("b"))
+        .groupBy("domain", "b").agg(F.count(F.lit(1)).alias("n")).collect()
     ):
         seen[domains.index(r["domain"]), r["b"]] = r["n"]
-    total = np.array([n.get(d, 0) for d in domains], dtype=float)
-    if not total.sum():
+    if not seen.sum():
         return feats.select("key", "tokens", _constant([1 / len(domains)] * len(domains), "array<double>").alias("p"))
+    logs = _log_odds(seen)
+
+    def scored(rows: DataFrame) -> DataFrame:
+        """Sums of log odds against the first domain, squashed so that none is endless."""
+        def odds(d: int) -> Column:
+            weights = _constant(np.round(logs[d] - logs[0], 9).tolist(), "array<double>")
+            total = F.aggregate("buckets", F.lit(0.0), lambda acc, x: acc + F.get(weights, x))
+            return 10 * F.tanh(total / 10)
+
+        return rows.withColumn("z", F.array(*[odds(d) for d in range(1, len(domains))]).cast("array<double>"))
+
+    # The rest of the sample, a bounded number of rows, turns sums into probabilities.
+    held = scored(known.where(~for_odds)).select("domain", "z").collect()
+    total = np.array([n.get(d, 0) for d in domains], dtype=float)
+    w = calibrate(np.array([[1.0, *r["z"]] for r in held]).reshape(len(held), len(domains)),
+                  np.array([domains.index(r["domain"]) for r in held], dtype=int), total)
+
+    def margin(d: int) -> Column:
+        out = F.lit(float(w[0, d]))
+        for j in range(1, len(domains)):
+            out = out + F.get("z", F.lit(j - 1)) * F.lit(float(w[j, d]))
+        return out
+
+    margins = scored(feats).select("key", "tokens", F.array(*[margin(d) for d in range(len(domains))]).alias("m"))
+    odds = margins.select("key", "tokens", F.transform("m", lambda m: F.exp(m - F.array_max("m"))).alias("o"))
+    whole = F.aggregate("o", F.lit(0.0), lambda a, x: a + x)
+    return odds.select("key", "tokens", whole.alias("s"), "o").select("key", "tokens", F.transform("o", lambda x: x / F.col("s")).alias("p"))
+
+
+def _log_odds(seen: np.ndarray) -> np.ndarray:
+    """Log of a feature's share in a domain over its share everywhere, from counts.
+
+    A difference within ``SIGNIFICANT`` standard errors, or of less than ``MIN_RATIO``,
+    is taken as none.
+    """
     # Shares of all features seen in a domain, so that a text's length says nothing.
+    per_domain = seen.sum(axis=1, keepdims=True)
     everywhere = (seen.sum(axis=0) + 0.5) / (seen.sum() + 0.5 * BUCKETS)
     pull = SMOOTHING / everywhere.max()
-    rate = (seen + pull * everywhere) / (seen.sum(axis=1, keepdims=True) + pull)
+    rate = (seen + pull * everywhere) / (per_domain + pull)
+    expected = per_domain * everywhere
+    certain = np.abs(seen - expected) > SIGNIFICANT * np.sqrt(expected + 1.0)
     logs = np.log(rate / everywhere)
+    return np.where(certain & (np.abs(logs) >= np.log(MIN_RATIO)), logs, 0.0)
 
-    def likelihood(k: int) -> Column:
-        weights = _constant(np.round(logs[k], 9).tolist(), "array<double>")
-        prior = float(np.log(total[k] / total.sum())) if total[k] else -1e9
-        return F.aggregate("buckets", F.lit(prior), lambda acc, b: acc + F.get(weights, b))
 
-    scored = feats.select("key", "tokens", F.array(*[likelihood(k) for k in range(len(domains))]).alias("z"))
-    odds = scored.select("key", "tokens", F.transform("z", lambda z: F.exp(z - F.array_max("z"))).alias("o"))
-    whole = F.aggregate("o", F.lit(0.0), lambda a, x: a + x)
-    return odds.select("key", "tokens", whole.alias("s"), "o").select("key", "tokens", F.transform("o", lambda x: x / F.col("s")).alias("p"))
+def calibrate(x: np.ndarray, cls: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Multinomial logistic regression of the few sums, by gradient steps.
+
+    Rows are weighted so that domains count as often as in ``total``, all the labels.
+    A domain without rows gets no probability.
+    """
+    k = len(total)
+    w = np.zeros((x.shape[1], k))
+    here = np.bincount(cls, minlength=k).astype(float)
+    w[0] = np.where(here > 0, 0.0, -1e9)
+    if not len(cls) or (here > 0).sum() < 2:
+        w[0] = np.where(total > 0, np.log(np.maximum(total, 1e-9) / max(1.0, total.sum())), -1e9)
+        w[np.arange(1, k), np.arange(1, k)] = 1.0
+        return w
+    weight = (total / np.maximum(here, 1.0))[cls]
+    weight /= weight.sum()
+    scale = np.sqrt(weight @ x**2) + 1e-9
+    y, u = np.eye(k)[cls], x / scale
+    v = np.zeros_like(w)
+    for _ in range(3000):
+        m = u @ v + w[0]
+        e = np.exp(m - m.max(axis=1, keepdims=True))
+        e /= e.sum(axis=1, keepdims=True)
+        v -= 1.0 * (u.T @ ((e - y) * weight[:, None]) + 1e-6 * v)
+    out = v / scale[:, None]
+    out[0] += w[0]
+    return out
 
 
 def _dot(p: Column, v: Column, size: int) -> Column:
@@ -102,7 +176,7 @@ def _dot(p: Column, v: Column, size: int) -> Column:
 
 
 def fit_rates(members: DataFrame, targets: Sequence[float], max_rate: float | None = 1.0) -> DataFrame:
-    """Add ``rate`` to ``key, tokens, p``: projected gradient, from rate 1 for all.
+    """Add ``rate`` to ``key, tokens, p``: projected gradient with momentum, from rate 1.
 
     Minimises the squared differences between expected and target tokens of the
     domains, each over the domain's own scale. In units of the square root of a
@@ -125,28 +199,37 @@ def fit_rates(members: DataFrame, targets: Sequence[float], max_rate: float | No
     goal, most = np.asarray(targets, dtype=float), float("inf") if max_rate is None else max_rate
 
     def replayed(rows: DataFrame, steps: list[list[float]]) -> DataFrame:
+        """A step is the move along each domain, then the momentum."""
         if not steps:
             return rows
 
-        def move(rate: Column, v: Column) -> Column:
-            moved = F.greatest(F.lit(0.0), rate - _dot(p, v, k))
-            return F.least(F.lit(most), moved)
+        def move(at: Column, v: Column) -> Column:
+            moved = F.least(F.lit(most), F.greatest(F.lit(0.0), at["ahead"] - _dot(p, v, k)))
+            return F.struct(moved.alias("rate"), (moved + F.get(v, F.lit(k)) * (moved - at["rate"])).alias("ahead"))
 
-        moved = F.aggregate(_constant(steps, "array<array<double>>"), F.col("rate"), move)
-        return rows.withColumn("rate", F.when(F.col("tokens") > 0, moved).otherwise(F.col("rate")))
+        state = F.struct("rate", "ahead")
+        moved = F.aggregate(_constant(steps, "array<array<double>>"), state, move)
+        return (
+            rows.withColumn("state", F.when(F.col("tokens") > 0, moved).otherwise(state))
+            .withColumns({"rate": F.col("state.rate"), "ahead": F.col("state.ahead")}).drop("state")
+        )
 
-    rows, steps, before = start, [], None
+    rows, steps, before, error, t = start.withColumn("ahead", F.lit(1.0)), [], None, float("inf"), 1.0
     for _ in range(MAX_ROUNDS):
         now = replayed(rows, steps)
-        got = now.agg(*[F.sum(F.col("rate") * tokens * F.get(p, F.lit(d))).alias(f"d{d}") for d in range(k)]).first()
+        got = now.agg(*[F.sum(F.col("ahead") * tokens * F.get(p, F.lit(d))).alias(f"d{d}") for d in range(k)]).first()
         miss = np.array([got[d] for d in range(k)]) - goal
-        if np.abs(miss).max() <= TOLERANCE * sums["all"] or (before is not None and np.abs(miss - before).max() <= TOLERANCE / 10 * sums["all"]):
-            return now
-        before = miss
-        steps.append((step * scale * miss).tolist())
+        still = before is not None and np.abs(miss - before).max() <= TOLERANCE / 10 * sums["all"]
+        if still or np.abs(miss).max() <= TOLERANCE * sums["all"]:
+            return now.drop("ahead")
+        before, worse = miss, float(scale @ miss**2) > error
+        error = float(scale @ miss**2)
+        t_next = 1.0 if worse else (1 + np.sqrt(1 + 4 * t * t)) / 2  # momentum starts again
+        steps.append([*(step * scale * miss).tolist(), 0.0 if worse else float((t - 1) / t_next)])
+        t = t_next
         if len(steps) == REPLAY:
             rows, steps = written(replayed(rows, steps), "rates"), []
-    return replayed(rows, steps)
+    return replayed(rows, steps).drop("ahead")
 
 
 def mix(
@@ -163,8 +246,8 @@ def mix(
     NULL and empty texts have no tokens and rate 1; repeated rows are rated alike.
     """
     domains = list(weights)
-    feats = written(features(docs, key, text), "features")
-    members = written(posteriors(feats, labels.select(F.col(key).alias("key"), "domain"), domains), "posteriors")
+    marked = labels.select(F.col(key).alias("key"), "domain")
+    members = written(posteriors(docs, marked, domains, key, text), "posteriors")
     supply = members.agg(*[F.sum(F.col("tokens") * F.get("p", F.lit(i))).alias(d) for i, d in enumerate(domains)]).first()
     share = np.array([weights[d] for d in domains]) / sum(weights.values())
     if total_tokens is None:

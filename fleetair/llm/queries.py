@@ -45,7 +45,7 @@ def op4_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Target shares of tokens by domain of the labels table.
-DOMAIN_WEIGHTS = {"good": 0.92, "poor": 0.075, "toxic": 0.005}
+DOMAIN_WEIGHTS = {"good": 0.90, "poor": 0.08, "toxic": 0.02}
 
 
 def domain_labels(labels: DataFrame) -> DataFrame:
