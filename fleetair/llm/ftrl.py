@@ -20,6 +20,12 @@ from pyspark.sql import functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+#: A small sample is gone over until a shard has made this many updates, at most
+#: ``MAX_EPOCHS`` times.
+MIN_UPDATES = 4_000
+MAX_EPOCHS = 40
+
+
 @dataclass(frozen=True)
 class Penalty:
     """Step sizes and the elastic net: ``l1`` zeroes weights, ``l2`` shrinks them."""
@@ -81,7 +87,8 @@ def train(
             (np.asarray(idx[i].values), np.asarray(val[i].values, dtype=float), cls[i].as_py())
             for i in order.tolist()
         ]
-        w = train_shard(data, dim, outputs, epochs, penalty)
+        rounds = max(epochs, min(MAX_EPOCHS, -(-MIN_UPDATES // max(1, len(data)))))
+        w = train_shard(data, dim, outputs, rounds, penalty)
         at, out = np.nonzero(w)
         return pa.table({
             "at": pa.array(at, pa.int32()), "out": pa.array(out, pa.int32()),
