@@ -17,6 +17,7 @@ from itertools import pairwise
 
 import pyarrow as pa
 from pyspark import cloudpickle
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -44,7 +45,8 @@ _MAY_ASSIGN = re.compile(r"[:=]")
 _TARGET = re.compile(r"""(?<![\w$.-])([A-Za-z_$][\w$.-]*+)["']?\]?[ \t]*+(?::=|=>|=(?!=)|:(?![:/]))[ \t]*+""")
 _QUOTED = re.compile(r'''"((?:[^"\\\n]++|\\.)*+)"|'((?:[^'\\\n]++|\\.)*+)\'''')
 _NAME = re.compile(r"[A-Za-z_$][\w$.]*+")
-_BARE = re.compile(r"""[^\s"'`,;&<>(){}\[\]]++""")
+# An equals sign only ends a value (base64); inside, a=b=c would be read again and again.
+_BARE = re.compile(r"""[^\s"'`,;&<>(){}\[\]=]++=*+""")
 _JOIN = re.compile(r"[ \t]*+(?:\+[ \t]*+|\.[ \t]++)?")
 _PLACEHOLDER = re.compile(r"(?i)\$\{|\{\{|<|%\(|\*{3}|x{6}|change.?me|example|placeholder|your[_-]")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
@@ -135,29 +137,38 @@ def named_spans(text: str) -> list[tuple[int, int, float]]:
     return [(a, b, s) for (a, b), s in sorted(out.items())]
 
 
-@F.arrow_udf("array<struct<kind: string, start: long, end: long, score: double>>")
-def find(texts: pa.Array) -> pa.Array:
+def spans_of(text: str) -> list[tuple[int, int, int, str, float]]:
+    """(start, rank of the kind, end, kind, score), sorted; a named literal inside the
+    match of a fixed pattern is not listed again."""
+    spans = [(a, KINDS.index(k), b, k, 1.0) for k, a, b in base_spans(text)]
+    cover: list[list[int]] = []
+    for a, b in sorted((x[0], x[2]) for x in spans):  # merged, so that one pass is enough
+        if cover and a <= cover[-1][1]:
+            cover[-1][1] = max(b, cover[-1][1])
+        else:
+            cover.append([a, b])
+    k = 0
+    for a, b, s in named_spans(text):
+        while k < len(cover) and cover[k][1] < b:
+            k += 1
+        if not (k < len(cover) and cover[k][0] <= a):
+            spans.append((a, KINDS.index("named"), b, "named", s))
+    return sorted(spans)
+
+
+def find(text: Column) -> Column:
     """All spans of whole texts, in code points, end exclusive; NULL counts as empty.
 
-    Fixed patterns have score 1. A named literal inside one of them is not listed
-    again. Sorted by start, then kind in the order of ``KINDS``.
+    An array of structs of kind, start, end and score, sorted by start, then kind in
+    the order of ``KINDS``. Fixed patterns have score 1.
     """
-    out = []
-    for value in texts:
-        text = value.as_py() or ""
-        spans = [(a, KINDS.index(k), b, k, 1.0) for k, a, b in base_spans(text)]
-        last, cover = sorted((a, b) for a, _, b, _, _ in spans), []
-        for a, b in last:  # merged, so that one step along them is enough
-            if cover and a <= cover[-1][1]:
-                cover[-1][1] = max(b, cover[-1][1])
-            else:
-                cover.append([a, b])
-        k = 0
-        for a, b, s in named_spans(text):
-            while k < len(cover) and cover[k][1] < b:
-                k += 1
-            if not (k < len(cover) and cover[k][0] <= a):
-                spans.append((a, KINDS.index("named"), b, "named", s))
-        out.append([{"kind": k, "start": a, "end": b, "score": s} for a, _, b, k, s in sorted(spans)])
-    kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
-    return pa.array(out, pa.list_(kind))
+    @F.arrow_udf("array<struct<kind: string, start: long, end: long, score: double>>")
+    def scan(texts: pa.Array) -> pa.Array:
+        out = [
+            [{"kind": k, "start": a, "end": b, "score": s} for a, _, b, k, s in spans_of(x.as_py() or "")]
+            for x in texts
+        ]
+        kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
+        return pa.array(out, pa.list_(kind))
+
+    return scan(text)

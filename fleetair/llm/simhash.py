@@ -84,11 +84,14 @@ def simhash(text: str | None) -> int:
     return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big")
 
 
-@F.arrow_udf("long")
-def fingerprint(texts: pa.Array) -> pa.Array:
+def fingerprint(text: Column) -> Column:
     """The fingerprint as a signed long, whose bits are the fingerprint's."""
-    found = np.array([simhash(x.as_py()) for x in texts], dtype=np.uint64)
-    return pa.array(found.view(np.int64))
+    @F.arrow_udf("long")
+    def prints(texts: pa.Array) -> pa.Array:
+        found = np.array([simhash(x.as_py()) for x in texts], dtype=np.uint64)
+        return pa.array(found.view(np.int64))
+
+    return prints(text)
 
 
 def fingerprint_hex(fp: Column) -> Column:
