@@ -249,7 +249,7 @@ def host_of(url: Column) -> Column:
 def low_importance(pages: DataFrame) -> DataFrame:
     """``host, styles``: per host the style nodes whose branches are repeated.
 
-    A host's style tree counts each different page once, however often it is copied.
+    Every block element of every page is in its host's tree. A host's style tree counts each different page once, however often it is copied.
     """
     def styles(batches):
         for batch in batches:
@@ -257,12 +257,9 @@ def low_importance(pages: DataFrame) -> DataFrame:
             for host, html in zip(batch.column("host"), batch.column("html"), strict=True):
                 host = host.as_py()
                 root = parse(html.as_py())
-                nodes = annotate(root, host)
-                keep, merged, gone = _holds_article(nodes), {}, set()
-                for n in nodes:
-                    if id(n.parent) in gone or (n.noise and (n.tag in NOISE_TAGS or id(n) not in keep)):
-                        gone.add(id(n))
-                    elif n.tag in BLOCK and n.tag not in TEXT_TAGS and id(n) not in keep:
+                merged: dict[int, list[Node]] = {}
+                for n in annotate(root, host):
+                    if n.tag in BLOCK:
                         merged.setdefault(n.style, []).append(n)
                 for style, same in merged.items():
                     shape = _hash(*[c.style for n in same for c in n.children if isinstance(c, Node)])
