@@ -17,7 +17,8 @@ from fleetair.schema import (
     UNLABELED_NAME,
 )
 
-# Status codes of the signal algorithm.
+# Status codes of the signal algorithm, without the prefix that the
+# vendor puts before every name.
 SIGNAL_CODES = {
     0: "OK",
     -1: "E_DOSTEPS_INVALIDINPUT",

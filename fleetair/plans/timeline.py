@@ -281,8 +281,9 @@ class Timeline:
 def first_per_group(df: DataFrame, keys, order, count: str | None = None) -> DataFrame:
     """The first row of each group by ``order``, as a grouped aggregate.
 
-    Rows are reduced before the exchange, so a group of a billion copies costs
-    one row per map task; a ranking window would move and sort them all.
+    Rows are reduced before the exchange, so a group of a billion copies sends one
+    row per map task; a ranking window would move them all. The reduction is a sort
+    aggregate, since whole rows are no fixed-width value: each task sorts its rows.
     """
     keys, order = as_list(keys), as_list(order)
     rest = [c for c in df.columns if c not in keys]

@@ -85,7 +85,7 @@ OUTPUT_IDS = {
     12: "stabilization_status", 13: "run_in_status",
     14: "comp_temp", 15: "comp_humidity", 21: "gas_percentage",
 }
-# Gas-scan outputs, and the regression outputs that fill the same estimates.
+# Gas-scan outputs, and the regression outputs that fill the same estimates.
 SCAN_OUTPUT_IDS = {
     6: "raw_temp", 7: "raw_pressure", 8: "raw_humidity", 9: "raw_gas",
     22: "gas_estimate_1", 23: "gas_estimate_2", 24: "gas_estimate_3",
