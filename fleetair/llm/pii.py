@@ -37,7 +37,8 @@ PATTERNS = {
 }
 #: A text without this cannot match.
 _NEEDS = {"email": "@", "phone": "+"}
-_BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
+# The zeros give back, at most three of them: a part may be nothing but zeros.
+_BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
 
 def _luhn(digits: Column) -> Column:

@@ -422,6 +422,19 @@ def test_pii_patterns(spark, odd_rows, empty):
     assert pii.find(empty).count() == 0
 
 
+def test_pii_zero_parts(spark):
+    """Parts of an address that are only zeros, with and without further zeros."""
+    rng = random.Random(13)
+    pieces = ["0", "00", "10.0.0.1", ".", "1", "255", "256", "0255", "00256", " ", "127.0.0.", "000"]
+    rows = [(i, noise(rng, pieces, 40), None, None, None) for i in range(200)]
+    rows += [(900 + i, x, None, None, None) for i, x in enumerate(["10.0.0.1", "127.0.0.1", "192.168.0.12", "1.2.3.0", "0.0.0.0", "8.8.8.8", "1.2.3.0256", "0" * 500 + ".0.0.0"])]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    found = {r.doc_id: r for r in _digested(pii.find(docs), pii.KINDS[:4]).collect()}
+    assert {d[0]: found[d[0]].base_sha256 for d in rows} == {d[0]: digest(plain_pii(d[1])) for d in rows}
+    kinds = {r.doc_id: [s.kind for s in r.spans if s.kind == "ip"] for r in pii.find(docs).where("doc_id >= 900").collect()}
+    assert [len(kinds[900 + i]) for i in range(8)] == [1, 1, 1, 1, 1, 1, 0, 1]
+
+
 def test_pii_bootstrapping(spark):
     rows = [(i, f"Please write to contact address: user{i}@mail.example.org today") for i in range(8)]
     rows += [(50, "Please write to contact address: agent-0077x today"), (51, "some other words agent-0078x here")]
