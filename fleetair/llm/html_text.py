@@ -98,8 +98,9 @@ class _Builder(HTMLParser):
     def handle_endtag(self, tag):
         node = self.at
         while node.parent and node.tag != tag:
-            # The end of an inline element does not end the blocks around or inside it.
-            if tag not in BLOCK and node.tag in BLOCK:
+            # The end of an inline element does not end the blocks around or inside it,
+            # but what is never text ends where its tag does.
+            if tag not in BLOCK and tag not in NOISE_TAGS and node.tag in BLOCK:
                 return
             node = node.parent
         if node.parent and tag not in ("html", "body"):

@@ -240,6 +240,15 @@ def test_html_markup():
     assert text_of("<div>" * 20_000 + "deep") == "deep"
 
 
+@pytest.mark.parametrize("tag", ["noscript", "button", "object", "canvas", "template", "svg", "select", "audio", "video"])
+def test_html_noise_ends_with_its_tag(tag):
+    """A block left open inside does not keep a noise element open."""
+    article = "<article><p>All of it</article>"
+    assert text_of(f"<body><{tag}><p>Enable scripts</{tag}>{article}<p>tail") == "All of it"
+    assert text_of(f"<body><div><{tag}><div><ul><li>x</{tag}>Rest</div>of it") == "Rest\nof it"
+    assert text_of(f"<body><p>one</{tag}>two</p>{article}") == "All of it"
+
+
 def test_html_style_tree(spark):
     """What every page of a host repeats goes, also when no markup tells."""
     rows = [
