@@ -49,6 +49,12 @@ NOISE_WORDS = frozenset(
     "recommended widget toolbar pagination pager login signup".split())
 #: Page headers are noise; the header of an article holds its title.
 HEADER_WORDS = frozenset(["header", "masthead"])
+#: First and last words of a name that tells of a state or of what is not there
+#: (no-sidebar, comments-open), not of what the branch is.
+STATE_FIRST = frozenset("no not without with has".split())
+STATE_LAST = frozenset("open opened closed enabled disabled off".split())
+#: How much of an element's classes and ids names noise.
+PARTLY, WHOLLY = 1, 2
 #: Elements that hold running text are not judged by how often they are repeated.
 TEXT_TAGS = frozenset("html body main article p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th".split())
 _CLOSES = {  # a start tag ends the open element of the first set, up to the second
@@ -62,13 +68,14 @@ _NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Node:
-    __slots__ = ("children", "content", "names", "noise", "parent", "style", "tag", "within")
+    __slots__ = ("children", "content", "named", "names", "nested", "noise", "parent", "style", "tag", "within")
 
     def __init__(self, tag: str, names: str, noise: bool, parent: Node | None):
         self.tag, self.names, self.noise, self.parent = tag, names, noise, parent
         self.children: list[Node | str] = []
-        self.style = self.content = 0
+        self.style = self.content = self.named = 0
         self.within = bool(parent) and (parent.within or parent.tag in ("article", "main"))
+        self.nested = bool(parent) and (parent.nested or parent.tag == "article")
 
 
 class _Builder(HTMLParser):
@@ -86,6 +93,7 @@ class _Builder(HTMLParser):
         given = {k: v or "" for k, v in attrs}
         node = Node(tag, f"{given.get('class', '')} {given.get('id', '')}".strip(), False, self.at)
         node.noise = _is_noise(node, given)
+        node.named = 0 if node.noise else _named_noise(node)
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
@@ -135,10 +143,23 @@ def _is_noise(node: Node, given: dict[str, str]) -> bool:
         return False
     if tag == "header" and not node.within:
         return True
-    if given.get("role", "").lower() in NOISE_ROLES:
-        return True
-    words = {w.lower() for w in _NAME_WORDS.findall(node.names)}
-    return bool(words & NOISE_WORDS) or (bool(words & HEADER_WORDS) and not node.within and tag not in ("article", "h1"))
+    return given.get("role", "").lower() in NOISE_ROLES
+
+
+def _named_noise(node: Node) -> int:
+    """Whether no, some or all of the element's classes and ids name noise."""
+    if node.tag in ("html", "body", "main"):
+        return 0
+    header = not node.within and node.tag not in ("article", "h1")
+    noisy, clean = False, False
+    for name in node.names.split():
+        words = [w.lower() for w in _NAME_WORDS.findall(name)]
+        state = len(words) > 1 and (words[0] in STATE_FIRST or words[-1] in STATE_LAST)
+        if not state and any(w in NOISE_WORDS or (header and w in HEADER_WORDS) for w in words):
+            noisy = True
+        elif words:
+            clean = True
+    return (PARTLY if clean else WHOLLY) if noisy else 0
 
 
 def parse(html: str | None) -> Node:
@@ -177,7 +198,7 @@ def _holds_article(nodes: list[Node]) -> set[int]:
     """Ids of the elements that hold an article or main element; they are not noise."""
     out = set()
     for node in nodes:
-        if node.tag in ("article", "main") and not node.noise:
+        if node.tag in ("article", "main") and not node.noise and not node.named:
             up = node.parent
             while up and id(up) not in out:
                 out.add(id(up))
@@ -186,13 +207,49 @@ def _holds_article(nodes: list[Node]) -> set[int]:
 
 
 def main_text(root: Node, nodes: list[Node], low: frozenset[int]) -> str:
-    """The text of the article without noise and without branches of low importance."""
+    """The text of the article without noise and without branches of low importance.
+
+    Names alone do not remove an article, unless it lies in another one or all its
+    names are noise, nor a partly named branch with most of the page's important text.
+    If names would leave no text at all, no article and no such branch goes by name.
+    """
     keep = _holds_article(nodes)
     bad = {
         id(n) for n in nodes
         if (n.noise and (n.tag in NOISE_TAGS or id(n) not in keep))
         or (n.style in low and n.tag not in TEXT_TAGS and id(n) not in keep)
     }
+    named = [n for n in nodes if n.named and id(n) not in bad and id(n) not in keep]
+    if not named:
+        return _article(root, nodes, bad)
+    sizes = _sizes(nodes, bad)
+    large = {id(n) for n in named if 2 * sizes[id(n)] > sizes[id(root)]}
+    articles = {id(n) for n in named if n.tag == "article"}
+    stay = {
+        id(n) for n in named
+        if (id(n) in articles and not n.nested and (n.named == PARTLY or id(n) in large))
+        or (id(n) not in articles and n.named == PARTLY and id(n) in large)
+    }
+    for n in named:  # a branch around the page's article
+        if n.named == PARTLY and not n.nested and id(n) in articles & large:
+            up = n.parent
+            while up and not (up.tag == "article" and up.named):
+                stay.add(id(up))
+                up = up.parent
+    by_name = {id(n) for n in named}
+    return _article(root, nodes, bad | (by_name - stay)) or _article(root, nodes, bad | (by_name - large - articles))
+
+
+def _sizes(nodes: list[Node], bad: set[int]) -> dict[int, int]:
+    """Characters of text, without white space, in every element and not in a bad one."""
+    sizes: dict[int, int] = {}
+    for node in reversed(nodes):  # children come first
+        sizes[id(node)] = 0 if id(node) in bad else sum(
+            sizes[id(c)] if isinstance(c, Node) else sum(map(len, c.split())) for c in node.children)
+    return sizes
+
+
+def _article(root: Node, nodes: list[Node], bad: set[int]) -> str:
     tops = _outermost(nodes, "article", bad) or _outermost(nodes, "main", bad)
     text = "\n".join(t for t in (_blocks(n, bad) for n in tops) if t)
     return text or _blocks(root, bad)

@@ -249,6 +249,25 @@ def test_html_noise_ends_with_its_tag(tag):
     assert text_of(f"<body><p>one</{tag}>two</p>{article}") == "All of it"
 
 
+def test_html_names_do_not_take_the_article():
+    """Noise words in the names of articles and of the branch that holds most text."""
+    body, side = "<p>All of the text of it, word by word", "<div class=related><p>More</div><div id=comments>C</div>"
+    want = "All of the text of it, word by word"
+    for names in ("post category-social", "post comments-open", "hentry social", "notice", "related"):
+        assert text_of(f"<body>{side}<article class='{names}'>{body}</article>{side}") == want
+    for names in ("content no-sidebar", "with-sidebar", "main social", "wrap header-fixed"):
+        assert text_of(f"<body><div class='{names}'>{body}</div>{side}") == want
+    assert text_of(f"<div class='content no-sidebar'><article class='post category-social'>{body}</article></div>{side}") == want
+    assert text_of(f"<div id=social><article class='post category-social'>{body}</article></div>{side}") == want
+    posts = "".join(f"<article class='post comments-open'><p>P{i}</article>" for i in range(3))
+    assert text_of(f"<body>{posts}{side}") == "P0\nP1\nP2"
+    assert text_of(f"<body><div class=sidebar>{body}</div>") == want
+    assert text_of(f"<article><p>Short</p><div id=comments><article class='comment even'>{body}</article></div></article>") == "Short"
+    # What names itself wholly stays noise, however long.
+    assert text_of(f"<article><p>Short</p><section id=comments>{body}{body}</section></article>") == "Short"
+    assert text_of(f"<div class=post>Short</div><section id=comments><article class=comment>{body}</article></section>") == "Short"
+
+
 def test_html_style_tree(spark):
     """What every page of a host repeats goes, also when no markup tells."""
     rows = [
