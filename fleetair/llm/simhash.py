@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetair.llm.common import written
@@ -210,24 +210,33 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     prints = written(
         docs.select(F.col(key).alias("_key"), fingerprint(F.col(text)).alias("fp")), "fingerprints")
-    first = prints.groupBy("fp").agg(F.min("_key").alias("first"))
-    linked = connected(links(first.select("fp"))).select(F.col("vertex").alias("fp"), "root")
-    # One row per fingerprint; those without links are their own component.
-    roots = first.join(linked, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    roots = _roots(prints, F.min("_key"))
     least = roots.groupBy("root").agg(F.min("first").alias("component_id"))
     component = roots.join(least, "root").select("fp", "component_id")
     return prints.join(component, "fp").select(F.col("_key").alias(key), "fp", "component_id")
 
 
+def _roots(prints: DataFrame, first: Column) -> DataFrame:
+    """``fp, first, root``: one row per fingerprint; those without links are their own root."""
+    firsts = prints.groupBy("fp").agg(first.alias("first"))
+    linked = connected(links(firsts.select("fp"))).select(F.col("vertex").alias("fp"), "root")
+    return firsts.join(linked, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The row with the smallest key of every group of near-duplicates.
+    """One row of every group of near-duplicates: the smallest key, NULL last.
 
-    Rows that repeat a key are reduced to one; rows without a key are kept, once each,
-    if their group has no row with a key.
+    Of rows that share this key in a group the one with the smallest hash of its text
+    stays, of rows with the same key and text any one. A key with different texts
+    has a row in every group of which it is the smallest.
     """
-    found = near_duplicates(docs, key, text)
-    stay = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_stay")).distinct()
-    kept = docs.join(stay, docs[key].eqNullSafe(stay["_stay"]), "left_semi")
-    without_key = F.when(F.col(key).isNull(), F.xxhash64(F.col(text)))
-    order = Window.partitionBy(key, without_key).orderBy(F.xxhash64(F.col(text)))
-    return kept.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
+    of = F.xxhash64(F.col(text))
+    prints = written(
+        docs.select(F.col(key).alias("_key"), of.alias("_of"), fingerprint(F.col(text)).alias("fp")), "fingerprints")
+    roots = _roots(prints, F.min(F.struct(F.col("_key").isNull().alias("none"), "_key", "_of")))
+    stay = roots.groupBy("root").agg(F.min("first").alias("first")).select(
+        F.col("first._key").alias("_stay"), F.col("first._of").alias("_stay_of"))
+    marked = docs.withColumn("_near_of", of)
+    same = marked[key].eqNullSafe(stay["_stay"]) & (marked["_near_of"] == stay["_stay_of"])
+    # Grouped, so that rows of the same key and text are reduced before they meet.
+    return marked.join(stay, same, "left_semi").dropDuplicates([key, "_near_of"]).drop("_near_of")

@@ -40,6 +40,25 @@ def test_stages(spark, tables):
     assert {"shard", "slot"} <= set(docs.columns)
 
 
+def test_keep_one_with_repeated_and_missing_keys(spark):
+    """One row of each group, also where a key has several texts or there is none."""
+    body = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    texts = [(7, "a"), (7, "b"), (7, "b"), (7, "c"), (8, "c"), (3, "a"), (None, "d"), (None, "d"), (None, "e"), (9, "e"), (None, "f")]
+    docs = spark.createDataFrame([(k, body(t), t) for k, t in texts], "doc_id long, text string, of string")
+    got = simhash.keep_one(docs)
+    assert got.columns == docs.columns
+    want = [(None, "d"), (None, "f"), (3, "a"), (7, "b"), (7, "c"), (9, "e")]
+    assert sorted(((r.doc_id, r.of) for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_keep_one_of_near_copies_without_keys(spark, monkeypatch):
+    """Different texts with linked fingerprints and no key leave one row."""
+    monkeypatch.setattr(simhash, "fingerprint", lambda text: F.length(text).cast("long"))
+    docs = spark.createDataFrame([(None, "x"), (None, "xxx"), (None, "yyy"), (5, "x" * 200), (5, "y" * 200)], "doc_id long, text string")
+    got = sorted((r.doc_id is None, len(r.text)) for r in simhash.keep_one(docs).collect())
+    assert len(got) == 2 and got[0] == (False, 200) and got[1][0]
+
+
 def test_empty(spark, tables):
     docs = spark.read.parquet(f"{tables}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
