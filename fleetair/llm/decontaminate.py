@@ -140,7 +140,7 @@ def contamination(
         runs = hashed.where(F.size("h") >= size).select(*same, F.posexplode(F.transform(starts, lambda s: _gram_hash(h, s, size))).alias("pos", "hash"))
         wanted = windows.where(F.col("len") == size).select(_gram_hash(F.col("hashes"), F.lit(0), size).alias("hash")).distinct()
         hits = hits.union(runs.join(sized(wanted), "hash", "left_semi").select(*same, "pos", F.lit(size).alias("len")))
-    hits = hits.groupBy(*same).agg(F.collect_list(F.struct("pos", "len")).alias("hits"))
+    touched = _touched(base, hits, same)
 
     # Extend: the text of every window around a hit, compared with the items' windows.
     w, n = F.col("w"), F.size("w")
@@ -152,8 +152,7 @@ def contamination(
 
     near = F.array_distinct(F.flatten(F.transform("hits", around)))
     candidates = (
-        _same_rows(base.where(F.col("_text").isNotNull()), hits, same)
-        .select(*same, words(F.col("_text")).alias("w"), "hits").select(*same, "w", near.alias("near"))
+        touched.select(*same, words(F.col("_text")).alias("w"), "hits").select(*same, "w", near.alias("near"))
         .select(*same, F.inline(F.transform("near", lambda c: F.struct(
             c["start"].alias("start"), (c["start"] + c["len"]).alias("end"),
             F.array_join(F.slice(w, c["start"] + 1, c["len"]), " ").alias("window")))))
@@ -193,6 +192,15 @@ def contamination(
     )
 
 
+def _touched(base: DataFrame, hits: DataFrame, same: list[str]) -> DataFrame:
+    """``_key, _of, _text, hits``: one row per key and text with hits, each hit once.
+
+    Copies of a row have the same hits; both are reduced before they meet in a task.
+    """
+    lists = hits.groupBy(*same).agg(F.collect_set(F.struct("pos", "len")).alias("hits"))
+    return _same_rows(base.where(F.col("_text").isNotNull()), lists, same).dropDuplicates(same)
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with their columns."""
     found = contamination(docs, benchmark, key, text).where("contaminated")

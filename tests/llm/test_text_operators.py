@@ -142,6 +142,27 @@ def test_decontamination(spark, odd_rows, odd, empty):
     assert decontaminate.contamination(empty, bench).count() == 0
 
 
+def test_decontamination_of_repeated_rows(spark, monkeypatch):
+    """Copies of a row with its key, or without one, bring no hits or windows of their own."""
+    rng = random.Random(6)
+    passage = sentence(rng, 200)
+    bench = spark.createDataFrame([(1, passage), (2, "only three words")], "item_id long, text string")
+    rows = [(1, passage), (None, passage + " only three words"), (2, "none of it")]
+    touched = decontaminate._touched
+    seen = []
+
+    def counted(base, hits, same):
+        out = touched(base, hits, same)
+        seen.append(sorted(map(len, (r.hits for r in out.collect()))))
+        return out
+
+    monkeypatch.setattr(decontaminate, "_touched", counted)
+    once = decontaminate.contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    many = decontaminate.contamination(spark.createDataFrame(rows * 30, "doc_id long, text string"), bench).collect()
+    assert sorted(map(str, many)) == sorted(map(str, once * 30))
+    assert seen[0] == seen[1] and len(seen[0]) == 2
+
+
 # Sharding
 
 
