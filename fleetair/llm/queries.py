@@ -7,7 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetair.llm import decontaminate, exact_dedup, html_text, language, mixing, pii, quality, secrets_scan, sharding, simhash
+from fleetair.llm import (
+    decontaminate, exact_dedup, html_text, language, lm_score, mixing, periodic_runs, pii, quality, secrets_scan, sharding, simhash,
+    token_align,
+)
 from fleetair.llm.common import fold, table
 
 
@@ -103,7 +106,43 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digested(pii.find(table(spark, sf_dir, "documents")), pii.KINDS[:4])
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality, op3_decontaminate, op4_kd_shards, op5_mixing, op6_html_text, op7_exact_dedup, op8_simhash, op9_secrets, op10_pii)}
+def op11_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = _id_crc32(F.col("doc_id")) % 5 == 1
+    found = lm_score.score(table(spark, sf_dir, "documents"), ~held_out)
+    return found.select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def _id_crc32(doc_id: Column) -> Column:
+    return F.crc32(doc_id.cast("string").cast("binary"))
+
+
+def _digest(text: Column) -> Column:
+    return F.sha2(text.cast("binary"), 256)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = _id_crc32(F.col("doc_id"))
+    seed = F.when(h % 10 == 0, F.floor(h / 10))
+    found = table(spark, sf_dir, "documents").select(
+        "doc_id", periodic_runs.periodic_runs(F.col("text"), seed).alias("r")).select("doc_id", "r.*")
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        _digest(F.array_join(lines, "")).alias("runs_sha256"), _digest(F.col("collapsed")).alias("collapsed_sha256"))
+
+
+def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_align.align(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
+        F.when(F.col("n_a") > 0, _digest(F.col("groups"))).otherwise("").alias("groups_sha256"), "n_shared")
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_language_id, op2_quality, op3_decontaminate, op4_kd_shards, op5_mixing, op6_html_text, op7_exact_dedup, op8_simhash,
+    op9_secrets, op10_pii, op11_lm_score, op12_periodic_runs, op13_token_align)}
 
 SQL: dict[str, str] = {
     "op3_decontaminate": r"""
