@@ -25,7 +25,7 @@ from fleetair.plans.scratch import scratch_path
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Entries that a bucket holds, about.
-BUCKET_ENTRIES = 1 << 20
+BUCKET_ENTRIES = 1 << 18
 #: Bytes of a text that are cut into words at a time.
 PIECE = 1 << 22
 

@@ -4,8 +4,9 @@ The probability of a token after another mixes maximum-likelihood estimates: the
 bigram's, the word's, and an equal share for each word of the vocabulary and one that
 is unseen. The bigram's weight depends on how often its first word was seen, in
 powers of two. One training document in ten is deleted from the counts, and
-expectation-maximisation finds the weights that make the deleted bigrams likeliest;
-the scores then use these weights with the counts of all training documents.
+expectation-maximisation finds the weights that make the deleted tokens likeliest, first
+the word's weight and then the bigrams'; the scores then use these weights with
+the counts of all training documents.
 """
 
 from __future__ import annotations
@@ -22,16 +23,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetair.llm import blocks as bl
+from fleetair.llm.blocks import block_ids, in_order, numbering, word_lists
 from fleetair.llm.common import written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Tokens after which a block is full; a longer text is a block of its own.
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 1 << 19
 #: One training document in this many is deleted from the counts that weights are learned with.
 DELETED = 10
-#: Gain of a step in log10 likelihood per deleted token at which the weights are settled.
-SETTLED = 1e-6
+#: Change of a weight by a step at which it is settled.
+SETTLED = 1e-9
+#: Deleted bigrams are put together by the logarithm of how much likelier the bigram's estimate is
+#: than the word's, in this many parts of a unit; the mean of each part stands for it.
+PARTS = 64
 #: Powers of two that a count can have.
 LEVELS = 63
 
@@ -53,7 +58,7 @@ class Weights:
 class _Block:
     """Documents on their way into a row of the table of blocks."""
 
-    numbers: dict = field(default_factory=bl.numbering)
+    numbers: dict = field(default_factory=numbering)
     tokens: list = field(default_factory=list)
     keys: list = field(default_factory=list)
     training: list = field(default_factory=list)
@@ -62,7 +67,7 @@ class _Block:
 
     def add(self, key, text: bytes | None, training: bool) -> None:
         length = 1
-        for words in bl.word_lists((text or b"").translate(_LOWER)):
+        for words in word_lists((text or b"").translate(_LOWER)):
             self.tokens.append(np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words)))
             length += len(words)
         self.tokens.append(np.array([self.numbers[_END]], np.int32))
@@ -92,7 +97,7 @@ def _packed(docs: DataFrame, training: Column, key: str, text: str) -> DataFrame
     kinds = ("long", "boolean", "long", f"array<{key_type}>", "array<boolean>", "array<int>", "array<int>", "array<long>")
 
     def pack(batches):
-        arrow, ids, open_ = None, bl.block_ids(), {False: _Block(), True: _Block()}
+        arrow, ids, open_ = None, block_ids(), {False: _Block(), True: _Block()}
         for batch in batches:
             if arrow is None:
                 lists = (pa.list_(t) for t in (batch.schema.field("key").type, pa.bool_(), pa.int32(), pa.int32(), pa.int64()))
@@ -173,38 +178,42 @@ def _row(table: pa.Table) -> dict:
     return {c: table[c][0] for c in table.schema.names}
 
 
-def learn(events: DataFrame, n_tokens: int, vocabulary: int) -> Weights:
-    """Expectation-maximisation over ``level, pair, before, own, n``: deleted bigrams with
-    their counts elsewhere. Every step adds up the table by levels."""
-    word, unseen = F.col("own") / F.lit(float(max(1, n_tokens))), F.lit(1.0 / (vocabulary + 1))
-    seen = F.col("before") > 0
-    weights, before = Weights(), None
+def mixture_weight(ratio: np.ndarray, n: np.ndarray) -> float:
+    """Expectation-maximisation for the weight of one estimate against another, from how
+    many times as likely as the other it finds ``n`` tokens.
+
+    As if one more token had been half of it, so that no weight is 0 or 1.
+    """
+    weight, whole = 0.5, n.sum()
     while True:
-        lam = F.when(seen, F.get(F.lit(list(weights.bigram)), F.greatest("level", F.lit(0)))).otherwise(0.0)
-        two = F.when(seen, lam * F.col("pair") / F.col("before")).otherwise(0.0)
-        one, none = (1 - lam) * weights.word * word, (1 - lam) * (1 - weights.word) * unseen
-        parts = events.select("level", "n", two.alias("two"), one.alias("one"), none.alias("none"))
-        mix = F.col("two") + F.col("one") + F.col("none")
-        found = parts.groupBy("level").agg(
-            *[F.sum(F.col("n") * F.col(c) / mix).alias(c) for c in ("two", "one", "none")],
-            F.sum(F.col("n") * F.log10(mix)).alias("fit"), F.sum("n").alias("n")).collect()  # a row per level
-        n = sum(r["n"] for r in found)
-        if not n:
-            return weights
-        fit = sum(r["fit"] for r in found) / n
-        if before is not None and fit - before <= SETTLED:
-            return weights
-        before = fit
-        known = [r for r in found if r["level"] >= 0]
-        pooled = _share(sum(r["two"] for r in known), sum(r["n"] for r in known))
-        of = {r["level"]: _share(r["two"], r["n"]) for r in known}
-        one = sum(r["one"] for r in found)
-        weights = Weights(tuple(of.get(b, pooled) for b in range(LEVELS)), _share(one, one + sum(r["none"] for r in found)))
-
-
-def _share(part: float, whole: float) -> float:
-    """As if one more token had been half of it, so that no weight is 0 or 1."""
-    return (part + 0.5) / (whole + 1)
+        part = float((n * weight * ratio / (weight * ratio + 1 - weight)).sum())
+        before, weight = weight, (part + 0.5) / (whole + 1)
+        if abs(weight - before) <= SETTLED:
+            return weight
+
+
+def learn(events: DataFrame, n_tokens: int, vocabulary: int) -> Weights:
+    """Weights from ``level, pair, before, own, n``: deleted bigrams with their counts elsewhere.
+
+    The driver gets a row per distinct count of a word, of which there are at most as many as the
+    root of twice the tokens, and one per level and part of the ratios.
+    """
+    n_tokens, unseen = max(1, n_tokens), 1.0 / (vocabulary + 1)
+    per_count = events.groupBy("own").agg(F.sum("n").alias("n")).toArrow()
+    if not per_count.num_rows:
+        return Weights()
+    own, n = (per_count[c].to_numpy().astype(float) for c in ("own", "n"))
+    word = mixture_weight(own / n_tokens / unseen, n)
+    single = F.lit(word / n_tokens) * F.col("own") + F.lit((1 - word) * unseen)
+    ratio = F.log(F.col("pair") / F.col("before") / single)
+    seen = events.where("before > 0").select("level", "n", F.when(F.col("pair") > 0, ratio).alias("r"))
+    parts = seen.groupBy("level", F.floor(F.col("r") * PARTS).alias("part")).agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("r")).alias("r")).toArrow().to_pandas()
+    parts["ratio"] = np.exp(parts["r"] / parts["n"]).where(parts["part"].notna(), 0.0)
+    parts = parts.sort_values(["level", "ratio"])
+    pooled = mixture_weight(parts["ratio"].to_numpy(), parts["n"].to_numpy().astype(float))
+    of = {level: mixture_weight(p["ratio"].to_numpy(), p["n"].to_numpy().astype(float)) for level, p in parts.groupby("level")}
+    return Weights(tuple(of.get(b, pooled) for b in range(LEVELS)), word)
 
 
 def score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -228,7 +237,7 @@ def score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "t
 
     def deleted_bigrams(block: pa.Table, count: pa.Table) -> pa.Table:
         g = _grams(_row(block))
-        pair, before, own = _looked_up(g, bl.in_order(count, "kept"))
+        pair, before, own = _looked_up(g, in_order(count, "kept"))
         found = pd.DataFrame({"level": _level(before), "pair": pair, "before": before, "own": own})
         found = found.groupby(list(found.columns), sort=False).size().reset_index(name="n")
         return pa.Table.from_pandas(found, preserve_index=False).cast(pa.schema([(c, pa.int64()) for c in found.columns]))
@@ -244,7 +253,7 @@ def score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "t
     def scored(block: pa.Table, count: pa.Table) -> pa.Table:
         row = _row(block)
         g = _grams(row)
-        pair, before, own = _looked_up(g, bl.in_order(count, "total"))
+        pair, before, own = _looked_up(g, in_order(count, "total"))
         lam = np.where(before > 0, bigram[np.maximum(_level(before), 0)], 0.0)
         single = word * own / max(1, n_tokens) + (1 - word if n_tokens else 1.0) / (vocabulary + 1)
         p = lam * pair / np.maximum(before, 1) + (1 - lam) * single

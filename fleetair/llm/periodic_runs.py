@@ -20,7 +20,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fleetair.llm import blocks as bl
+from fleetair.llm.blocks import numbering, word_lists
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -124,8 +124,8 @@ def periodic_runs(text: Column, tail_seed: Column | None = None) -> Column:
     def found(texts: pa.Array, seeds: pa.Array) -> pa.Array:
         out = []
         for value, seed in zip(texts, seeds, strict=True):
-            numbers, words = bl.numbering(), [np.empty(0, np.int64)]
-            for piece in bl.word_lists(value.as_py() or b""):
+            numbers, words = numbering(), [np.empty(0, np.int64)]
+            for piece in word_lists(value.as_py() or b""):
                 words.append(np.fromiter(map(numbers.__getitem__, piece), np.int64, len(piece)))
             at = np.concatenate(words)
             if seed.is_valid and len(at):
