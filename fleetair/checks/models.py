@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fleetair.functions.scoring import argmax_class
-from fleetair.operators import metrics, ml, quality
+from fleetair.operators import boosting, metrics, ml, network, quality
 from fleetair.plans.scratch import scratch_path
 from fleetair.schema import FEATURES
 from fleetair.sources import adapters as ad
@@ -14,15 +15,21 @@ from fleetair.sources import logs
 CLASSES = [0, 1, 2]
 
 
+#: Rows of sixteen features that a vector is cut into.
+PER_VECTOR = 4
+
+
 def feature_rows(spark, d):
-    """The first sixteen entries of each vector, under the feature names."""
-    return ad.table(spark, d, "embeddings").select(
-        "vec_id", (F.col("label") % 3).cast("int").alias("label"),
-        *[F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in enumerate(FEATURES)])
+    """Each vector as four rows of sixteen entries, under the feature names."""
+    cut = ad.table(spark, d, "embeddings").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PER_VECTOR - 1))))
+    return cut.select(
+        (F.col("vec_id") * PER_VECTOR + F.col("part")).alias("row_id"), (F.col("label") % 3).cast("int").alias("label"),
+        *[F.get("embedding", F.col("part") * len(FEATURES) + i).cast("double").alias(n) for i, n in enumerate(FEATURES)])
 
 
-FEATURES_SQL = "SELECT vec_id, CAST(label % 3 AS INTEGER) AS label, " + ", ".join(
-    f"CAST(embedding[{i + 1}] AS DOUBLE) AS {n}" for i, n in enumerate(FEATURES)) + " FROM embeddings"
+FEATURES_SQL = f"SELECT vec_id * {PER_VECTOR} + part AS row_id, CAST(label % 3 AS INTEGER) AS label, " + ", ".join(
+    f"CAST(embedding[{len(FEATURES)} * part + {i + 1}] AS DOUBLE) AS {n}" for i, n in enumerate(FEATURES)
+) + f" FROM embeddings, range({PER_VECTOR}) AS r(part)"
 
 
 def weight(i, j, k):
@@ -58,29 +65,29 @@ SELECT {keep}, list_transform(z, lambda v: exp(v) / list_sum(list_transform(z, l
 
 def m5(spark, d):
     out = ml.dense_score(feature_rows(spark, d), FEATURES, LAYERS)
-    return out.select("vec_id", *[
+    return out.select("row_id", *[
         F.round(F.get("probs", F.lit(i)), 6).alias(f"p{i}") for i in CLASSES])
 
 
 RAW_X = "[" + ", ".join(FEATURES) + "]"
 DENSE_SQL = f"""
-SELECT vec_id, round(probs[1], 6) AS p0, round(probs[2], 6) AS p1, round(probs[3], 6) AS p2
-FROM ({forward_sql(RAW_X, FEATURES_SQL, 'vec_id')})
+SELECT row_id, round(probs[1], 6) AS p0, round(probs[2], 6) AS p1, round(probs[3], 6) AS p2
+FROM ({forward_sql(RAW_X, FEATURES_SQL, 'row_id')})
 """
 
 
 def with_gaps(spark, d):
     return feature_rows(spark, d).withColumn(
-        "iaq", F.when(F.col("vec_id") % 9 != 0, F.col("iaq")))
+        "iaq", F.when(F.col("row_id") % 9 != 0, F.col("iaq")))
 
 
-GAPS_SQL = f"SELECT * REPLACE (CASE WHEN vec_id % 9 <> 0 THEN iaq END AS iaq) FROM ({FEATURES_SQL})"
+GAPS_SQL = f"SELECT * REPLACE (CASE WHEN row_id % 9 <> 0 THEN iaq END AS iaq) FROM ({FEATURES_SQL})"
 
 
 def m6(spark, d):
     rows = with_gaps(spark, d)
     out = ml.score_readings(rows, ml.fit_scaler(rows, FEATURES), LAYERS)
-    return out.select("vec_id", "label", "predicted",
+    return out.select("row_id", "label", "predicted",
                       F.round("confidence", 6).alias("confidence"), "predicted_name")
 
 
@@ -88,13 +95,13 @@ _STATS = ", ".join(f"avg({n}) AS m_{n}, stddev_pop({n}) AS s_{n}" for n in FEATU
 _SCALED = ", ".join(f"({n} - m_{n}) / s_{n} AS {n}" for n in FEATURES)
 SCORED_SQL = f"""
 WITH x AS ({GAPS_SQL}),
-scaled AS (SELECT vec_id, {_SCALED} FROM x, (SELECT {_STATS} FROM x)),
-p AS ({forward_sql(RAW_X, 'SELECT * FROM scaled WHERE iaq IS NOT NULL', 'vec_id')}),
-c AS (SELECT vec_id, list_max(probs) AS confidence,
+scaled AS (SELECT row_id, {_SCALED} FROM x, (SELECT {_STATS} FROM x)),
+p AS ({forward_sql(RAW_X, 'SELECT * FROM scaled WHERE iaq IS NOT NULL', 'row_id')}),
+c AS (SELECT row_id, list_max(probs) AS confidence,
              CAST(list_position(probs, list_max(probs)) - 1 AS INTEGER) AS predicted FROM p)
-SELECT vec_id, label, predicted, round(confidence, 6) AS confidence,
+SELECT row_id, label, predicted, round(confidence, 6) AS confidence,
   coalesce(CASE predicted WHEN 0 THEN 'LOW' WHEN 1 THEN 'MODERATE' WHEN 2 THEN 'HIGH' END, 'UNKNOWN') AS predicted_name
-FROM x LEFT JOIN c USING (vec_id)
+FROM x LEFT JOIN c USING (row_id)
 """
 
 
@@ -115,17 +122,17 @@ FROM orders
 def m2(spark, d):
     """All rows scaled by the mean and deviation of the training rows."""
     rows = feature_rows(spark, d)
-    train, _ = ml.stratified_split(rows, "vec_id", "label")
+    train, _ = ml.stratified_split(rows, "row_id", "label")
     out = ml.standardise(rows, FEATURES, ml.fit_scaler(train, FEATURES))
-    return out.select("vec_id", *[F.round(n, 6).alias(n) for n in FEATURES])
+    return out.select("row_id", *[F.round(n, 6).alias(n) for n in FEATURES])
 
 
 STANDARDISE_SQL = f"""
 WITH x AS ({FEATURES_SQL}),
-t AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(vec_id || '42'), vec_id)
+t AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(row_id || '42'), row_id)
         > ceil(0.2e0 * count(*) OVER (PARTITION BY label)) AS is_train FROM x),
 p AS (SELECT {_STATS} FROM t WHERE is_train)
-SELECT vec_id, {", ".join(f"round(({n} - m_{n}) / s_{n}, 6) AS {n}" for n in FEATURES)} FROM x, p
+SELECT row_id, {", ".join(f"round(({n} - m_{n}) / s_{n}, 6) AS {n}" for n in FEATURES)} FROM x, p
 """
 
 
@@ -202,25 +209,49 @@ def a2(spark, d):
     return metrics.null_profile(e, ["iaq", "o3_ppb", "value"])
 
 
+def better_than_majority(scored):
+    """Rows judged, and whether more of them are right than always naming the commonest label."""
+    per_label = scored.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"), F.sum((F.col("label") == F.col("predicted")).cast("int")).alias("hits"))
+    return per_label.agg(F.sum("n").alias("test_rows"), (F.sum("hits") > F.max("n")).alias("beats_majority"))
+
+
 def m3(spark, d):
-    rows = feature_rows(spark, d)
-    train, test = ml.stratified_split(rows, "vec_id", "label")
-    model = ml.train_trees(train, FEATURES, rounds=5, depth=4)
-    return metrics.accuracy(ml.predict(model, test, FEATURES), "label", "predicted")
+    """All rounds at full depth; the model is saved and read before it is used."""
+    train, test = ml.stratified_split(feature_rows(spark, d), "row_id", "label")
+    path = scratch_path(spark, "trees")
+    boosting.save_trees(spark, ml.train_trees(train, FEATURES), path)
+    model = boosting.load_trees(spark, path)
+    trees = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("trees"))
+    return better_than_majority(ml.predict(model, test)).crossJoin(trees)
 
 
 def m4(spark, d):
-    rows = feature_rows(spark, d)
-    train, test = ml.stratified_split(rows, "vec_id", "label")
+    """All epochs; the weights are saved as a table and read before they are used."""
+    train, test = ml.stratified_split(feature_rows(spark, d), "row_id", "label")
     params = ml.fit_scaler(train, FEATURES)
-    model = ml.train_mlp(ml.standardise(train, FEATURES, params), FEATURES, rounds=20)
-    scored = ml.score_readings(test, params, ml.layers_from_mlp(model))
-    return metrics.classification_report(scored, "label", "predicted", CLASSES)
+    path = scratch_path(spark, "weights")
+    network.save_layers(spark, ml.train_mlp(ml.standardise(train, FEATURES, params), FEATURES), path)
+    weights = spark.read.parquet(path)
+    scored = ml.score_readings(test, params, ml.layers_from_table(weights))
+    units = weights.agg(F.count(F.lit(1)).alias("units"), F.sum(F.size("weights")).alias("weights"))
+    return better_than_majority(scored).crossJoin(units)
+
+
+_TEST_ROWS = f"""
+SELECT CAST(sum(ceil(0.2e0 * n)) AS BIGINT) AS test_rows, TRUE AS beats_majority
+FROM (SELECT label, count(*) AS n FROM ({FEATURES_SQL}) GROUP BY label)"""
 
 
 def m7(spark, d):
-    model = ml.train_trees(feature_rows(spark, d), FEATURES, rounds=5, depth=4)
-    return ml.feature_importance(spark, model, FEATURES)
+    """The booster of the training rows; one feature is made to follow the label."""
+    rows = feature_rows(spark, d).withColumn("iaq", F.col("label") + F.col("iaq") / 4)
+    train, _ = ml.stratified_split(rows, "row_id", "label")
+    found = ml.feature_importance(spark, ml.train_trees(train, FEATURES))
+    best, total = F.max("importance").over(Window.partitionBy()), F.sum("importance").over(Window.partitionBy())
+    return found.select(  # one row per feature
+        "feature", F.col("importance").between(0, 1).alias("is_share"), (F.abs(total - 1) < 1e-9).alias("adds_to_one"),
+        (F.col("importance") == best).alias("is_top"))
 
 
 QUERIES = {
@@ -260,12 +291,18 @@ FROM (VALUES (0), (1), (2)) c(k) LEFT JOIN ({JUDGED_SQL}) ON y = k
 GROUP BY k""",
     "a6_classification_report": REPORT_SQL,
     "a7_accuracy": f"SELECT round(avg((y = yhat)::INT), 9) AS accuracy FROM ({JUDGED_SQL})",
-    "f1_select_features": f"SELECT * EXCLUDE (vec_id, label) FROM ({FEATURES_SQL})",
+    "f1_select_features": f"SELECT * EXCLUDE (row_id, label) FROM ({FEATURES_SQL})",
     "k1_rank_features": f"SELECT feature, scale AS importance FROM ({SCALER_SQL})",
     "k2_argmax_class": ARGMAX_SQL,
     "m1_stratified_split": SPLIT_SQL,
     "m2_standardise": STANDARDISE_SQL,
+    "m3_train_trees": f"SELECT test_rows, beats_majority, CAST(300 AS BIGINT) AS trees FROM ({_TEST_ROWS})",
+    "m4_train_mlp": f"""
+SELECT test_rows, beats_majority, CAST({sum(SIZES[1:])} AS BIGINT) AS units,
+  CAST({sum(a * b for a, b in zip(SIZES, SIZES[1:]))} AS BIGINT) AS weights FROM ({_TEST_ROWS})""",
     "m5_dense_score": DENSE_SQL,
     "m6_score_readings": SCORED_SQL,
+    "m7_feature_importance": "SELECT unnest([" + ", ".join(f"'{n}'" for n in FEATURES)
+        + "]) AS feature, TRUE AS is_share, TRUE AS adds_to_one, feature = 'iaq' AS is_top",
     "s8_save_scaler_params": SCALER_SQL,
 }

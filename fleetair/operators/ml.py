@@ -4,21 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.classification import (
-    GBTClassifier,
-    MultilayerPerceptronClassificationModel,
-    MultilayerPerceptronClassifier,
-    OneVsRest,
-    OneVsRestModel,
-)
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetair.functions.codes import class_name
 from fleetair.functions.scoring import Layer, argmax_class, dense_layers
+from fleetair.operators import boosting, network
 from fleetair.operators.metrics import rank_features
-from fleetair.plans.scratch import cut_lineage
 from fleetair.schema import CLASS_NAMES, FEATURES
 
 # Hexadecimal digits of the hash by which a label's rows are counted.
@@ -160,59 +152,37 @@ def layers_from_table(weights: DataFrame) -> list[Layer]:
 
 
 def _vectors(df: DataFrame, features: Sequence[str] | str, label: str) -> DataFrame:
+    """``x, y`` of the labelled rows that have every feature."""
     x = F.col(features).cast("array<double>") if isinstance(features, str) else F.array(
         *[F.col(c).cast("double") for c in features]
     )
     complete = x.isNotNull() & ~F.exists(x, lambda v: v.isNull())
-    return labelled(df, label).where(complete).select(
-        array_to_vector(x).alias("features"), F.col(label).cast("double").alias("label")
-    )
+    return labelled(df, label).where(complete).select(x.alias("x"), F.col(label).cast("int").alias("y"))
 
 
 def train_trees(
-    df: DataFrame, features: Sequence[str] | str, label: str = "label",
-    rounds: int = 100, depth: int = 6, rate: float = 0.1, seed: int = 42,
-) -> OneVsRestModel:
-    """Boosted trees, one binary ensemble per class."""
-    gbt = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed)
-    return OneVsRest(classifier=gbt).fit(cut_lineage(_vectors(df, features, label)))
+    df: DataFrame, features: Sequence[str], label: str = "label",
+    rounds: int = 100, depth: int = 6, rate: float = 0.1,
+) -> boosting.Trees:
+    """Boosted trees with one softmax over the classes."""
+    return boosting.train_trees(_vectors(df, features, label), features, len(CLASS_NAMES), rounds, depth, rate)
 
 
 def train_mlp(
     df: DataFrame, features: Sequence[str] | str, label: str = "label",
-    layers: Sequence[int] = (16, 32, 16, 3), rounds: int = 50, seed: int = 42,
-) -> MultilayerPerceptronClassificationModel:
-    """A dense network of the given sizes; its hidden units are sigmoid."""
-    mlp = MultilayerPerceptronClassifier(layers=list(layers), maxIter=rounds, seed=seed)
-    return mlp.fit(cut_lineage(_vectors(df, features, label)))
-
-
-def predict(model, df: DataFrame, features: Sequence[str] | str, label: str = "label") -> DataFrame:
-    """(label, predicted) of the labelled rows."""
-    scored = model.transform(_vectors(df, features, label))
-    return scored.select(
-        F.col("label").cast("int").alias("label"),
-        F.col("prediction").cast("int").alias("predicted"),
-    )
+    layers: Sequence[int] = (16, 32, 16, 3), epochs: int = 50, **options,
+) -> list[Layer]:
+    """A dense network of the given sizes, in the form ``dense_score`` takes."""
+    return network.train_mlp(_vectors(df, features, label), layers, epochs, **options)[0]
+
+
+def predict(model: boosting.Trees, df: DataFrame, label: str = "label") -> DataFrame:
+    """(label, predicted) of the labelled rows that have every feature."""
+    scored = _vectors(df, model.features, label).withColumn("_m", boosting.tree_margins(F.col("x"), model))
+    return scored.select(F.col("y").alias("label"), argmax_class(F.col("_m"))[0].alias("predicted"))
 
 
-def layers_from_mlp(model: MultilayerPerceptronClassificationModel) -> list[Layer]:
-    """The trained weights in the form ``dense_score`` takes."""
-    sizes, flat = model.getLayers(), model.weights.toArray()
-    out, at = [], 0
-    for n_in, n_out in zip(sizes, sizes[1:]):
-        w = flat[at:at + n_in * n_out].reshape(n_in, n_out).T
-        at += n_in * n_out
-        b = flat[at:at + n_out]
-        at += n_out
-        out.append({"w": w.tolist(), "b": b.tolist(), "act": "sigmoid"})
-    out[-1]["act"] = "softmax"
-    return out
-
-
-def feature_importance(spark, model: OneVsRestModel, names: Sequence[str]) -> DataFrame:
-    """Importance per feature, averaged over the classes, highest first."""
-    per_class = [m.featureImportances.toArray() for m in model.models]
-    mean = sum(per_class) / len(per_class)
-    rows = [(n, float(v)) for n, v in zip(names, mean)]
-    return rank_features(spark.createDataFrame(rows, "feature string, importance double"))
+def feature_importance(spark, model: boosting.Trees) -> DataFrame:
+    """Importance per feature, the mean gain of its splits, highest first."""
+    return rank_features(spark.createDataFrame(
+        list(boosting.importances(model).items()), "feature string, importance double"))

@@ -42,22 +42,14 @@ def test_training_without_sql(spark, sf):
     unlabelled = df.withColumn("label", F.lit(-1))
     train, test = ml.stratified_split(df, "id", "label")
     cols = ["x", "y"]
-    trees = ml.train_trees(train.unionByName(unlabelled), cols, rounds=2, depth=3)
-    acc = metrics.accuracy(ml.predict(trees, test, cols), "label", "predicted").first()[0]
+    trees = ml.train_trees(train.unionByName(unlabelled), cols, rounds=4, depth=3)
+    acc = metrics.accuracy(ml.predict(trees, test), "label", "predicted").first()[0]
     assert acc > 0.9
-    top = ml.feature_importance(spark, trees, cols).first()
+    top = ml.feature_importance(spark, trees).first()
     assert top.feature == "x"
 
     params = ml.fit_scaler(train, cols)
     scaled = ml.standardise(train, cols, params)
-    net = ml.train_mlp(scaled, cols, layers=[2, 5, 3], rounds=30)
-    layers = ml.layers_from_mlp(net)
+    layers = ml.train_mlp(scaled, cols, layers=[2, 8, 3], epochs=20, rate=0.02)
     scored = ml.score_readings(test, params, layers, cols)
     assert metrics.accuracy(scored, "label", "predicted").first()[0] > 0.9
-    # Our forward pass over its weights is the library's own.
-    theirs = {
-        round(r.features[0], 9): r.probability.toArray()
-        for r in net.transform(ml._vectors(scaled, cols, "label")).collect()
-    }
-    for r in ml.dense_score(scaled, cols, layers).collect():
-        assert r.probs == pytest.approx(theirs[round(r.x, 9)], abs=1e-9)
