@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import csv
+import json
+import re
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetair.plans.scratch import scratch_path
 from fleetair.schema import (
     LOG,
     LOG_DECIMALS,
@@ -23,26 +27,60 @@ MIN_GOOD_FIELDS = 10
 
 
 def scan_sensor_log(
-    spark: SparkSession, paths: str | Sequence[str], schema: T.StructType = LOG
+    spark: SparkSession, paths: str | Sequence[str], schema: T.StructType = LOG, bad: str | None = None
 ) -> DataFrame:
     """Read CSV logs into one table.
 
-    Columns are matched by the names in the header; one that the files lack is NULL,
-    and a file whose header differs from the first one's ends the read with an error.
-    The device is the column ``device_id``, or, in logs without it, the file's name
-    without ``.csv``.
+    Each file's columns are matched by the names in its own header; one that a file lacks is
+    NULL. Headers come from a pass over the files' first blocks, and files of one header are read
+    together. The device is the column ``device_id``, or, in logs without it, the file's name
+    without ``.csv``. A field that is no value of its column is NULL; ``bad`` names a
+    column that then has the line, so that such rows can be counted (see ``plans.losses``).
     """
-    paths = paths if isinstance(paths, str) else list(paths)
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    groups = _by_header(spark, paths)
+    parts = [
+        _read_csv(spark, header, paths if len(groups) == 1 else [_literal(f) for f in files], schema, bad)
+        for header, files in groups]
+    if not parts:
+        columns = [T.StructField("device_id", T.StringType()), *schema.fields, *([T.StructField(bad, T.StringType())] if bad else [])]
+        return spark.createDataFrame([], T.StructType(columns))
+    return union_logs(*parts)
+
+
+def _by_header(spark: SparkSession, paths: list[str]) -> list[tuple[list[str], list[str]]]:
+    """The distinct headers, and the files that have each."""
+    lines = spark.read.text(paths).select(
+        _file_path().alias("file"), F.col("_metadata.file_block_start").alias("at"), "value",
+        F.monotonically_increasing_id().alias("line"))
+    heads = lines.where("at = 0").groupBy("file").agg(F.min_by("value", "line").alias("header"))
+    found = heads.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("header").collect()
+    return [(next(csv.reader([r["header"]])), r["files"]) for r in found]
+
+
+def _file_path() -> Column:
+    """The file a row comes from, spelled as the reader wants it."""
+    return F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B"))
+
+
+def _literal(path: str) -> str:
+    """A path whose characters are no pattern."""
+    return re.sub(r"([][{}*?\\])", r"\\\1", path)
+
+
+def _read_csv(spark: SparkSession, header: list[str], files: list[str], schema: T.StructType, bad: str | None) -> DataFrame:
     kinds = {f.name: f.dataType for f in schema.fields}
-    header = spark.read.option("header", True).csv(paths).columns
     found = T.StructType([T.StructField(c, kinds.get(c, T.StringType())) for c in header])
-    logs = spark.read.schema(found).option("header", True).option("enforceSchema", False).csv(paths)
-    stem = F.url_decode(F.regexp_replace(
-        F.regexp_extract("_metadata.file_path", r"([^/]+?)(\.csv)?$", 1), r"\+", "%2B"))
+    reader = spark.read.option("header", True).option("enforceSchema", False)
+    if bad:
+        found = found.add(bad, T.StringType())
+        reader = reader.option("columnNameOfCorruptRecord", bad)
+    logs = reader.schema(found).csv(files)
+    stem = F.regexp_extract(_file_path(), r"([^/]+?)(\.csv)?$", 1)
     device = F.col("device_id") if "device_id" in header else stem
     return logs.select(device.alias("device_id"), *[
         F.col(f.name) if f.name in header else F.lit(None).cast(f.dataType).alias(f.name)
-        for f in schema.fields])
+        for f in schema.fields], *([bad] if bad else []))
 
 
 def union_logs(*dfs: DataFrame) -> DataFrame:
@@ -55,9 +93,14 @@ _WHOLE = r"^[+-]?\d+$"
 
 
 def _number(text: Column, kind: str) -> Column:
-    """A field as C's scanf reads it, ``nan`` and ``inf`` included; NULL if it is none."""
+    """A field as C's scanf reads it, ``nan`` and ``inf`` included; NULL if it is none.
+
+    A field that ends in a digit and has no hexadecimal x is what a cast makes of it; the pattern
+    is for the others alone.
+    """
+    plain = F.substring(text, -1, 1).between("0", "9") & ~F.contains(F.lower(text), F.lit("x"))
     known = F.when(text.rlike(_FLOAT if kind in ("double", "float") else _WHOLE), text)
-    return F.regexp_replace(known, r"(?i)^[+-](nan)$", "$1").try_cast(kind)
+    return F.when(plain, text.try_cast(kind)).otherwise(F.regexp_replace(known, r"(?i)^[+-](nan)$", "$1").try_cast(kind))
 
 
 def _parse(df: DataFrame, col: str, fields: list[tuple[str, str]], min_good: int) -> DataFrame:
@@ -125,7 +168,7 @@ def _fixed(c: str) -> Column:
 
 # Rows per file; a hot device spreads over many files.
 MAX_RECORDS_PER_FILE = 5_000_000
-# Folders that devices are dealt to. Replacing a device rewrites one of them.
+# Folders that devices are dealt to. Reading one device's log reads one of them.
 BUCKETS = 64
 
 
@@ -133,15 +176,23 @@ def _bucket(device: Column) -> Column:
     return F.pmod(F.xxhash64(device.cast("string")), F.lit(BUCKETS)).cast("int")
 
 
+#: What is in force of a log: one row for every change that was completed.
+MANIFEST = "generation long, folder string, kind string, device string, columns string"
+
+
 def write_sensor_log(
     df: DataFrame, path: str, mode: str = "append", fmt: str = "parquet", ts: str = "ts"
 ) -> None:
-    """Append readings to a log laid out by a hash bucket of the device and by month.
+    """Write readings to a log, in files by a hash bucket of the device and by month.
 
     The device stays a column of the data, so that any id comes back as it was. Rows
     are cut by (bucket, device, time) range before the write: each task holds a
     stretch of few devices, so a folder gets few files, and a hot device is shared by
-    many tasks. ``csv`` writes the device and the log columns, with their fixed
+    many tasks. A write is a generation with a folder of its own and counts from the
+    moment the manifest names it, the last thing written; with ``overwrite`` the generations
+    before it count no more. One job writes a log at a time, any number may read it.
+
+    ``csv`` writes plain files without generations: the device and the log columns, with their fixed
     decimals and a header per file; in it an empty id is NULL.
     """
     if fmt not in ("parquet", "csv"):
@@ -149,54 +200,84 @@ def write_sensor_log(
     if fmt == "csv":
         rounded = df.withColumns({c: _fixed(c) for c in LOG_DECIMALS if c in df.columns})
         columns = ["device_id", *[f.name for f in LOG.fields if f.name in df.columns]]
-    else:
-        rounded = log_decimals(df)
-        columns = df.columns
-    _write(rounded, path, mode, fmt, ts, ["bucket", "period"], columns)
+        _write(rounded.select(*dict.fromkeys([*columns, ts])), path, mode, fmt, ts, columns)
+        return
+    if mode not in ("append", "overwrite"):
+        raise ValueError(f"mode must be 'append' or 'overwrite', not {mode!r}")
+    _change(log_decimals(df), path, "append" if mode == "append" else "restart", None, ts)
 
 
-def _write(
-    df: DataFrame, path: str, mode: str, fmt: str, ts: str, folders: list[str], columns: list[str]
-) -> None:
+def _write(df: DataFrame, path: str, mode: str, fmt: str, ts: str, columns: list[str]) -> None:
     (
         df.withColumns({"bucket": _bucket(F.col("device_id")), "period": F.date_format(ts, "yyyy-MM")})
         .repartitionByRange("bucket", "device_id", ts)
         # The writer wants its folders in order; with them first it keeps our sort.
         .sortWithinPartitions("bucket", "period", "device_id", ts)
-        .select(*columns, *folders)
-        .write.partitionBy(*folders).mode(mode)
+        .select(*columns, "bucket", "period")
+        .write.partitionBy("bucket", "period").mode(mode)
         .option("header", True).option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
         .format(fmt).save(path)
     )
 
 
+def _change(df: DataFrame, path: str, kind: str, device: str | None, ts: str) -> None:
+    """Write rows as a new generation, then let it count."""
+    spark = df.sparkSession
+    folder = uuid.uuid4().hex
+    _write(df, f"{path}/rows/folder={folder}", "errorifexists", "parquet", ts, df.columns)
+    last = _manifest(spark, path).agg(F.max("generation")).first()[0] or 0
+    _publish(spark, path, (last + 1, folder, kind, device, df.schema.json()))
+
+
+def _publish(spark: SparkSession, path: str, entry: tuple) -> None:
+    spark.createDataFrame([entry], MANIFEST).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+
+
+def _manifest(spark: SparkSession, path: str) -> DataFrame:
+    """Changes in force: those from the last restart on."""
+    try:
+        entries = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], MANIFEST)
+    start = entries.where("kind = 'restart'").agg(F.coalesce(F.max("generation"), F.lit(0)).alias("g")).scalar()
+    return entries.where(F.col("generation") >= start)
+
+
 def replace_log(df: DataFrame, path: str, device: str | None, ts: str = "ts") -> None:
     """Clear one device's log and start it again with its rows of ``df``.
 
-    The other devices of its bucket are set aside in the shared scratch folder and
-    written again with it; other buckets are not touched. With no rows the device's
-    log becomes empty.
+    The rows become a generation that hides the device's earlier ones; no other device is
+    read or written. Until the manifest names the generation the old log is what readers
+    see, so a job lost on the way leaves it as it was. With no rows the device's log becomes empty.
     """
-    spark = df.sparkSession
-    number = spark.range(1).select(_bucket(F.lit(device))).first()[0]
     wanted = F.col("device_id").cast("string").eqNullSafe(F.lit(device))
-    log = spark.read.parquet(path)
-    aside = scratch_path(spark, "log-bucket")
-    others = log.where((F.col("bucket") == number) & ~wanted).drop("bucket", "period")
-    others.write.parquet(aside)
-    mine = log_decimals(df.where(wanted))
-    rows = spark.read.schema(others.schema).parquet(aside).unionByName(mine, allowMissingColumns=True)
-    _write(rows, f"{path}/bucket={number}", "overwrite", "parquet", ts, ["period"], rows.columns)
+    _change(log_decimals(df.where(wanted)), path, "replace", device, ts)
+
+
+def compact_log(spark: SparkSession, path: str, ts: str = "ts") -> None:
+    """Write what is in force as one generation; the folders before it are no longer read."""
+    _change(read_log(spark, path).drop("period"), path, "restart", None, ts)
 
 
 def read_log(spark: SparkSession, path: str, device: str | None = None) -> DataFrame:
-    """A log; with ``device`` only its bucket is read."""
-    log = spark.read.parquet(path)
+    """What is in force of a log; with ``device`` only its bucket is read."""
+    manifest = _manifest(spark, path)
+    kinds: dict[str, T.StructField] = {}  # every column that a generation has
+    for r in manifest.groupBy("columns").agg(F.min("generation").alias("g")).orderBy("g").collect():
+        for field in T.StructType.fromJson(json.loads(r["columns"])).fields:
+            kinds.setdefault(field.name, T.StructField(field.name, field.dataType))
+    folders = [T.StructField(c, k) for c, k in (("folder", T.StringType()), ("bucket", T.IntegerType()), ("period", T.StringType()))]
+    log = spark.read.schema(T.StructType([*kinds.values(), *folders])).parquet(f"{path}/rows")
     if device is not None:
-        number = spark.range(1).select(_bucket(F.lit(device))).first()[0]
-        log = log.where((F.col("bucket") == number) & (F.col("device_id").cast("string") == device))
-    return log.drop("bucket")
+        log = log.where((F.col("bucket") == _bucket(F.lit(device))) & (F.col("device_id").cast("string") == device))
+    live = manifest.select(F.col("folder").alias("_folder"), "generation")
+    cleared = manifest.where("kind = 'replace'").groupBy(F.col("device").alias("_device")).agg(F.max("generation").alias("_since"))
+    seen = log.join(live, F.col("folder") == F.col("_folder")).join(
+        cleared, F.col("device_id").cast("string").eqNullSafe(F.col("_device")), "left")
+    return seen.where("_since IS NULL OR generation >= _since").drop("bucket", "folder", "_folder", "generation", "_device", "_since")
 
 
 def export_log(spark: SparkSession, path: str, out: str, ts: str = "ts") -> None:

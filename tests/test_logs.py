@@ -3,7 +3,6 @@
 import csv
 import glob
 
-import pytest
 from pyspark.sql import functions as F
 
 from fleetair.checks import flows
@@ -87,11 +86,77 @@ def test_any_id_comes_back(spark, tmp_path):
     assert shown(logs.scan_sensor_log(spark, str(tmp_path / "csv"))) == shown(plain)
 
 
-def test_columns_by_name(spark, tmp_path):
-    """A header in another order is followed; files that disagree end the read."""
-    (tmp_path / "a.csv").write_text("timestamp_ms,humidity,temperature\n5,40,20\n")
-    r = logs.scan_sensor_log(spark, str(tmp_path / "a.csv")).first()
-    assert (r.device_id, r.humidity, r.temperature, r.iaq) == ("a", 40.0, 20.0, None)
-    (tmp_path / "b.csv").write_text("timestamp_ms,temperature,humidity\n5,20,40\n")
-    with pytest.raises(Exception, match="header"):
-        logs.scan_sensor_log(spark, str(tmp_path)).collect()
+def test_files_of_any_header_are_read_by_name(spark, tmp_path):
+    """Columns may stand in another order in every file, or be fewer."""
+    folder = tmp_path / "in [1] a+b %41"
+    folder.mkdir()
+    (folder / "a.csv").write_text("timestamp_ms,humidity,temperature\n5,40,20\n6,41,21\n")
+    (folder / "b.csv").write_text("timestamp_ms,temperature,humidity\n7,22,42\n")
+    (folder / "c.csv").write_text('"timestamp_ms","iaq"\n8,99.5\n')
+    (folder / "d.csv").write_text("timestamp_ms,temperature,humidity\n")
+    got = {(r.device_id, r.timestamp_ms, r.temperature, r.humidity, r.iaq) for r in logs.scan_sensor_log(spark, logs._literal(str(folder))).collect()}
+    assert got == {("a", 5, 20.0, 40.0, None), ("a", 6, 21.0, 41.0, None), ("b", 7, 22.0, 42.0, None), ("c", 8, None, None, 99.5)}
+
+
+def test_bad_fields_are_told(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("timestamp_ms,temperature\n5,20\nx,21\n7,warm\n")
+    got = logs.scan_sensor_log(spark, str(tmp_path / "a.csv"), bad="line").select("timestamp_ms", "temperature", "line").collect()
+    assert [tuple(r) for r in got] == [(5, 20.0, None), (None, 21.0, "x,21"), (7, None, "7,warm")]
+
+
+def shown(df):
+    return sorted(((r.device_id, r.timestamp_ms, r.temperature) for r in df.collect()), key=repr)
+
+
+def some_rows(spark, values, temperature):
+    return spark.createDataFrame(
+        [(d, i, temperature) for i, d in enumerate(values)], "device_id string, timestamp_ms long, temperature float"
+    ).withColumn("ts", F.timestamp_millis("timestamp_ms"))
+
+
+KILLED = """
+import os, sys
+sys.path.insert(0, sys.argv[1])
+from pyspark.sql import SparkSession, functions as F
+from fleetair.sources import logs
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+logs._publish = lambda *a: os._exit(7)  # killed when the rows are written and the manifest is not
+rows = spark.createDataFrame([("b", 9, 99.0)], "device_id string, timestamp_ms long, temperature float")
+logs.replace_log(rows.withColumn("ts", F.timestamp_millis("timestamp_ms")), sys.argv[2], "b")
+"""
+
+
+def test_a_job_killed_between_its_writes_leaves_the_old_log(spark, tmp_path):
+    import subprocess
+    import sys
+
+    from conftest import ROOT
+
+    path = str(tmp_path / "log")
+    logs.write_sensor_log(some_rows(spark, ["a", "b", "b", "c"], 1.0), path)
+    before = shown(logs.read_log(spark, path))
+    done = subprocess.run([sys.executable, "-c", KILLED, ROOT, path], capture_output=True, timeout=120)
+    assert done.returncode == 7, done.stderr[-2000:]
+    assert len(glob.glob(f"{path}/rows/folder=*")) == 2  # its rows are there
+    assert shown(logs.read_log(spark, path)) == before
+    # The log goes on from there, and what was left behind stays out of sight.
+    logs.replace_log(some_rows(spark, ["b"], 5.0), path, "b")
+    logs.write_sensor_log(some_rows(spark, ["b", None], 6.0), path)
+    assert shown(logs.read_log(spark, path)) == sorted(
+        [("a", 0, 1.0), ("b", 0, 5.0), ("b", 0, 6.0), ("c", 3, 1.0), (None, 1, 6.0)], key=repr)
+    assert shown(logs.read_log(spark, path, "b")) == [("b", 0, 5.0), ("b", 0, 6.0)]
+
+
+def test_restart_and_compaction(spark, tmp_path):
+    path = str(tmp_path / "log")
+    for mode, t in (("append", 1.0), ("overwrite", 2.0), ("append", 3.0)):
+        logs.write_sensor_log(some_rows(spark, ["a", "b"], t), path, mode)
+    logs.replace_log(some_rows(spark, [], 0.0), path, "a")
+    assert shown(logs.read_log(spark, path)) == [("b", 1, 2.0), ("b", 1, 3.0)]
+    more = some_rows(spark, ["z"], 4.0).withColumn("iaq", F.lit(7.0))
+    logs.write_sensor_log(more, path)
+    logs.compact_log(spark, path)
+    got = logs.read_log(spark, path)
+    assert shown(got) == [("b", 1, 2.0), ("b", 1, 3.0), ("z", 0, 4.0)]
+    assert [r.iaq for r in got.where("iaq IS NOT NULL").collect()] == [7.0]
+    assert logs._manifest(spark, path).count() == 1
