@@ -34,6 +34,12 @@ def j1(spark, d):
     return paired(ad.readings(spark, d))
 
 
+def j1_sliced(spark, d):
+    """Every device above thirty rows is cut."""
+    r = ad.readings(spark, d)
+    return paired(r, plan_slices(r, "device_id", "ts", 30))
+
+
 # Independent of the window form: walks each device row by row with both flags.
 PAIRED_SQL = f"""
 WITH RECURSIVE r AS ({ad.READINGS_SQL}),
@@ -172,6 +178,12 @@ FROM lineitem JOIN ({CALIBRATION_SQL}) c ON l_suppkey = c.device_id
 """
 
 
+def j4_uncalibrated(spark, d):
+    raw = ad.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("device_id"))
+    calib = calibration_of(ad.table(spark, d, "supplier")).where("device_id % 4 <> 1")
+    return asof.uncalibrated(raw, calib, "device_id")
+
+
 def j5(spark, d):
     registry = ad.table(spark, d, "supplier").select(
         F.col("s_suppkey").alias("device_id"),
@@ -311,6 +323,22 @@ FROM l
 """
 
 
+def f12_sensors(spark, d):
+    """An order is a step and a line number a sensor, which repeats in it."""
+    rows = ad.table(spark, d, "lineitem").select(
+        (F.col("l_orderkey") % 50).alias("device_id"), F.col("l_orderkey").alias("step"), F.col("l_linenumber").alias("sensor_id"),
+        F.xxhash64("l_partkey", "l_suppkey", "l_quantity").alias("arrival"))
+    marked = quality.duplicate_sensors(rows, "device_id", "step", "sensor_id", "arrival")
+    return marked.groupBy("device_id", "step", "sensor_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("duplicate_sensor"), 1)).alias("errors"))
+
+
+SENSORS_SQL = """
+SELECT l_orderkey % 50 AS device_id, l_orderkey AS step, l_linenumber AS sensor_id, count(*) AS rows, count(*) - 1 AS errors
+FROM lineitem GROUP BY ALL
+"""
+
+
 def f12_drop(spark, d):
     e = ad.events(spark, d).select(
         F.col("user_id").alias("device_id"), "event_id",
@@ -380,9 +408,12 @@ FROM n GROUP BY ALL
 QUERIES = {
     "flagship_labelled_pairs": flagship,
     "j1_pair_latest": j1,
+    "j1_pair_latest_sliced": j1_sliced,
     "j2_label_asof": j2,
     "j3_ambient_asof": j3,
     "j4_with_calibration": j4,
+    "j4_uncalibrated": j4_uncalibrated,
+    "f12_duplicate_sensors": f12_sensors,
     "j5_registry_check": j5,
     "j6_score_vs_label": j6,
     "w9_hold_last": w9,
@@ -414,9 +445,14 @@ QUERIES = {
 SQL = {
     "flagship_labelled_pairs": FLAGSHIP_SQL,
     "j1_pair_latest": PAIRED_SQL,
+    "j1_pair_latest_sliced": PAIRED_SQL,
     "j2_label_asof": LABELLED_SQL,
     "j3_ambient_asof": AMBIENT_SQL,
     "j4_with_calibration": WITH_CALIBRATION_SQL,
+    "j4_uncalibrated": """
+SELECT l_suppkey AS device_id, count(*) AS rows FROM lineitem
+WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 4 <> 1) GROUP BY ALL""",
+    "f12_duplicate_sensors": SENSORS_SQL,
     "j5_registry_check": REGISTRY_SQL,
     "j6_score_vs_label": SCORE_VS_LABEL_SQL,
     "w9_hold_last": HELD_SQL,

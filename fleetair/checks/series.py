@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fleetair.checks.core import LABEL_CASE, label_commands
 from fleetair.operators import timeseries as ts_ops
+from fleetair.plans.timeline import plan_slices
 from fleetair.sources import adapters as ad
 
 ORDER = ["ts", "event_id"]
@@ -16,14 +17,14 @@ def by_device(spark, d):
         F.col("user_id").alias("device_id"), "event_id", "ts", "value")
 
 
-def w1(spark, d):
+def w1(spark, d, slices=lambda e: None):
     """Three events are one capture."""
     e = ad.events(spark, d).select(
         F.col("user_id").alias("device_id"), "event_id",
         F.floor(F.col("event_id") / 3).cast("long").alias("read"),
         (F.col("event_id") % 3).alias("slot"), (F.col("event_id") * 7 % 256).cast("int").alias("idx"),
         (F.col("event_id") % 4 != 0).alias("fresh"))
-    out = ts_ops.order_by_sequence(e, "device_id", "idx", "read", "slot", "fresh")
+    out = ts_ops.order_by_sequence(e, "device_id", "idx", "read", "slot", "fresh", slices(e))
     return out.withColumn("seq_pos", F.col("seq_pos").cast("long"))
 
 
@@ -77,11 +78,11 @@ WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 31 PRECEDIN
 """
 
 
-def w7(spark, d):
+def w7(spark, d, slices=lambda e: None):
     e = ad.events(spark, d).select(
         F.col("user_id").alias("device_id"), "event_id", "ts",
         (F.col("event_id") * 97654321 % 4294967296).alias("ms"))
-    return ts_ops.boot_segments(e, "device_id", ORDER, "ms", margin_ms=1 << 30).drop("ts")
+    return ts_ops.boot_segments(e, "device_id", ORDER, "ms", 1 << 30, slices(e)).drop("ts")
 
 
 BOOT_SQL = """
@@ -114,9 +115,9 @@ FROM events LEFT JOIN nation ON value >= n_nationkey * 20 AND value < n_nationke
 """
 
 
-def w10(spark, d):
+def w10(spark, d, slices=lambda c: None):
     c = label_commands(ad.commands(spark, d)).withColumn("label", F.col("label").cast("int"))
-    return ts_ops.label_intervals(c, "device_id", ORDER, "label")
+    return ts_ops.label_intervals(c, "device_id", ORDER, "label", slices=slices(c))
 
 
 INTERVALS_SQL = f"""
@@ -129,6 +130,19 @@ FROM i GROUP BY device_id, interval_no
 """
 
 
+CADENCE_SQL = f"""
+WITH RECURSIVE n AS (
+  SELECT device_id, event_id, ts, value, epoch_us(ts) AS us,
+         row_number() OVER (PARTITION BY device_id ORDER BY ts, event_id) AS i FROM ({ad.READINGS_SQL})),
+walk AS (
+  SELECT n.*, us + 18000000000 AS next_call, TRUE AS taken FROM n WHERE i = 1
+  UNION ALL
+  SELECT n.*, CASE WHEN n.us >= next_call THEN n.us + 18000000000 ELSE next_call END, n.us >= next_call
+  FROM walk w JOIN n ON n.device_id = w.device_id AND n.i = w.i + 1)
+SELECT device_id, event_id, ts, value FROM walk WHERE taken
+"""
+
+
 def violations(spark, d):
     return ts_ops.cadence_violations(by_device(spark, d), "device_id", "ts", 3600, 1800, ORDER)
 
@@ -139,8 +153,52 @@ WITH l AS (SELECT user_id AS device_id, event_id, ts, value,
 SELECT * FROM l WHERE abs(gap_s - 3600) > 1800
 """
 
+#: Rows of a device above which the sliced queries cut it.
+CUT_ROWS = 30
+
+
+def cut(df, pos="ts", tie=None):
+    return plan_slices(df, "device_id", pos, CUT_ROWS, tie)
+
+
+def w1_sliced(spark, d):
+    return w1(spark, d, lambda e: cut(e, "read", "slot"))
+
+
+def w7_sliced(spark, d):
+    return w7(spark, d, cut)
+
+
+def w10_sliced(spark, d):
+    return w10(spark, d, cut)
+
+
+def w3_exact(spark, d):
+    r = ad.readings(spark, d).select("device_id", "event_id", "ts", "value")
+    return ts_ops.cadence_exact(r, "device_id", "ts", 18000, ORDER, cut(r))
+
+
+def w8_many(spark, d):
+    """A band per customer, with gaps between them."""
+    n = F.col("c_custkey")
+    bands = ad.table(spark, d, "customer").select(
+        (n / 8).alias("lo"), (n / 8 + 0.1).alias("hi"), n.alias("index_lo"), (n + 0.5).alias("index_hi"))
+    out = ts_ops.aqi_band(ad.events(spark, d).select("event_id", "value"), "value", bands)
+    return out.select("event_id", F.round("aqi", 6).alias("aqi"))
+
+
+MANY_BANDS_SQL = """
+SELECT event_id, round(c_custkey + (value - c_custkey / 8e0) / ((c_custkey / 8e0 + 0.1e0) - c_custkey / 8e0) * 0.5e0, 6) AS aqi
+FROM events LEFT JOIN customer ON value >= c_custkey / 8e0 AND value < c_custkey / 8e0 + 0.1e0
+"""
+
 QUERIES = {
     "w1_order_by_sequence": w1,
+    "w1_order_by_sequence_sliced": w1_sliced,
+    "w3_cadence_exact_table": w3_exact,
+    "w7_boot_segments_sliced": w7_sliced,
+    "w8_aqi_many_bands": w8_many,
+    "w10_label_intervals_sliced": w10_sliced,
     "w2_sample_counter": lambda s, d: ts_ops.sample_counter(by_device(s, d), "device_id", ORDER),
     "w3_cadence_sample": lambda s, d: ts_ops.cadence_sample(
         by_device(s, d), "device_id", "ts", 18000, ORDER),
@@ -154,6 +212,11 @@ QUERIES = {
 }
 SQL = {
     "w1_order_by_sequence": SEQUENCE_SQL,
+    "w1_order_by_sequence_sliced": SEQUENCE_SQL,
+    "w3_cadence_exact_table": CADENCE_SQL,
+    "w7_boot_segments_sliced": BOOT_SQL,
+    "w8_aqi_many_bands": MANY_BANDS_SQL,
+    "w10_label_intervals_sliced": INTERVALS_SQL,
     "w2_sample_counter": """
 SELECT user_id AS device_id, event_id, ts, value,
        row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sample_no FROM events""",

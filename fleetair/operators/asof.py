@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetair.plans.joins import small
 from fleetair.plans.timeline import Slices, Timeline, as_list
 from fleetair.schema import (
     DEFAULT_AMBIENT,
@@ -94,16 +93,30 @@ def hold_last(
     )
 
 
+def _coefficients(calib: DataFrame, key: list[str]) -> DataFrame:
+    packed = F.struct(*[c for c in calib.columns if c not in key])
+    return calib.groupBy(*key).agg(F.min(packed).alias("calib"))
+
+
 def with_calibration(df: DataFrame, calib: DataFrame, key) -> DataFrame:
     """Join each raw row to its device's coefficients, kept in struct ``calib``.
 
     A device with several rows of coefficients gets the smallest of them, so that
-    readings never multiply; readings of a device without any are left out.
+    readings never multiply; readings of a device without any are left out, see
+    ``uncalibrated``.
     """
     key = as_list(key)
-    packed = F.struct(*[c for c in calib.columns if c not in key])
-    one = calib.groupBy(*key).agg(F.min(packed).alias("calib"))
-    return df.join(small(one), key, "inner")
+    return df.join(_coefficients(calib, key), key, "inner")
+
+
+def uncalibrated(df: DataFrame, calib: DataFrame, key) -> DataFrame:
+    """The devices whose readings ``with_calibration`` leaves out, with how many these are.
+
+    Readings are counted per device before they meet the coefficients. A NULL device has none.
+    """
+    key = as_list(key)
+    counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("rows"))
+    return counts.join(calib.select(*key).distinct(), key, "left_anti")
 
 
 def registry_flag(
@@ -112,7 +125,7 @@ def registry_flag(
     """Mark the rows of devices whose registered product id is ``pid``, in one pass."""
     key = as_list(key)
     good = registry.where(F.col("pid") == pid).select(*key).distinct().withColumn(out, F.lit(True))
-    return df.join(small(good), key, "left").withColumn(out, F.coalesce(out, F.lit(False)))
+    return df.join(good, key, "left").withColumn(out, F.coalesce(out, F.lit(False)))
 
 
 def registry_check(

@@ -34,18 +34,16 @@ def pair_latest(
     key, order = as_list(key), as_list(order)
     ts = ts or order[0]
     is_a, is_b = F.col(side) == "A", F.col(side) == "B"
-    line = Timeline(df.where(is_a | is_b), key, order, slices).scan(
-        lag={"_prev": F.col(side)},
+    line = Timeline(df.where(is_a | is_b), key, order, slices).walk(
+        prev={"_prev": F.col(side)},
+        derive={"_change": F.coalesce(F.col("_prev") != F.col(side), F.lit(False))},
         last={
             "_a": F.when(is_a, F.struct(ts, *a_cols)),
             "_b": F.when(is_b, F.struct(ts, *b_cols)),
         },
         total={"_n": F.lit(1)},
+        snap={"_kept": (~F.col("_change"), "_n")},
     )
-    line = line.with_columns(
-        _change=F.coalesce(F.col("_prev") != F.col(side), F.lit(False))
-    )
-    line = line.scan(last={"_kept": F.when(~F.col("_change"), F.col("_n"))})
     emits = F.col("_change") & ((F.col("_n") - F.col("_kept")) % 2 == 1)
     return line.df.where(emits).select(
         *key,

@@ -97,6 +97,16 @@ def timestamp_check(
     return line.with_columns(ts_check=check).result("_prev")
 
 
+def duplicate_sensors(df: DataFrame, key, step: str, sensor: str, order, slices: Slices | None = None) -> DataFrame:
+    """Mark rows whose sensor has a row in the same step already, which is an error.
+
+    Adds ``duplicate_sensor``; of the rows of a sensor in a step the first by ``order`` is right.
+    """
+    group = [*as_list(key), step, sensor]
+    line = Timeline(df, group, order, slices).scan(total={"_nth": F.lit(1)})
+    return line.with_columns(duplicate_sensor=F.col("_nth") > 1).result("_nth")
+
+
 # Limits of the built-in self-test.
 SELF_TEST_LIMITS = {
     "temperature": (0.0, 60.0),

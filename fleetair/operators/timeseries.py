@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import replace
-
+from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetair.plans.scratch import written
+from fleetair.plans.search import count_at_or_below, search_steps
 from fleetair.plans.timeline import (
     Slices,
     Timeline,
@@ -32,10 +33,10 @@ def order_by_sequence(
     """
     key = as_list(key)
     value = F.when(F.col(fresh), F.col(idx).cast("long"))
-    line = Timeline(df, key, [read, slot], slices).scan(before={"_prev": value})
     step = F.pmod(value - F.col("_prev") + 128, F.lit(256)) - 128
-    line = line.with_columns(_step=F.coalesce(step, value))
-    line = line.scan(total={"_seq": F.col("_step")})
+    line = Timeline(df, key, [read, slot], slices).walk(
+        prev={"_prev": value}, among=value.isNotNull(),
+        derive={"_step": F.coalesce(step, value)}, total={"_seq": F.col("_step")})
     line = line.with_columns(seq_index=F.when(F.col(fresh), F.col("_seq")))
     w = Window.partitionBy(*key, read).orderBy(F.col("seq_index").asc_nulls_last(), slot)
     return line.with_columns(seq_pos=F.row_number().over(w)).result("_prev", "_step", "_seq")
@@ -56,6 +57,50 @@ def cadence_sample(df: DataFrame, key, ts: str, seconds: int, order=None) -> Dat
     return first_per_group(gridded, [*key, "grid"], as_list(order or ts))
 
 
+def cadence_exact(
+    df: DataFrame, key, ts: str, seconds: float, order=None, slices: Slices | None = None
+) -> DataFrame:
+    """Take a row only once its time has reached the next call, ``seconds`` after the last row taken.
+
+    What is taken depends on all that went before, yet no device is walked row by row.
+    Every row points to the first row that could be taken after it. The pointers are composed with
+    themselves, so that each time they reach twice as far, and the rows known to be taken
+    pass them on: after k rounds the first 2^k are known. Rows are joined by
+    device and number, so a hot device is spread like any other. Rows without a time are not taken.
+    """
+    key, order = as_list(key), as_list(order or ts)
+    step = round(seconds * _US)
+    numbered = Timeline(df.where(F.col(ts).isNotNull()), key, order, slices).scan(total={"_n": F.lit(1)}).result()
+    numbered = written(numbered.withColumn("_us", position(numbered, ts)), "numbered")
+    # How many rows lie before the next call, which stands before a row of its own time.
+    moves = F.array(*[F.struct(at.alias("_at"), F.lit(kind).alias("_kind")) for at, kind in ((F.col("_us"), 1), (F.col("_us") + step, 0))])
+    events = numbered.select(*key, "_n", F.explode(moves).alias("_m")).select(*key, "_n", "_m.*")
+    line = Timeline(events, key, ["_at", "_kind", "_n"]).scan(total={"_rows": F.when(F.col("_kind") == 1, 1)})
+    jump = written(line.df.where("_kind = 0").select(*key, "_n", (F.coalesce("_rows", F.lit(0)) + 1).alias("_next")), "jump")
+
+    def follow(rows: DataFrame, at: str, jumps: DataFrame, *keep: str) -> DataFrame:
+        """Rows whose column ``at`` is a row with a pointer, and where that leads."""
+        b = jumps.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], F.col("_n").alias("_from"), F.col("_next").alias("_to"))
+        same = rows[at] == b["_from"]
+        for i, k in enumerate(key):
+            same = same & rows[k].eqNullSafe(b[f"_k{i}"])
+        return rows.join(b, same).select(*key, *keep, F.col("_to"))
+
+    taken = [numbered.where("_n = 1").select(*key, "_n")]
+    while True:
+        reached = reduce(DataFrame.union, taken)
+        more = written(follow(reached, "_n", jump).withColumnRenamed("_to", "_n"), "taken")
+        if more.isEmpty():
+            break
+        taken.append(more)
+        jump = written(follow(jump, "_next", jump, "_n").withColumnRenamed("_to", "_next"), "jump")
+    chosen = reached.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], F.col("_n").alias("_taken"))
+    same = numbered["_n"] == chosen["_taken"]
+    for i, k in enumerate(key):
+        same = same & numbered[k].eqNullSafe(chosen[f"_k{i}"])
+    return numbered.join(chosen, same, "left_semi").select(*df.columns)
+
+
 def cadence_violations(
     df: DataFrame, key, ts: str, seconds: float, tol: float,
     order=None, slices: Slices | None = None,
@@ -77,73 +122,56 @@ def cadence_summary(violations: DataFrame, key) -> DataFrame:
     )
 
 
-def _limbs(value: Column) -> list[Column]:
-    """The integer part of a number and its next eighteen decimals, twice, as decimals."""
-    v = value.cast("double")
-    rest = F.when(F.abs(v) < 1e25, v)
-    out = []
-    for _ in range(3):
-        whole = rest.cast("decimal(38,0)")  # rounded: the rest may be negative
-        out.append(whole)
-        rest = (rest - whole.cast("double")) * 1e18
-    return out
-
-
-def trailing_means(
-    df: DataFrame, key, ts: str, widths: Mapping[str, Mapping[str, int]],
-    slices: Slices | None = None,
-) -> DataFrame:
+def trailing_means(df: DataFrame, key, ts: str, widths: Mapping[str, Mapping[str, int]]) -> DataFrame:
     """Means over the trailing ``[t - width, t]`` of each row.
 
-    ``widths`` maps a column to {output name: seconds}. A sliding range frame
-    sums its whole content again for every row, which for eight hours of
-    three-second samples is ten thousand additions per row. Here each value
-    enters a running total at its own time and leaves it one microsecond after
-    its last use, so the cost per row does not depend on the width. A value is three
-    whole numbers, its integer part and twice eighteen more decimals, and the totals
-    are exact: what enters leaves again, and the result does not depend on where the
-    slices fall. Magnitudes from 1e-36 to 1e25 are kept; values that are not finite
-    count as missing.
+    ``widths`` maps a column to {output name: seconds}. A sliding frame sums its whole
+    content again for every row, which for eight hours of three-second samples is ten
+    thousand additions per row. Here time is cut into blocks of a width each. The
+    window that ends at t has the rows of t's block up to t, a sum that runs
+    forwards in the block, and the rows of the block before from t - width on, a sum that runs
+    backwards there. Both are sums of rows of the window alone: nothing is subtracted, so values
+    of any size can follow each other, and a row costs the same whatever the width. A device
+    is cut at its blocks, however hot. Values that are not finite count as missing; rows without a
+    time have no mean.
     """
-    if slices is not None and slices.pos == ts:
-        slices = replace(slices, pos="_at")  # the same slices, cut in microseconds
     key = as_list(key)
     all_widths = sorted({s for outs in widths.values() for s in outs.values()})
     rest = [c for c in df.columns if c not in key]
-    wide = df.select(
-        *key, F.struct(*rest).alias("_row"), position(df, ts).alias("_t"),
-        *[v.alias(f"_v{i}_{c}") for c in widths for i, v in enumerate(_limbs(F.col(c)))],
+    finite = {c: F.col(c).cast("double") for c in widths}
+    rows = df.select(
+        *key, F.struct(*rest).alias("_row"), position(df, ts).alias("_t"), F.monotonically_increasing_id().alias("_id"),
+        *[F.when(F.abs(v) < float("inf"), v).alias(f"_v_{c}") for c, v in finite.items()],
     )
-    moves = F.array(
-        F.struct(F.lit(0).alias("w"), F.col("_t").alias("at")),
-        *[F.struct(F.lit(s).alias("w"), (F.col("_t") + (s * _US + 1)).alias("at"))
-          for s in all_widths],
+    t = F.col("_t")
+    # A row stands in its own block, and where its window begins a probe in the block before.
+    # A block is a microsecond longer than the width, since a window has both its ends.
+    events = F.array(*[
+        F.struct(F.lit(s).alias("w"), block.alias("block"), at.alias("at"), F.lit(own).alias("own"))
+        for s in all_widths for start in [t - F.pmod(t, F.lit(s * _US + 1))]
+        for block, at, own in ((start, t, True), (start - (s * _US + 1), t - s * _US, False))
+    ])
+    spread = rows.select("*", F.posexplode(events).alias("_i", "_e")).select(
+        *key, "_id", "_e.*", F.when(F.col("_i") == 0, F.col("_row")).alias("_row"),
+        *[F.when(F.col("_e.own"), F.col(f"_v_{c}")).alias(f"_v_{c}") for c in widths],
     )
-    events = wide.select("*", F.explode(moves).alias("_m")).select(
-        *key,
-        F.col("_m.w").alias("_w"), F.col("_m.at").alias("_at"),
-        # The row itself travels only once.
-        F.when(F.col("_m.w") == 0, F.col("_row")).alias("_row"),
-        *[f"_v{i}_{c}" for c in widths for i in range(3)],
+    w = Window.partitionBy(*key, "w", "block")
+    sums = {}
+    for c in widths:
+        for name, what in (("s", F.sum), ("n", F.count)):
+            forward, back = (what(f"_v_{c}").over(w.orderBy(at)) for at in (F.col("at"), F.col("at").desc()))
+            sums[f"_{name}_{c}"] = F.when(F.col("own"), forward).otherwise(back)
+    parts = spread.withColumns(sums).groupBy(*key, "_id").agg(
+        F.first("_row", ignorenulls=True).alias("_row"), F.first("at", ignorenulls=True).alias("_any"),
+        *[F.sum(F.when(F.col("w") == s, F.col(f"_{k}_{c}"))).alias(f"_{k}_{c}_{s}")
+          for c, outs in widths.items() for s in set(outs.values()) for k in "sn"],
     )
-    totals, enters = {}, F.col("_w") == 0
-    for c, outs in widths.items():
-        for s in set(outs.values()):
-            leaves = F.col("_w") == s
-            for i in range(3):
-                v = F.col(f"_v{i}_{c}")
-                totals[f"_s{i}_{c}_{s}"] = F.when(enters, v).when(leaves, -v)
-            one = F.when(v.isNotNull(), 1)
-            totals[f"_n_{c}_{s}"] = F.when(enters, one).when(leaves, -one)
-    line = Timeline(events, key, "_at", slices).scan(total=totals, peers=True)
     means = [
-        F.when(F.col(f"_n_{c}_{s}") > 0,
-               (F.col(f"_s0_{c}_{s}").cast("double") + F.col(f"_s1_{c}_{s}").cast("double") * 1e-18
-                + F.col(f"_s2_{c}_{s}").cast("double") * 1e-36) / F.col(f"_n_{c}_{s}")).alias(name)
+        F.when(F.col("_any").isNotNull() & (F.col(f"_n_{c}_{s}") > 0), F.col(f"_s_{c}_{s}") / F.col(f"_n_{c}_{s}")).alias(name)
         for c, outs in widths.items() for name, s in outs.items()
     ]
     columns = [F.col(c) if c in key else F.col(f"_row.{c}").alias(c) for c in df.columns]
-    return line.df.where("_w = 0").select(*columns, *means)
+    return parts.select(*columns, *means)
 
 
 # How many rows a block of a re-cut hot key holds.
@@ -198,14 +226,14 @@ def boot_segments(
     range to the first, which is the clock wrapping. Adds ``boot_id`` from 1 and
     ``boot_ms``, which only grows within a boot.
     """
-    line = Timeline(df, key, order, slices).scan(lag={"_prev": F.col(ms)})
     drop = F.coalesce(F.col(ms) < F.col("_prev"), F.lit(False))
     wrap = drop & (F.col("_prev") >= CLOCK_RANGE - margin_ms) & (F.col(ms) < margin_ms)
-    line = line.with_columns(
-        _wrap=wrap.cast("long"), _boot=(drop & ~wrap).cast("long"),
+    line = Timeline(df, key, order, slices).walk(
+        prev={"_prev": F.col(ms)},
+        derive={"_wrap": wrap.cast("long"), "_boot": (drop & ~wrap).cast("long")},
+        total={"_boots": F.col("_boot"), "_wraps": F.col("_wrap")},
+        snap={"_base": (F.col("_boot") == 1, "_wraps")},
     )
-    line = line.scan(total={"_boots": F.col("_boot"), "_wraps": F.col("_wrap")})
-    line = line.scan(last={"_base": F.when(F.col("_boot") == 1, F.col("_wraps"))})
     wraps = F.col("_wraps") - F.coalesce(F.col("_base"), F.lit(0))
     line = line.with_columns(
         boot_id=F.col("_boots") + 1, boot_ms=F.col(ms) + wraps * F.lit(CLOCK_RANGE)
@@ -216,19 +244,24 @@ def boot_segments(
 def aqi_band(df: DataFrame, value: str, breakpoints: DataFrame, out: str = "aqi") -> DataFrame:
     """Index of a concentration by a table of bands, linear inside each.
 
-    ``breakpoints`` has lo, hi, index_lo, index_hi; a band covers lo <= x < hi.
-    The bands are read once as a scalar subquery, so rows neither move nor
-    multiply; a row costs one comparison per band. NULL outside every band.
+    ``breakpoints`` has lo, hi, index_lo, index_hi; a band covers lo <= x < hi. Bands that
+    overlap end the query, those that cover nothing are left out. The bands are read once as
+    a sorted scalar subquery, so rows neither move nor multiply, and a row finds its band by binary
+    search. NULL outside every band.
     """
     band = F.struct(*[F.col(c).cast("double").alias(c) for c in ("lo", "hi", "index_lo", "index_hi")])
-    bands = breakpoints.agg(F.sort_array(F.collect_list(band)).alias("bands")).scalar()
+    table = breakpoints.agg(F.sort_array(F.collect_list(F.when(F.col("lo") < F.col("hi"), band))).alias("b"))
+    overlap = F.exists(F.sequence(F.lit(0), F.size("b")), lambda i: F.get("b", i)["hi"] > F.get("b", i + 1)["lo"])
+    bands = table.select(F.struct(
+        F.when(overlap, F.raise_error(F.lit("bands overlap"))).otherwise(F.col("b")).alias("bands"),
+        F.col("b.lo").alias("lo"), search_steps(F.col("b")).alias("steps")).alias("t")).scalar()
     x = F.col(value).cast("double")
-    hit = F.get(F.filter("_bands", lambda b: (b["lo"] <= x) & (x < b["hi"])), F.lit(0))
-    with_hit = df.withColumn("_bands", bands).withColumn("_band", hit).drop("_bands")
+    at = count_at_or_below(F.col("_table.lo"), x, F.col("_table.steps"))
+    with_band = df.withColumn("_table", bands).withColumn("_band", F.get("_table.bands", at - 1))
     b = F.col("_band")
     share = (x - b["lo"]) / (b["hi"] - b["lo"])
-    index = b["index_lo"] + share * (b["index_hi"] - b["index_lo"])
-    return with_hit.withColumn(out, index).drop("_band")
+    index = F.when(x < b["hi"], b["index_lo"] + share * (b["index_hi"] - b["index_lo"]))
+    return with_band.withColumn(out, index).drop("_band", "_table")
 
 
 def label_intervals(
@@ -239,11 +272,11 @@ def label_intervals(
     key, order = as_list(key), as_list(order)
     ts = ts or order[0]
     line = Timeline(df.select(*dict.fromkeys([*key, *order, label, ts])), key, order, slices)
-    line = line.scan(lag={"_prev": F.col(label)}, total={"_n": F.lit(1)})
-    starts = (F.col("_n") == 1) | ~F.col(label).eqNullSafe(F.col("_prev"))
-    line = line.with_columns(_start=starts.cast("long")).scan(
-        total={"interval_no": F.col("_start")}
-    )
+    # The first row has no row before it; any other has one, if with a NULL label.
+    starts = F.col("_prev").isNull() | ~F.col(label).eqNullSafe(F.col("_prev.label"))
+    line = line.walk(
+        prev={"_prev": F.struct(F.col(label).alias("label"))},
+        derive={"_start": starts.cast("long")}, total={"interval_no": F.col("_start")})
     return line.df.groupBy(*key, "interval_no").agg(
         F.max(label).alias(label),
         F.min(ts).alias("from_ts"), F.max(ts).alias("to_ts"),

@@ -1,26 +1,5 @@
-"""Join choices that depend on a measured size."""
+"""How much a plan may send to every executor."""
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-# A dimension (one row per device) up to this estimate is sent to every executor.
+# Bytes, of a table whose size was measured. Dimensions are not marked at all: Spark
+# broadcasts what it measures to be small and splits the hot keys of the joins it shuffles.
 MAX_BROADCAST_BYTES = 128 * 1024 * 1024
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of the optimised plan; huge when unknown."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    except Exception:  # no JVM handle on this session
-        return 1 << 62
-
-
-def small(df: DataFrame, limit: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """Mark ``df`` for broadcast only if its estimate is under ``limit``.
-
-    Above it the join is left to the optimiser: a shuffled join whose hot keys
-    adaptive execution splits.
-    """
-    return F.broadcast(df) if estimated_bytes(df) <= limit else df

@@ -11,23 +11,30 @@ from fleetair.sources import logs
 
 
 def test_trailing_means_of_any_magnitude(spark):
-    values = [1e-13, 3e-13, 1e17, None, float("nan"), -2.5, 7.25e-9, 123456.789]
+    values = [1e-300, 3e-300, 1e300, None, float("nan"), -2.5, 7.25e-9, 1e26, float("inf"), 2e26, 4e-320, 123456.789, 1.5e308]
     rows = [("d", i * 10, v) for i, v in enumerate(values)]
     df = spark.createDataFrame(rows, "k string, s long, v double").withColumn("ts", F.timestamp_seconds("s"))
-    got = {r.s: r.m for r in ts_ops.trailing_means(df, "k", "ts", {"v": {"m": 10}}).collect()}
-    good = lambda v: v is not None and not math.isnan(v)
-    for i, v in enumerate(values):
-        window = [x for x in values[max(0, i - 1) : i + 1] if good(x)]
-        want = math.fsum(window) / len(window) if window else None
-        assert got[i * 10] == (pytest.approx(want, rel=1e-12) if want is not None else None)
+    got = {r.s: r for r in ts_ops.trailing_means(df, "k", "ts", {"v": {"m": 10, "now": 0, "more": 35}}).collect()}
+    good = lambda v: v is not None and math.isfinite(v)
+    for i in range(len(values)):
+        for name, back in (("m", 1), ("now", 0), ("more", 3)):
+            window = [x for x in values[max(0, i - back) : i + 1] if good(x)]
+            want = math.fsum(window) / len(window) if window else None
+            assert got[i * 10][name] == (pytest.approx(want, rel=1e-12, abs=1e-330) if want is not None else None)
 
 
 def test_many_bands(spark):
-    bands = spark.range(1500).select(
+    bands = spark.range(100_000).select(
         F.col("id").alias("lo"), (F.col("id") + 1).alias("hi"),
         (F.col("id") * 2).alias("index_lo"), (F.col("id") * 2 + 2).alias("index_hi"))
-    df = spark.createDataFrame([(0.5,), (1499.75,), (1500.0,), (None,)], "x double")
-    assert [r.aqi for r in ts_ops.aqi_band(df, "x", bands).collect()] == [1.0, 2999.5, None, None]
+    df = spark.createDataFrame([(0.5,), (1499.75,), (99_999.5,), (100_000.0,), (-1.0,), (None,)], "x double")
+    got = [r.aqi for r in ts_ops.aqi_band(df, "x", bands).collect()]
+    assert got == [1.0, 2999.5, 199_999.0, None, None, None]
+    gaps = bands.where("lo % 10 <> 3")
+    assert [r.aqi for r in ts_ops.aqi_band(df.where("x > 0 AND x < 4").union(spark.createDataFrame([(3.5,), (13.0,)], "x double")), "x", gaps).collect()] == [1.0, None, None]
+    assert ts_ops.aqi_band(df, "x", bands.where("false")).where("aqi IS NOT NULL").count() == 0
+    with pytest.raises(Exception, match="bands overlap"):
+        ts_ops.aqi_band(df, "x", bands.union(bands.where("lo = 7"))).collect()
 
 
 def test_many_labels(spark):

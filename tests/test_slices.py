@@ -132,15 +132,48 @@ def test_operator(hot, name):
 
 
 def test_trailing_means(hot):
-    r = ad.readings_of(hot)
-    widths = {"value": {"m_1h": 3600, "m_1d": 86400}}
-    plain = ts_ops.trailing_means(r, "device_id", "ts", widths)
-    events = r.select("device_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("_at"))
-    cut = ts_ops.trailing_means(r, "device_id", "ts", widths, sliced(events, "_at"))
-    assert rows(plain) == rows(cut)
-    # The slices that other operators share are cut by time.
-    shared = ts_ops.trailing_means(r, "device_id", "ts", widths, sliced(r))
-    assert rows(plain) == rows(shared)
+    """Equal to sums over every window, also for ties, the hot key and the NULL key."""
+    r = ad.readings_of(hot).withColumn("ts", F.date_trunc("hour", "ts"))
+    got = ts_ops.trailing_means(r, "device_id", "ts", {"value": {"m_1h": 3600, "m_1d": 86400}})
+    data = r.collect()
+    for g in got.collect():
+        for name, seconds in (("m_1h", 3600), ("m_1d", 86400)):
+            window = [x.value for x in data if x.device_id == g.device_id and 0 <= (g.ts - x.ts).total_seconds() <= seconds]
+            assert g[name] == pytest.approx(sum(window) / len(window), rel=1e-12)
+    assert got.count() == len(data)
+
+
+def test_rows_without_a_time_are_cut_too(spark):
+    """They come first, in the order of the second column, and have slices of their own."""
+    df = spark.range(600).select(
+        F.lit(1).alias("k"), F.when(F.col("id") % 3 == 0, F.col("id")).alias("t"), "id",
+        F.when(F.col("id") % 7 < 3, "A").otherwise("B").alias("side"), F.col("id").cast("double").alias("v"),
+    ).withColumn("u", F.col("v"))
+    s = plan_slices(df, "k", "t", 60, tie="id")
+    per_slice = s.tag(df).groupBy("_slice").agg(F.count(F.lit(1)).alias("n"), F.count("t").alias("timed"))
+    assert per_slice.agg(F.max("n")).first()[0] <= 60
+    assert per_slice.where("_slice < 0 AND timed = 0").count() >= 7
+    args = ("k", ["t", "id"], "side", ["v"], ["u"])
+    assert rows(pairing.pair_latest(df, *args)) == rows(pairing.pair_latest(df, *args, slices=s))
+
+
+def test_input_is_read_once_however_many_functions(spark, tmp_path):
+    """The rows of a cut table are read for the cuts and once more, whatever is asked of them."""
+    path = str(tmp_path / "t")
+    spark.range(400).select(F.lit("d").alias("k"), F.col("id").alias("t"), (F.col("id") * 37 % 101).alias("ms")).write.parquet(path)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.read.parquet(path)
+    df = df.mapInArrow(count, df.schema)
+    s = plan_slices(df, "k", "t", 50)
+    out = ts_ops.boot_segments(df, "k", "t", "ms", 10, s)
+    assert out.count() == 400 and out.agg(F.max("boot_id")).first()[0] > 100
+    assert seen.value <= 2 * 400
 
 
 def test_log_resistance_stats(hot):
