@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetair.checks import models
-from fleetair.checks.core import LABELLED_SQL, PAIRED_SQL, label_commands
+from fleetair.checks.core import LABEL_CASE, LABELLED_SQL, NAME_CASE, PAIRED_SQL, calibration_of, label_commands
+from fleetair.checks.series import CADENCE_SQL
 from fleetair.operators import ml
+from fleetair.plans.losses import Losses
 from fleetair.plans.scratch import scratch_path
 from fleetair.schema import FEATURES, LOG, SCAN_LINE_FIELDS
 from fleetair.sources import adapters as ad
@@ -247,6 +249,86 @@ def t2(spark, d):
     return _ntz(out, "ts")
 
 
+#: A network over the two values of a pair.
+PAIR_LAYERS = [{"w": [[0.8, -0.3], [0.1, 0.4], [-0.6, 0.2]], "b": [0.1, 0.0, -0.1], "act": "softmax"}]
+PAIR_PARAMS = [("value_a", 50.0, 40.0), ("value_b", 60.0, 50.0)]
+
+
+def logged_stream(spark, d):
+    """Pairs, the label in force, the score and the log as one streaming query."""
+    e = ad.events(spark, d)
+    r = staged(spark, ad.readings_of(e).withColumns({"value_a": F.col("value"), "value_b": F.col("value")})).fillna({"side": "A"})
+    commands = label_commands(staged(spark, ad.commands_of(e)).fillna({"cmd": "0"}))
+    pairs = st.chained_pair(r, "device_id", "ts", "event_id", "side", ["value_a"], ["value_b"], "0 seconds")
+    labelled = st.chained_label(pairs, commands, "device_id", "ts", "event_id", "0 seconds")
+    params = spark.createDataFrame(PAIR_PARAMS, "feature string, mean double, scale double")
+    out, checkpoint = (scratch_path(spark, n) for n in ("scored", "checkpoint"))
+    st.stream_score(labelled, params, PAIR_LAYERS, out, checkpoint, ["value_a", "value_b"], available_now=True).awaitTermination()
+    scored = spark.read.parquet(out).where("device_id >= 0")
+    return _ntz(scored.select(
+        "device_id", "event_id", "ts", "value_a", "value_b", F.col("label").cast("int").alias("label"), "event_name",
+        "predicted", F.round("confidence", 6).alias("confidence")), "ts")
+
+
+_Z = [f"({w[0]}e0 * (value_a - 50e0) / 40e0 + {w[1]}e0 * (value_b - 60e0) / 50e0 + {b}e0)"
+      for w, b in zip(PAIR_LAYERS[0]["w"], PAIR_LAYERS[0]["b"])]
+LOGGED_SQL = f"""
+WITH p AS ({PAIRED_SQL}),
+c AS (SELECT device_id, ts, {LABEL_CASE} AS label, {NAME_CASE} AS event_name FROM ({ad.COMMANDS_SQL})),
+l AS (SELECT p.*, CAST(coalesce(c.label, 0) AS INTEGER) AS label, coalesce(c.event_name, 'unlabeled') AS event_name,
+             [exp({_Z[0]}), exp({_Z[1]}), exp({_Z[2]})] AS z
+      FROM p ASOF LEFT JOIN c ON p.device_id = c.device_id AND p.ts >= c.ts)
+SELECT device_id, event_id, ts, value_a, value_b, label, event_name,
+       CAST(list_position(z, list_max(z)) - 1 AS INTEGER) AS predicted, round(list_max(z) / list_sum(z), 6) AS confidence
+FROM l
+"""
+
+
+def losses(spark, d):
+    """Lines, readings and a late stream, with every row accounted for."""
+    found = Losses()
+    lines = found.watch(logs.parse_output_lines(output_lines(spark, d, 17), keep_bad=True), "parse", {"bad_line": ~F.col("line_ok")})
+    lines.where("line_ok").write.parquet(scratch_path(spark, "parsed"))
+    raw = ad.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("device_id"))
+    calib = calibration_of(ad.table(spark, d, "supplier")).where("device_id % 10 <> 0").withColumn("known", F.lit(True))
+    joined = raw.join(calib.select("device_id", "known"), "device_id", "left")
+    found.watch(joined, "calibrate", {"no_calibration": F.col("known").isNull()}).where("known").write.parquet(scratch_path(spark, "calibrated"))
+
+    # A file is one batch. The watermark that the first one leaves behind holds from the third on.
+    path = scratch_path(spark, "incoming")
+    e = ad.events(spark, d).select(
+        "event_id", F.when(F.col("event_id") % 13 != 0, F.col("ts").cast("timestamp")).alias("ts"))
+    for part in ("event_id % 2 = 1", "event_id % 4 = 2", "event_id % 4 = 0"):
+        e.where(part).coalesce(1).write.mode("append").parquet(path)
+    found.listen(spark)
+    stream = found.watch(logs.stream_readings(spark, path, e.schema, files_per_batch=1), "stream", {"no_time": F.col("ts").isNull()})
+    timed = st.stream_dedup(stream.where("ts IS NOT NULL"), "event_id", "ts", "3 days")
+    query = (
+        timed.writeStream.format("parquet").option("path", scratch_path(spark, "out"))
+        .option("checkpointLocation", scratch_path(spark, "checkpoint")).trigger(availableNow=True).start())
+    found.finish(query)
+    found.stop(spark)
+    return found.report(spark)
+
+
+LOSSES_SQL = """
+WITH e AS (SELECT *, event_id % 13 = 0 AS untimed FROM events),
+f AS (SELECT max(ts) - INTERVAL 3 DAY AS past FROM e WHERE event_id % 2 = 1 AND NOT untimed),
+s AS (SELECT count(*) AS n, count(*) FILTER (untimed) AS untimed,
+             count(*) FILTER (NOT untimed AND event_id % 4 = 0 AND epoch_ms(ts) <= epoch_ms(past)) AS late FROM e, f)
+SELECT 'parse' AS stage, 'in' AS reason, count(*) AS rows FROM events
+UNION ALL SELECT 'parse', 'kept', count(*) FROM events WHERE event_id % 7 NOT IN (0, 3)
+UNION ALL SELECT 'parse', 'bad_line', count(*) FROM events WHERE event_id % 7 IN (0, 3)
+UNION ALL SELECT 'calibrate', 'in', count(*) FROM lineitem
+UNION ALL SELECT 'calibrate', 'kept', count(*) FROM lineitem WHERE l_suppkey % 10 <> 0
+UNION ALL SELECT 'calibrate', 'no_calibration', count(*) FROM lineitem WHERE l_suppkey % 10 = 0
+UNION ALL SELECT 'stream', 'in', n FROM s
+UNION ALL SELECT 'stream', 'kept', n - untimed - late FROM s
+UNION ALL SELECT 'stream', 'no_time', untimed FROM s
+UNION ALL SELECT 'stream', 'late', late FROM s
+"""
+
+
 def w3_stream(spark, d):
     r = ad.readings(spark, d).select("device_id", "event_id", "ts", "value")
     out = collected(spark, st.stream_cadence(
@@ -254,19 +336,6 @@ def w3_stream(spark, d):
     return _ntz(out.where("device_id >= 0"), "ts")
 
 
-CADENCE_SQL = f"""
-WITH RECURSIVE n AS (
-  SELECT device_id, event_id, ts, value, epoch_us(ts) AS us,
-         row_number() OVER (PARTITION BY device_id ORDER BY ts, event_id) AS i FROM ({ad.READINGS_SQL})),
-walk AS (
-  SELECT n.*, us + 18000000000 AS next_call, TRUE AS taken FROM n WHERE i = 1
-  UNION ALL
-  SELECT n.*, CASE WHEN n.us >= next_call THEN n.us + 18000000000 ELSE next_call END, n.us >= next_call
-  FROM walk w JOIN n ON n.device_id = w.device_id AND n.i = w.i + 1)
-SELECT device_id, event_id, ts, value FROM walk WHERE taken
-"""
-
-
 def rollup(kind, **options):
     def query(spark, d):
         r = staged(spark, ad.readings(spark, d))
@@ -314,7 +383,7 @@ def t4(spark, d):
         stream, ml.fit_scaler(rows, FEATURES), models.LAYERS, out, checkpoint, available_now=True
     ).awaitTermination()
     return spark.read.parquet(out).select(
-        "vec_id", "label", "predicted", F.round("confidence", 6).alias("confidence"), "predicted_name")
+        "row_id", "label", "predicted", F.round("confidence", 6).alias("confidence"), "predicted_name")
 
 
 def t5(spark, d):
@@ -343,6 +412,8 @@ QUERIES = {
     "t4_stream_score": t4,
     "t5_stream_dedup": t5,
     "w3_cadence_exact_stream": w3_stream,
+    "t124_logged_stream": logged_stream,
+    "a9_losses": losses,
 }
 SQL = {
     "s1_scan_sensor_log": LOG_SQL,
@@ -362,5 +433,7 @@ SELECT * REPLACE (CASE WHEN device_id IN ('AA:BB:CC', 'a+b') OR device_id IS NUL
     "t3_table_sessions": SESSION_SQL,
     "t4_stream_score": models.SCORED_SQL,
     "w3_cadence_exact_stream": CADENCE_SQL,
+    "t124_logged_stream": LOGGED_SQL,
+    "a9_losses": LOSSES_SQL,
     "t5_stream_dedup": f"SELECT DISTINCT device_id, date_trunc('hour', ts) AS ts FROM ({ad.READINGS_SQL})",
 }

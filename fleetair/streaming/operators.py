@@ -16,6 +16,7 @@ from fleetair.operators.ml import fetched, score_readings
 from fleetair.plans.timeline import Slices, Timeline, as_list
 from fleetair.schema import DEFAULT_LABEL, FEATURES, UNLABELED_NAME
 from fleetair.streaming.ordered import ordered_stream
+from fleetair.streaming.stateful import in_order
 
 
 def _fields(df: DataFrame, names: Sequence[str]) -> list[T.StructField]:
@@ -103,6 +104,66 @@ def stream_label(
     return ordered_stream(both, keys, ts, ["_kind", id], watermark, step, output)
 
 
+def chained_pair(
+    df: DataFrame, key, ts: str, id: str, side: str, a_cols: list[str], b_cols: list[str],
+    watermark: str | None = "1 minute",
+) -> DataFrame:
+    """``stream_pair`` row by row, so that another stateful operator can follow it.
+
+    What is kept of a device is the latest row of each side and whether it is used up.
+    """
+    keys = as_list(key)
+    needed = list(dict.fromkeys([*keys, ts, id, side, *a_cols, *b_cols]))
+    fields = [*_fields(df, [*keys, id]), T.StructField("_us", T.LongType()), *_fields(df, [*a_cols, *b_cols])]
+
+    def step(row, carried):
+        a, b, new_a, new_b = carried or (None, None, False, False)
+        if row[side] == "A":
+            a, new_a = tuple(row[c] for c in a_cols), True
+        else:
+            b, new_b = tuple(row[c] for c in b_cols), True
+        if not (new_a and new_b):
+            return [], (a, b, new_a, new_b)
+        # This row is the later one, so the pair has its time.
+        return [(*(row[k] for k in keys), row[id], row["_us"], *a, *b)], (a, b, False, False)
+
+    sides = [T.StructType(_fields(df, cols)) if cols else T.StructType().add("_", "int") for cols in (a_cols, b_cols)]
+    carried = T.StructType([
+        T.StructField("a", sides[0]), T.StructField("b", sides[1]),
+        T.StructField("new_a", T.BooleanType()), T.StructField("new_b", T.BooleanType())])
+    rows = df.where(F.col(side).isin("A", "B")).select(*needed)
+    return in_order(rows, keys, ts, [id], step, carried, T.StructType(fields), watermark)
+
+
+def chained_label(
+    df: DataFrame, commands: DataFrame, key, ts: str, id: str, watermark: str | None = "1 minute"
+) -> DataFrame:
+    """``stream_label`` row by row; ``df`` may be the result of ``chained_pair``.
+
+    ``watermark`` is that of the commands; ``df`` has its own. What is kept of a device is the command in force.
+    """
+    keys = as_list(key)
+    own = [c for c in df.columns if c not in ("label", "event_name", ts)]
+    default = (DEFAULT_LABEL, UNLABELED_NAME, "default")
+
+    def step(row, carried):
+        if row["_kind"] == 0:
+            return [], (row["label"], row["event_name"])
+        given = (*carried, "command") if carried else default
+        return [(*(row[c] for c in own), row["_us"], *given)], carried
+
+    readings = df.select(*own, ts).withColumns({
+        "label": F.lit(None).cast("tinyint"), "event_name": F.lit(None).cast("string"), "_kind": F.lit(1)})
+    timed = commands.withWatermark(ts, watermark) if watermark else commands
+    labels = timed.select(*keys, ts, id, "label", "event_name").withColumn("_kind", F.lit(0))
+    both = readings.unionByName(labels, allowMissingColumns=True)
+    output = T.StructType([
+        *_fields(df, own), T.StructField("_us", T.LongType()), T.StructField("label", T.ByteType()),
+        T.StructField("event_name", T.StringType()), T.StructField("label_source", T.StringType())])
+    carried = T.StructType([T.StructField("label", T.ByteType()), T.StructField("event_name", T.StringType())])
+    return in_order(both, keys, ts, ["_kind", id], step, carried, output, None)
+
+
 def stream_cadence(
     df: DataFrame, key, ts: str, id: str, seconds: float, watermark: str = "1 minute"
 ) -> DataFrame:
@@ -161,12 +222,11 @@ def _table_sessions(
     """Sessions of a whole table: ``session_window`` merges all rows of a key in
     one task, which a hot key of a table, unlike one of a micro-batch, overfills."""
     length = F.expr(f"INTERVAL '{gap}'")
-    line = Timeline(df, keys, ts, slices).scan(lag={"_prev": F.col(ts)})
     fresh = F.col("_prev").isNull() | (F.col(ts) > F.col("_prev") + length)
     # Rows of one time are one session, whichever of them comes first.
-    line = line.with_columns(_fresh=fresh.cast("long")).scan(
-        total={"_session": F.col("_fresh")}, peers=True
-    )
+    line = Timeline(df, keys, ts, slices).walk(
+        prev={"_prev": F.col(ts)}, derive={"_fresh": fresh.cast("long")},
+        total={"_session": F.col("_fresh")}, peers=True)
     return line.df.groupBy(*keys, "_session").agg(
         F.min(ts).alias("start"), (F.max(ts) + length).alias("end"),
         F.count(F.lit(1)).alias("rows"), *[F.avg(c).alias(f"{c}_mean") for c in cols],
