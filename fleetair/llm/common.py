@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from fleetair.plans.scratch import scratch_path
 
 _HASH_STEPS = 1_000_000
+#: Bytes of a table that is sent to every executor, measured.
+MAX_SENT_BYTES = 1 << 25
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +26,13 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
 def bounded_sample(df: DataFrame, key: str, label: str, per_label: int) -> DataFrame:
     """About ``per_label`` rows of each label, chosen by a hash of ``key``.
 
@@ -51,3 +60,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def text_bytes(value: Column) -> Column:
+    """About how many bytes a value takes."""
+    return F.coalesce(F.octet_length(value.cast("string")), F.lit(0))
+
+
+def sent(df: DataFrame, width: Column) -> DataFrame:
+    """A written table marked for every executor if its rows, of so many bytes, are few enough.
+
+    A larger one is joined through a shuffle.
+    """
+    size = df.agg(F.sum(width)).first()[0] or 0
+    return F.broadcast(df) if size <= MAX_SENT_BYTES else df

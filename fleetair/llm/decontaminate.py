@@ -1,27 +1,28 @@
 """Benchmark decontamination by winnowing.
 
 Both sides are cut into words. The k-grams of words are hashed, and of every run of
-``WINDOW_GRAMS`` consecutive k-grams the smallest hash is a fingerprint. Any 13 words
+so many consecutive k-grams as 13 words have the smallest hash is a fingerprint. Any 13 words
 that both sides share hold such a run, whose smallest hash is chosen on both sides,
-so no shared span of 13 words is missed. Where fingerprints meet, the hit is
-extended: every 13-word window around it is compared with the benchmark's windows as
-text. Everything is DataFrame functions.
+so no shared span of 13 words is missed. Items of fewer words are winnowed in classes of their
+lengths, with smaller grams and runs that fit the shortest of the class. Where fingerprints
+meet, the hit is extended: every window around it is compared with the benchmark's
+windows as text. Everything is DataFrame functions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetair.llm.common import ascii_lower, written
+from fleetair.llm.common import ascii_lower, sent, text_bytes, written
 
 SPAN_WORDS = 13
-GRAM_WORDS = 6
-WINDOW_GRAMS = SPAN_WORDS - GRAM_WORDS + 1  # 8, a power of two
-#: A benchmark of up to this many windows is sent to every executor (about 100 bytes each).
-MAX_BROADCAST_WINDOWS = 200_000
+#: Classes of window lengths that are winnowed alike, shortest and longest.
+CLASSES = ((13, 13), (7, 12), (4, 6), (2, 3), (1, 1))
 #: A fingerprint is a hash of 33 bits with its position in 30 bits below it.
 POSITION_BITS = 30
 
@@ -49,34 +50,71 @@ def _gram_hash(hashes: Column, at: Column, size: int) -> Column:
     return F.xxhash64(*[F.get(hashes, at + j) for j in range(size)])
 
 
+@dataclass(frozen=True)
+class Class:
+    """Windows of the lengths ``lens``, of which ``span`` is the shortest, and how they are winnowed."""
+
+    lens: tuple[int, ...]
+
+    @property
+    def span(self) -> int:
+        return self.lens[0]
+
+    @property
+    def gram(self) -> int:
+        """Words of a gram: about half of the shortest window."""
+        return max(1, self.span // 2)
+
+    @property
+    def run(self) -> int:
+        """Grams of a run, which are those of the shortest window."""
+        return self.span - self.gram + 1
+
+
 def with_word_hashes(df: DataFrame, text: str, *keep: str) -> DataFrame:
     """The columns ``keep`` and ``h``, an array with the hash of every word."""
     cut = df.select(*keep, words(F.col(text)).alias("w"))
     return cut.select(*keep, F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
 
 
-def winnowed(hashed: DataFrame, *keep: str) -> DataFrame:
-    """A row per fingerprint: the distinct minima, ``hash`` and ``pos``, over runs of
-    k-grams. Fewer than ``SPAN_WORDS`` words give none.
+def winnowed(hashed: DataFrame, classes: Sequence[Class], *keep: str) -> DataFrame:
+    """A row per fingerprint: the distinct minima, ``cls``, ``hash`` and ``pos``, over runs of
+    the grams of each class. Fewer words than the shortest window give none.
 
     Every step is a column of its own: an array that a lambda looks into must be
     there already, or it would be computed again for each element.
     """
-    h, v = F.col("h"), F.col("v")
-    low = F.lit((1 << 33) - 1)
-    packed = F.transform("h", lambda _, i: F.shiftleft(
-        _gram_hash(h, i, GRAM_WORDS).bitwiseAND(low), POSITION_BITS).bitwiseOR(i.cast("long")))
-    n = F.greatest(F.lit(0), F.size("h") - (SPAN_WORDS - 1))
-    rows = hashed.where(F.size("h") >= SPAN_WORDS).select(*keep, n.alias("n"), packed.alias("v"))
+    h, low = F.col("h"), F.lit((1 << 33) - 1)
+
+    def grams(c: Class) -> Column:
+        return F.transform("h", lambda _, i: F.shiftleft(
+            _gram_hash(h, i, c.gram).bitwiseAND(low), POSITION_BITS).bitwiseOR(i.cast("long")))
+
+    numbers = range(len(classes))
+    rows = hashed.select(*keep, F.size("h").alias("n"), *[grams(c).alias(f"v{k}") for k, c in enumerate(classes)])
     width = 1
-    while width < WINDOW_GRAMS:
-        step = F.lit(width)
-        rows = rows.select(*keep, "n", F.transform("v", lambda x, i: F.least(x, F.get(v, i + step))).alias("v"))
+    # Minima over twice as many grams, as long as these fit into a run.
+    while any(2 * width <= c.run for c in classes):
+        def twice(k: int, width: int = width) -> Column:
+            v = F.col(f"v{k}")
+            return F.transform(v, lambda x, i: F.least(x, F.get(v, i + width))).alias(f"v{k}") if 2 * width <= classes[k].run else v
+        rows = rows.select(*keep, "n", *[twice(k) for k in numbers])
         width *= 2
-    return (
-        rows.select(*keep, F.explode(F.array_distinct(F.slice("v", F.lit(1), F.col("n")))).alias("f"))
-        .select(*keep, _hash_part(F.col("f")).alias("hash"), _position_part(F.col("f")).alias("pos"))
-    )
+
+    def minima(k: int) -> Column:
+        """Two minima that overlap make one over the whole run; only whole windows count."""
+        c, v = classes[k], F.col(f"v{k}")
+        rest = c.run - (1 << (c.run.bit_length() - 1))
+        whole = F.transform(v, lambda x, i: F.least(x, F.get(v, i + rest))) if rest else v
+        return F.array_distinct(F.slice(whole, F.lit(1), F.greatest(F.lit(0), F.col("n") - (c.span - 1))))
+
+    rows = rows.select(*keep, *[minima(k).alias(f"v{k}") for k in numbers])
+    # (A parameter more would make Spark pass the index to it.)
+    def named(k: int) -> Column:
+        return F.transform(f"v{k}", lambda f: F.struct(F.lit(k).alias("cls"), f.alias("f")))
+
+    every = F.concat(*[named(k) for k in numbers])
+    return rows.select(*keep, F.inline(every)).select(*keep, "cls", _hash_part(F.col("f")).alias("hash"), _position_part(F.col("f")).alias("pos"))
 
 
 def _hash_part(fingerprint: Column) -> Column:
@@ -119,36 +157,35 @@ def contamination(
     same = ["_key", "_of"]
 
     windows = written(_item_windows(benchmark, item, item_text), "windows")
-    n_windows = windows.count()
-    # The lengths of items shorter than a span: twelve numbers at most.
-    short = sorted(r[0] for r in windows.where(F.col("len") < SPAN_WORDS).select("len").distinct().collect())
-
-    def sized(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if n_windows <= MAX_BROADCAST_WINDOWS else df
-
-    # Fingerprints that both sides have, where they are in the documents.
-    item_prints = winnowed(with_word_hashes(benchmark, item_text)).select("hash").distinct()
+    there = sorted(r[0] for r in windows.select("len").distinct().collect())  # thirteen numbers at most
+    lengths = [tuple(n for n in there if lo <= n <= hi) for lo, hi in CLASSES]
+    classes = [Class(x) for x in lengths if x]
+    if not classes:
+        classes = [Class((SPAN_WORDS,))]
+
+    # Fingerprints that both sides have, where they are in the documents. An item of a class of
+    # short windows is a window itself.
+    of_len = reduce(lambda c, k: F.when(F.col("len").isin(*classes[k].lens), k).otherwise(c), range(len(classes)), F.lit(-1))
+    item_prints = sent(written(
+        winnowed(windows.select(of_len.alias("own"), F.col("hashes").alias("h")), classes, "own")
+        .where("own = cls").select("cls", "hash").distinct(), "prints"), F.lit(24))
     hashed = with_word_hashes(base, "_text", *same)
-    hits = (
-        winnowed(hashed, *same).join(sized(item_prints), "hash", "left_semi")
-        .select(*same, "pos", F.lit(SPAN_WORDS).alias("len"))
-    )
-    # Items shorter than a span: all runs of as many words.
-    h = F.col("h")
-    for size in short:
-        starts = F.sequence(F.lit(0), F.size(h) - size)
-        runs = hashed.where(F.size("h") >= size).select(*same, F.posexplode(F.transform(starts, lambda s: _gram_hash(h, s, size))).alias("pos", "hash"))
-        wanted = windows.where(F.col("len") == size).select(_gram_hash(F.col("hashes"), F.lit(0), size).alias("hash")).distinct()
-        hits = hits.union(runs.join(sized(wanted), "hash", "left_semi").select(*same, "pos", F.lit(size).alias("len")))
+    hits = winnowed(hashed, classes, *same).join(item_prints, ["cls", "hash"], "left_semi").select(*same, "pos", "cls")
     touched = _touched(base, hits, same)
 
     # Extend: the text of every window around a hit, compared with the items' windows.
     w, n = F.col("w"), F.size("w")
 
     def around(x: Column) -> Column:
-        spans = F.sequence(F.greatest(F.lit(0), x["pos"] - (WINDOW_GRAMS - 1)), F.least(x["pos"], n - SPAN_WORDS))
-        return F.when(x["len"] == SPAN_WORDS, F.transform(spans, lambda s: F.struct(s.alias("start"), F.lit(SPAN_WORDS).alias("len")))).otherwise(
-            F.array(F.struct(x["pos"].alias("start"), x["len"].alias("len"))))
+        def spans(c: Class, size: int) -> Column:
+            starts = F.filter(F.sequence(x["pos"] - (size - c.gram), x["pos"]), lambda s: (s >= 0) & (s <= n - size))
+            return F.transform(starts, lambda s: F.struct(s.alias("start"), F.lit(size).alias("len")))
+
+        def windows_of(c: Class) -> Column:
+            return F.flatten(F.array(*[spans(c, size) for size in c.lens]))
+
+        none = F.array().cast("array<struct<start: int, len: int>>")
+        return reduce(lambda out, k: F.when(x["cls"] == k, windows_of(classes[k])).otherwise(out), range(len(classes)), none)
 
     near = F.array_distinct(F.flatten(F.transform("hits", around)))
     candidates = (
@@ -163,7 +200,7 @@ def contamination(
         windows.groupBy("window").agg(F.sort_array(F.collect_set("item")).alias("items"))
         .withColumn("set", F.sha2(F.to_json("items"), 256)), "windowsets")
     found = written(
-        candidates.join(sized(sets.select("window", "set")), "window")
+        candidates.join(sent(sets.select("window", "set"), F.octet_length("window") + 96), "window")
         .groupBy(*same, "set").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
 
     covered = F.aggregate(
@@ -195,16 +232,19 @@ def contamination(
 def _touched(base: DataFrame, hits: DataFrame, same: list[str]) -> DataFrame:
     """``_key, _of, _text, hits``: one row per key and text with hits, each hit once.
 
-    Copies of a row have the same hits; both are reduced before they meet in a task.
+    Copies of a row have the same hits; both are reduced before they meet in a task. Texts without
+    hits are not moved while the lists of hits, which are measured, go to every executor.
     """
-    lists = hits.groupBy(*same).agg(F.collect_set(F.struct("pos", "len")).alias("hits"))
-    return _same_rows(base.where(F.col("_text").isNotNull()), lists, same).dropDuplicates(same)
+    lists = written(hits.groupBy(*same).agg(F.collect_set(F.struct("pos", "cls")).alias("hits")), "hits")
+    few = sent(lists, 32 + text_bytes(F.col("_key")) + 24 * F.size("hits"))
+    return _same_rows(base.where(F.col("_text").isNotNull()), few, same).dropDuplicates(same)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with their columns."""
     found = contamination(docs, benchmark, key, text).where("contaminated")
-    bad = found.select(F.col(key).alias("_bad"), F.col("text_hash").alias("_bad_hash")).distinct()
+    bad = written(found.select(F.col(key).alias("_bad"), F.col("text_hash").alias("_bad_hash")).distinct(), "contaminated")
+    bad = sent(bad, 24 + text_bytes(F.col("_bad")))
     same = docs[key].eqNullSafe(bad["_bad"]) & (text_hash(docs[text]) == bad["_bad_hash"])
     return docs.join(bad, same, "left_anti")
 

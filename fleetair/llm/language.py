@@ -8,12 +8,12 @@ labelled rows, and its temperature is fitted on sampled rows kept out of trainin
 
 from __future__ import annotations
 
-import re
 import sys
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +31,7 @@ PIECE = 1 << 20
 UNKNOWN = "und"
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def gram_counts(text: str) -> np.ndarray:

@@ -21,7 +21,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetair.llm.common import written
+from fleetair.llm.common import free_name, sent, text_bytes, written
 from fleetair.llm.components import connected
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -229,14 +229,34 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     Of rows that share this key in a group the one with the smallest hash of its text
     stays, of rows with the same key and text any one. A key with different texts
     has a row in every group of which it is the smallest.
+
+    Who goes is decided on keys and hashes alone. Texts are not moved while the list of
+    those that go, keys and hashes, has at most ``common.MAX_SENT_BYTES``, which is measured.
     """
     of = F.xxhash64(F.col(text))
     prints = written(
         docs.select(F.col(key).alias("_key"), of.alias("_of"), fingerprint(F.col(text)).alias("fp")), "fingerprints")
     roots = _roots(prints, F.min(F.struct(F.col("_key").isNull().alias("none"), "_key", "_of")))
     stay = roots.groupBy("root").agg(F.min("first").alias("first")).select(
-        F.col("first._key").alias("_stay"), F.col("first._of").alias("_stay_of"))
-    marked = docs.withColumn("_near_of", of)
-    same = marked[key].eqNullSafe(stay["_stay"]) & (marked["_near_of"] == stay["_stay_of"])
-    # Grouped, so that rows of the same key and text are reduced before they meet.
-    return marked.join(stay, same, "left_semi").dropDuplicates([key, "_near_of"]).drop("_near_of")
+        F.col("first._key").alias("_stay"), F.col("first._of").alias("_stay_of"), F.lit(True).alias("_stays"))
+    rows = prints.groupBy("_key", "_of").agg(F.count(F.lit(1)).alias("_n"))
+    chosen = rows["_key"].eqNullSafe(stay["_stay"]) & (rows["_of"] == stay["_stay_of"])
+    listed = written(
+        rows.join(stay, chosen, "left").where("_stays IS NULL OR _n > 1")
+        .select("_key", "_of", F.col("_stays").isNotNull().alias("_again")), "goes")
+    n, again = listed.agg(F.count(F.lit(1)), F.max("_again")).first()
+    if not n:
+        return docs
+    width = 24 + text_bytes(F.col("_key"))
+    of_name = free_name(docs, "_near_of")
+    marked = docs.withColumn(of_name, of)
+    goes = sent(listed, width)
+    same = marked[key].eqNullSafe(goes["_key"]) & (marked[of_name] == goes["_of"])
+    kept = marked.join(goes, same, "left_anti").drop(of_name)
+    if not again:
+        return kept
+    # Repeated rows are brought together; only they are moved.
+    often = sent(listed.where("_again"), width)
+    same = marked[key].eqNullSafe(often["_key"]) & (marked[of_name] == often["_of"])
+    return kept.union(marked.join(often, same, "left_semi").dropDuplicates([key, of_name]).drop(of_name))
+
