@@ -91,7 +91,7 @@ def _binned(df: DataFrame, cuts: list[np.ndarray]) -> DataFrame:
     return df.select(bins("x").alias("x"), "y")
 
 
-def _sums(rows: DataFrame, width: int, recent: tuple, partial: tuple, level: int, bins: int, classes: int) -> np.ndarray:
+def _sums(rows: DataFrame, shards: int, width: int, recent: tuple, partial: tuple, level: int, bins: int, classes: int) -> np.ndarray:
     """First and second derivatives by class, node of the level, feature and bin."""
     nodes, first = 1 << level, (1 << level) - 1
     shape = (classes, nodes, width, bins)
@@ -114,7 +114,10 @@ def _sums(rows: DataFrame, width: int, recent: tuple, partial: tuple, level: int
         at = np.flatnonzero(flat[1])
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[0, at]), pa.array(flat[1, at])], ["at", "g", "h"])
 
-    found = rows.mapInArrow(add, "at long, g double, h double").groupBy("at").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow()
+    found = rows.mapInArrow(add, "at long, g double, h double")
+    if shards > 1:  # the sums of one partition are all there is
+        found = found.groupBy("at").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+    found = found.toArrow()
     out = np.zeros((2, int(np.prod(shape))))
     out[:, found["at"].to_numpy()] = found["g"].to_numpy(), found["h"].to_numpy()
     return out.reshape(2, *shape)
@@ -124,7 +127,7 @@ def _sums(rows: DataFrame, width: int, recent: tuple, partial: tuple, level: int
 OPEN = -2
 
 
-def _grow(rows: DataFrame, width: int, recent: tuple, cuts: list[np.ndarray], classes: int, depth: int, bins: int, rate: float):
+def _grow(rows: DataFrame, shards: int, width: int, recent: tuple, cuts: list[np.ndarray], classes: int, depth: int, bins: int, rate: float):
     """One tree per class: feature, bin, value and gain of every node."""
     size = (1 << (depth + 1)) - 1
     feature = np.full((classes, size), -1)
@@ -135,7 +138,7 @@ def _grow(rows: DataFrame, width: int, recent: tuple, cuts: list[np.ndarray], cl
         if not (feature == OPEN).any():
             break
         # Open nodes end the way of their rows: no row is sent below them yet.
-        g, h = _sums(rows, width, recent, (feature, cut), level, bins, classes)
+        g, h = _sums(rows, shards, width, recent, (feature, cut), level, bins, classes)
         left, whole = np.cumsum([g, h], axis=-1)[..., :-1], np.array([g, h]).sum(axis=-1, keepdims=True)
         right = whole - left
         score = lambda s: s[0] ** 2 / (s[1] + L2)
@@ -167,7 +170,8 @@ def train_trees(
         raise ValueError("no complete labelled rows to learn from")
     cuts = _cuts(rows, width, bins)
     zeros = F.lit([0.0] * classes)
-    held = cut_lineage(_binned(rows, cuts).withColumn("margin", zeros).repartition(-(-n // SHARD_ROWS)))
+    shards = -(-n // SHARD_ROWS)
+    held = cut_lineage(_binned(rows, cuts).withColumn("margin", zeros).repartition(shards))
     grown, recent = [], []
     none = tuple(np.zeros((0, (2 << depth) - 1)) for _ in range(3))
 
@@ -178,7 +182,7 @@ def train_trees(
     for _ in range(rounds):
         if len(recent) == KEEP_ROUNDS:
             held, recent = cut_lineage(_moved(held, together(recent), width, classes)), []
-        tree = _grow(held, width, together(recent), cuts, classes, depth, bins, rate)
+        tree = _grow(held, shards, width, together(recent), cuts, classes, depth, bins, rate)
         grown.append(tree)
         recent.append(tree)
     feature, cut, value, gain = (np.concatenate(t) for t in zip(*grown))

@@ -85,12 +85,17 @@ def train_mlp(
     n = rows.count()
     if not n:
         raise ValueError("no complete labelled rows to learn from")
-    held = cut_lineage(rows.repartition(-(-n // SHARD_ROWS)))
+    shards = -(-n // SHARD_ROWS)
+    held = cut_lineage(rows.repartition(shards))
     weights = first_weights(sizes, seed)
     state, steps, losses = np.stack([weights, np.zeros_like(weights), np.zeros_like(weights)]), 0, []
     for epoch in range(epochs):
-        found = held.mapInArrow(_epoch(state, steps, sizes, batch, rate, dropout, (seed, epoch)), "at int, w double, m double, v double, n long") \
-            .groupBy("at").agg(*[F.sum(c).alias(c) for c in ("w", "m", "v")], F.sum("n").alias("n"), F.max("n").alias("most")).toArrow()
+        found = held.mapInArrow(_epoch(state, steps, sizes, batch, rate, dropout, (seed, epoch)), "at int, w double, m double, v double, n long")
+        if shards > 1:
+            found = found.groupBy("at").agg(*[F.sum(c).alias(c) for c in ("w", "m", "v")], F.sum("n").alias("n"), F.max("n").alias("most"))
+        else:
+            found = found.withColumn("most", F.col("n"))
+        found = found.toArrow()
         at = found["at"].to_numpy()
         order = np.argsort(at)
         sums = {c: found[c].to_numpy()[order] for c in found.schema.names}
