@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fleetair.functions import decode
 from fleetair.operators import decoding, reshape
-from fleetair.schema import OUTPUT_IDS
+from fleetair.schema import ACCURACY_COLUMNS, OUTPUT_IDS, SCAN_OUTPUT_IDS
 from fleetair.sources import adapters as ad
 
 ID = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
@@ -278,7 +278,55 @@ FROM l WHERE sensor_id <> 5 GROUP BY step
 """
 
 
+#: Ids of every output of either kind, and one that is none.
+ALL_IDS = [*dict.fromkeys([*OUTPUT_IDS, *SCAN_OUTPUT_IDS]), 5]
+
+
+def wide_of_all(ids):
+    """An order's lines as outputs of all ids; of repeated ones the dearest wins."""
+    def query(spark, d):
+        number = (F.col("l_linenumber") + F.col("l_partkey")) % len(ALL_IDS)
+        long = ad.table(spark, d, "lineitem").select(
+            F.floor(F.col("l_orderkey") / 8).cast("long").alias("step"), F.get(F.lit(ALL_IDS), number.cast("int")).alias("sensor_id"),
+            F.col("l_extendedprice").alias("signal"), (F.col("l_extendedprice") * 100).cast("long").alias("time_ns"),
+            (F.floor("l_extendedprice") % 4).cast("int").alias("accuracy"))
+        return reshape.to_wide(long, "step", ids, order="time_ns")
+    return query
+
+
+def wide_of_all_sql(ids):
+    columns = []
+    for name in dict.fromkeys(ids.values()):
+        of = ", ".join(str(i) for i, n in ids.items() if n == name)
+        signal = f"max(signal) FILTER (sensor_id IN ({of}))"
+        columns.append(f"{signal} AS {name}")
+        if name in ACCURACY_COLUMNS:
+            columns.append(f"CAST(floor({signal}) % 4 AS INTEGER) AS {ACCURACY_COLUMNS[name]}")
+    return f"""
+WITH l AS (SELECT l_orderkey // 8 AS step, list_extract({ALL_IDS}, CAST((l_linenumber + l_partkey) % {len(ALL_IDS)} AS INT) + 1) AS sensor_id,
+             l_extendedprice AS signal FROM lineitem)
+SELECT step, max(CAST(trunc(signal * 100) AS BIGINT)) AS time_ns, {', '.join(columns)}
+FROM l WHERE sensor_id IN ({', '.join(map(str, ids))}) GROUP BY step
+"""
+
+
+def split(spark, d):
+    """Three frames of seventeen bytes in one capture, spelled as numbers."""
+    frames = [F.unhex(F.lpad(F.hex(F.col("l_orderkey") * 1000 + F.col("l_partkey") * 3 + i), 34, "0")) for i in range(3)]
+    captures = ad.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.concat(*frames).alias("frame"))
+    return decode.split_frames(captures).withColumn("frame", F.hex("frame"))
+
+
+SPLIT_SQL = """
+SELECT l_orderkey, l_linenumber, l_partkey, CAST(slot AS INTEGER) AS slot,
+       lpad(hex(l_orderkey * 1000 + l_partkey * 3 + slot), 34, '0') AS frame
+FROM lineitem, range(3) AS s(slot)
+"""
+
 QUERIES = {
+    "d1_split_frames": split,
+    "r2_to_wide_all_outputs": wide_of_all(OUTPUT_IDS),
+    "r2_to_wide_scan": wide_of_all(SCAN_OUTPUT_IDS),
     "d1_decode_frame": lambda s, d: decode.decode_frame(captured(s, d)).drop("frame"),
     "d2_decode_calibration": d2,
     "d3_comp_temperature": one_value("temperature", 6),
@@ -294,6 +342,9 @@ QUERIES = {
 }
 SQL = {
     "d1_decode_frame": FRAMES_SQL,
+    "d1_split_frames": SPLIT_SQL,
+    "r2_to_wide_all_outputs": wide_of_all_sql(OUTPUT_IDS),
+    "r2_to_wide_scan": wide_of_all_sql(SCAN_OUTPUT_IDS),
     "d2_decode_calibration": COEFFICIENTS_SQL,
     "d3_comp_temperature": one_value_sql("temperature", 6),
     "d4_comp_pressure": one_value_sql("pressure", 3),
