@@ -34,21 +34,32 @@ SENSITIVE = {
     ("secret",): 1.0, ("token",): 0.9, ("credential",): 0.8, ("credentials",): 0.8, ("auth",): 0.6,
     ("api", "key"): 1.0, ("apikey",): 1.0, ("private", "key"): 1.0, ("access", "key"): 0.9,
     ("secret", "key"): 1.0, ("signing", "key"): 0.9, ("encryption", "key"): 0.9, ("bearer",): 0.8,
+    ("mnemonic",): 0.9, ("seed", "phrase"): 0.9, ("pass", "phrase"): 1.0,
 }
+#: Names whose values are words with spaces between them.
+PHRASES = {("passphrase",), ("mnemonic",), ("seed", "phrase"), ("pass", "phrase")}
 
 _ASSIGN = re.compile(
     r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}+")
-_MAY_ASSIGN = re.compile(r"[:=]")
+_MAY_ASSIGN = re.compile(r"[:=]|</")
 
 _TARGET = re.compile(r"""(?<![\w$.-])([A-Za-z_$][\w$.-]*+)["']?\]?[ \t]*+(?::=|=>|=(?!=)|:(?![:/]))[ \t]*+""")
-_QUOTED = re.compile(r'''"((?:[^"\\\n]++|\\.)*+)"|'((?:[^'\\\n]++|\\.)*+)\'''')
+# Three quotes go before one, and may hold line feeds, as back-quotes may.
+_QUOTED = re.compile(
+    r'''"""((?:[^"\\]++|\\.|"(?!""))*+)"""|'{3}((?:[^'\\]++|\\.|'(?!''))*+)'{3}'''
+    r'''|"((?:[^"\\\n]++|\\.)*+)"|'((?:[^'\\\n]++|\\.)*+)'|`((?:[^`\\]++|\\.)*+)`''', re.S)
+#: An element that holds text alone.
+_ELEMENT = re.compile(r"<([A-Za-z_][\w.-]*+)(?:\s[^<>]*+)?>([^<>]++)</\1\s*+>")
 _NAME = re.compile(r"[A-Za-z_$][\w$.]*+")
 # An equals sign only ends a value (base64); inside, a=b=c would be read again and again.
 _BARE = re.compile(r"""[^\s"'`,;&<>(){}\[\]=]++=*+""")
 _JOIN = re.compile(r"[ \t]*+(?:\+[ \t]*+|\.[ \t]++)?")
-_PLACEHOLDER = re.compile(r"(?i)\$\{|\{\{|<|%\(|\*{3}|x{6}|change.?me|example|placeholder|your[_-]")
+#: Values that stand for a secret: a reference, a mask, or words that say so, and nothing else.
+_PLACEHOLDER = re.compile(
+    r"(?i)(?:\$\{[^{}]*\}|\$\([^()]*\)|\{\{.*\}\}|<[^<>]*>|%\(\w+\)s|%\w+%|\*{3,}|x{6,}|\.{3,}"
+    r"|change[\W_]?me\W*|(?:my|your)[-_ ].*|(?:the|an?|some) .*|(?:.*[\W_])?(?:example|placeholder|dummy|redacted)(?:[\W_].*)?)", re.S)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 
@@ -64,16 +75,26 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def sensitivity(name: str) -> float:
+def _name_words(name: str) -> list[tuple[str, ...]]:
     words = [w.lower() for w in _WORDS.findall(name)]
-    best = max((SENSITIVE.get((w,), 0.0) for w in words), default=0.0)
-    return max(best, max((SENSITIVE.get(p, 0.0) for p in pairwise(words)), default=0.0))
+    return [*((w,) for w in words), *pairwise(words)]
+
+
+def sensitivity(name: str) -> float:
+    return max((SENSITIVE.get(p, 0.0) for p in _name_words(name)), default=0.0)
+
 
+def strength(value: str, quoted: bool, phrase: bool = False) -> float:
+    """From 0 to 1: information in bits against 40, a quarter less without a digit.
 
-def strength(value: str, quoted: bool) -> float:
-    """From 0 to 1: information in bits against 40, a quarter less without a digit."""
-    if len(value) < 6 or _PLACEHOLDER.search(value) or any(c.isspace() for c in value):
+    Several words are no secret, unless the name asks for a phrase and four or more stand there.
+    """
+    if len(value) < 6 or _PLACEHOLDER.fullmatch(value):
         return 0.0
+    words = value.split()
+    if len(words) > 1 or value != "".join(words):
+        if not (quoted and phrase and len(words) >= 4):
+            return 0.0
     counts = Counter(value)
     bits = sum(n * math.log2(len(value) / n) for n in counts.values())
     mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
@@ -89,8 +110,7 @@ def lex(text: str) -> tuple[list[tuple[str, int, int, bool]], list[tuple[str, st
         at, first = m.end(), True
         while at < len(text):
             if q := _QUOTED.match(text, at):
-                part = 1 if q[1] is not None else 2
-                literals.append((m[1], *q.span(part), True))
+                literals.append((m[1], *q.span(q.lastindex), True))
                 at = q.end()
             elif (bare := _BARE.match(text, at)) and (name := _NAME.match(text, at)) and name.end() == bare.end():
                 if text[name.end() : name.end() + 1] in ("(", "["):
@@ -110,6 +130,11 @@ def lex(text: str) -> tuple[list[tuple[str, int, int, bool]], list[tuple[str, st
             if joined.end() == at or (not joined[0].strip() and text[joined.end() : joined.end() + 1] not in ('"', "'")):
                 break
             at = joined.end()
+    for m in _ELEMENT.finditer(text):
+        value = m[2].strip()
+        if value:
+            start = m.start(2) + m[2].index(value)
+            literals.append((m[1], start, start + len(value), True))
     return literals, flows
 
 
@@ -131,7 +156,8 @@ def named_spans(text: str) -> list[tuple[int, int, float]]:
                 open_.append(source)
     out = {}
     for name, start, end, quoted in literals:
-        s = score[name] * strength(text[start:end], quoted) if score[name] else 0.0
+        phrase = bool(score[name]) and any(p in PHRASES for p in _name_words(name))
+        s = score[name] * strength(text[start:end], quoted, phrase) if score[name] else 0.0
         if s >= MIN_SCORE:
             out[start, end] = max(s, out.get((start, end), 0.0))
     return [(a, b, s) for (a, b), s in sorted(out.items())]
