@@ -49,20 +49,17 @@ class _Node:
         return self.leaves // 2
 
 
-def _pick(values: list, node: Column) -> Column:
-    """The value that belongs to a node, from a literal array over first leaves.
+def _beside(rows: DataFrame, nodes: list[_Node], **values) -> DataFrame:
+    """Rows of the nodes given, each with its node's values in columns of these names.
 
-    Never NULL, so that no later join asks for a NULL check: pushed down through the
-    levels, it would repeat the whole tree.
+    A node's values are a row of a small table, of as many rows as a level has nodes, at most as many
+    as there are shards; every executor gets it. Rows of other nodes are left out.
     """
-    return F.coalesce(F.get(F.array(*[F.lit(v) for v in values]), node), F.lit(values[0]))
-
-
-def _table(nodes: list[_Node], n: int, get) -> list:
-    out = [get(_Node(0, 1))] * n
-    for x in nodes:
-        out[x.first] = get(x)
-    return out
+    kinds = {int: "long", float: "double", bool: "boolean"}
+    first = {c: f(nodes[0]) for c, f in values.items()}
+    schema = "_kd_node int, " + ", ".join(f"_kd_{c} {kinds[type(v)]}" for c, v in first.items())
+    table = rows.sparkSession.createDataFrame([(x.first, *(f(x) for f in values.values())) for x in nodes], schema)
+    return rows.join(F.broadcast(table), "_kd_node")
 
 
 class _Tree:
@@ -80,23 +77,26 @@ class _Tree:
 
     def step(self, keyed: DataFrame, nodes: list[_Node]) -> DataFrame:
         """Move every row of a split node to the node's left or right child."""
-        def pick(f) -> Column:
-            return _pick(_table(nodes, self.n, f), F.col("_kd_node"))
-
-        a, b = pick(lambda x: x.cut[0] if x.cut else 0), pick(lambda x: x.cut[1] if x.cut else 0)
-        also = pick(lambda x: bool(x.cut and x.cut[2]))
-        goes_left = (F.col("_kd_first") < a) | ((F.col("_kd_first") == a) & (
-            (F.col("_kd_second") < b) | ((F.col("_kd_second") == b) & also)))
-        right = F.when(goes_left, F.lit(0)).otherwise(pick(lambda x: x.left if x.cut else 0))
-        return keyed.withColumn("_kd_node", F.col("_kd_node") + right).drop("_kd_first")
+        split = _beside(
+            keyed, self.whole(nodes), a=lambda x: int(x.cut[0] if x.cut else 0), b=lambda x: int(x.cut[1] if x.cut else 0),
+            also=lambda x: bool(x.cut and x.cut[2]), right=lambda x: x.left if x.cut else 0)
+        goes_left = (F.col("_kd_first") < F.col("_kd_a")) | ((F.col("_kd_first") == F.col("_kd_a")) & (
+            (F.col("_kd_second") < F.col("_kd_b")) | ((F.col("_kd_second") == F.col("_kd_b")) & F.col("_kd_also"))))
+        moved = F.when(goes_left, F.col("_kd_node")).otherwise(F.col("_kd_node") + F.col("_kd_right")).cast("int")
+        return split.withColumn("_kd_node", moved).drop("_kd_first", "_kd_a", "_kd_b", "_kd_also", "_kd_right")
+
+    def whole(self, nodes: list[_Node]) -> list[_Node]:
+        """The nodes of a level and the leaves that are done, which stay where they are."""
+        there = {x.first for x in nodes}
+        return [*nodes, *(_Node(i, 1) for i in range(self.n) if i not in there)]
 
     def keyed(self, rows: DataFrame, nodes: list[_Node]) -> DataFrame:
         """Add ``_kd_first``, the key along each row's node's dimension."""
-        dim = _pick(_table(nodes, self.n, lambda x: x.dim), F.col("_kd_node"))
-        value = F.lit(0)
+        value = F.lit(0).cast("long")
         for i, name in enumerate(self.dimensions):
-            value = F.when(dim == i, F.col(name)).otherwise(value)
-        return rows.withColumn("_kd_first", F.shiftleft(value.cast("long"), 32).bitwiseOR(F.col("_kd_crc")))
+            value = F.when(F.col("_kd_dim") == i, F.col(name).cast("long")).otherwise(value)
+        return _beside(rows, self.whole(nodes), dim=lambda x: x.dim).withColumn(
+            "_kd_first", F.shiftleft(value, 32).bitwiseOR(F.col("_kd_crc"))).drop("_kd_dim")
 
 
 def _dimensions(docs: DataFrame, key: str, text: str, by: Sequence[str]) -> DataFrame:
@@ -118,26 +118,20 @@ def _dimensions(docs: DataFrame, key: str, text: str, by: Sequence[str]) -> Data
     })
 
 
-def _narrow(rows: DataFrame, nodes: list[_Node], tree: _Tree) -> None:
+def _narrow(rows: DataFrame, nodes: list[_Node]) -> None:
     """One histogram round: move each node's range to the bucket that holds its median."""
-    def pick(f) -> Column:
-        return _pick(_table(nodes, tree.n, f), F.col("_kd_node"))
-
-    second = pick(lambda x: x.second)
-    value = F.when(second, F.col("_kd_second")).otherwise(F.col("_kd_first"))
-    width = pick(lambda x: max(1, -(-(x.hi - x.lo + 1) // BUCKETS)))
-    active = {x.first for x in nodes}
+    value = F.when(F.col("_kd_in_second"), F.col("_kd_second")).otherwise(F.col("_kd_first"))
+    ranged = _beside(
+        rows, nodes, in_second=lambda x: x.second, lo=lambda x: int(x.lo), hi=lambda x: int(x.hi), at=lambda x: int(x.at),
+        width=lambda x: max(1, -(-(int(x.hi) - int(x.lo) + 1) // BUCKETS)))
     inside = (
-        rows.where(F.col("_kd_node").isin(*active))
-        .withColumn("_v", value).where(F.col("_v").between(pick(lambda x: x.lo), pick(lambda x: x.hi)))
-        .where(~second | (F.col("_kd_first") == pick(lambda x: x.at)))
+        ranged.withColumn("_v", value).where(F.col("_v").between(F.col("_kd_lo"), F.col("_kd_hi")))
+        .where(~F.col("_kd_in_second") | (F.col("_kd_first") == F.col("_kd_at")))
     )
-    histogram = inside.groupBy("_kd_node", F.floor((F.col("_v") - pick(lambda x: x.lo)) / width).alias("b")).agg(
+    histogram = inside.groupBy("_kd_node", F.floor((F.col("_v") - F.col("_kd_lo")) / F.col("_kd_width")).alias("b")).agg(
         F.sum("_kd_bytes").alias("bytes"), F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
     upto = Window.partitionBy("_kd_node").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    need = pick(lambda x: x.target - x.below)
-    total = F.sum("bytes").over(upto)
-    crossing = histogram.select("*", total.alias("total")).where((F.col("total") >= need) & (F.col("total") - F.col("bytes") < need))
+    crossing = _crossing(histogram, nodes, F.sum("bytes").over(upto))
     by_first = {x.first: x for x in nodes}
     for r in crossing.collect():  # one row per node
         x = by_first[r["_kd_node"]]
@@ -152,22 +146,22 @@ def _narrow(rows: DataFrame, nodes: list[_Node], tree: _Tree) -> None:
             x.lo, x.hi = r["lo"], r["hi"]
 
 
-def _finish(rows: DataFrame, nodes: list[_Node], tree: _Tree) -> None:
-    """Put the few rows around each median in order and cut where bytes are closest."""
-    def pick(f) -> Column:
-        return _pick(_table(nodes, tree.n, f), F.col("_kd_node"))
+def _crossing(sums: DataFrame, nodes: list[_Node], total: Column) -> DataFrame:
+    """The row of each node at which its running total reaches the bytes that go left."""
+    summed = _beside(sums.withColumn("total", total), nodes, need=lambda x: float(x.target - x.below))
+    return summed.where((F.col("total") >= F.col("_kd_need")) & (F.col("total") - F.col("bytes") < F.col("_kd_need")))
+
 
-    second = pick(lambda x: x.second)
-    value = F.when(second, F.col("_kd_second")).otherwise(F.col("_kd_first"))
+def _finish(rows: DataFrame, nodes: list[_Node]) -> None:
+    """Put the few rows around each median in order and cut where bytes are closest."""
+    value = F.when(F.col("_kd_in_second"), F.col("_kd_second")).otherwise(F.col("_kd_first"))
+    ranged = _beside(rows, nodes, in_second=lambda x: x.second, lo=lambda x: int(x.lo), hi=lambda x: int(x.hi), at=lambda x: int(x.at))
     few = (
-        rows.where(F.col("_kd_node").isin(*{x.first for x in nodes}))
-        .where(value.between(pick(lambda x: x.lo), pick(lambda x: x.hi)) & (~second | (F.col("_kd_first") == pick(lambda x: x.at))))
+        ranged.where(value.between(F.col("_kd_lo"), F.col("_kd_hi")) & (~F.col("_kd_in_second") | (F.col("_kd_first") == F.col("_kd_at"))))
         .groupBy("_kd_node", "_kd_first", "_kd_second").agg(F.sum("_kd_bytes").alias("bytes"))
     )
     upto = Window.partitionBy("_kd_node").orderBy("_kd_first", "_kd_second").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    need = pick(lambda x: x.target - x.below)
-    total = F.sum("bytes").over(upto)
-    at = few.select("*", total.alias("total")).where((F.col("total") >= need) & (F.col("total") - F.col("bytes") < need))
+    at = _crossing(few, nodes, F.sum("bytes").over(upto))
     by_first = {x.first: x for x in nodes}
     for r in at.collect():  # one row per node
         x = by_first[r["_kd_node"]]
@@ -196,9 +190,9 @@ def _grow(rows: DataFrame, tree: _Tree) -> None:
             x.target = r["bytes"] * x.left / x.leaves
         keyed = written(tree.keyed(placed, nodes), "level")
         while todo := [x for x in nodes if not x.exact and not x.cut]:
-            _narrow(keyed, todo, tree)
+            _narrow(keyed, todo)
         if todo := [x for x in nodes if not x.cut]:
-            _finish(keyed, todo, tree)
+            _finish(keyed, todo)
         tree.levels.append(nodes)
         placed = tree.step(keyed, nodes)
         open_ = [y for x in nodes for y in (_Node(x.first, x.left), _Node(x.first + x.left, x.leaves - x.left))]
