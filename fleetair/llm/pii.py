@@ -2,9 +2,10 @@
 
 The entities that fixed patterns find are seeds. The words left of each seed, and of
 each identifier-like token, are lexical patterns; patterns and instances form a graph.
-Rounds of scoring give a pattern the mean score of its instances and an instance the
-noisy-or of its patterns; confident patterns then bring in identifiers that no fixed
-pattern knows. Everything is DataFrame functions.
+A round gives a pattern that enough confident instances vouch for the mean score of all its
+instances, and an instance the noisy-or of its patterns; instances that become confident
+vouch for further patterns in the next round. Confident patterns then bring in identifiers
+that no fixed pattern knows. Everything is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -17,9 +18,9 @@ from fleetair.llm.decontaminate import text_hash
 
 #: In the order in which spans that start together are listed.
 KINDS = ("email", "ip", "card", "phone", "found")
-ROUNDS = 3
+ROUNDS = 4
 MIN_CONFIDENCE = 0.5
-#: A pattern needs this many different seeds before it can vouch for anything.
+#: A pattern needs this many different confident instances before it can vouch for anything.
 MIN_SEEDS = 3
 #: Characters left of an entity in which its context's words are looked for.
 CONTEXT = 80
@@ -79,10 +80,16 @@ def _occurrences(texts: DataFrame) -> DataFrame:
         columns += [every.alias(f"m_{kind}"), gaps.alias(f"g_{kind}")]
 
     def rows(kind: str) -> Column:
-        gaps = F.col(f"g_{kind}")
-        return F.transform(f"m_{kind}", lambda m, i: F.struct(
-            F.lit(kind).alias("kind"), i.alias("i"), F.length(F.get(gaps, i)).alias("gap"),
-            F.right(F.get(gaps, i), F.lit(CONTEXT)).alias("left"), m.alias("match")))
+        gaps, found_here = F.col(f"g_{kind}"), F.col(f"m_{kind}")
+
+        def before(i: Column) -> Column:
+            """The text before a match, over the two matches of its kind before it."""
+            pieces = [F.right(F.get(gaps, i - 2), F.lit(CONTEXT)), F.get(found_here, i - 2),
+                      F.right(F.get(gaps, i - 1), F.lit(CONTEXT)), F.get(found_here, i - 1), F.right(F.get(gaps, i), F.lit(CONTEXT))]
+            return F.right(F.concat(*[F.coalesce(x, F.lit("")) for x in pieces]), F.lit(CONTEXT))
+
+        return F.transform(found_here, lambda m, i: F.struct(
+            F.lit(kind).alias("kind"), i.alias("i"), F.length(F.get(gaps, i)).alias("gap"), before(i).alias("left"), m.alias("match")))
 
     matches = (
         texts.select("key", "of", *columns)
@@ -109,21 +116,35 @@ def _occurrences(texts: DataFrame) -> DataFrame:
 
 
 def _confident(occurrences: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``context, confidence`` and ``instance, score`` after the rounds of scoring."""
+    """``context, confidence`` and ``instance, score`` after the rounds of scoring.
+
+    A context or an instance that most of the table has is one row per partner here, and
+    is met by grouped sums and by joins with one row per context or instance on their other side.
+    """
     edges = (
         occurrences.where(F.trim("context") != "")
         .groupBy("context", "instance").agg(F.max((F.col("kind") != "found").cast("double")).alias("seed"))
     )
-    seeded = edges.groupBy("context").agg(F.sum("seed").alias("n")).where(F.col("n") >= MIN_SEEDS).select("context")
-    edges = written(edges.join(seeded, "context"), "edges")
-    scores = edges.groupBy("instance").agg(F.max("seed").alias("score"))
+    many = edges.groupBy("context").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_SEEDS).select("context")
+    edges = written(edges.join(many, "context"), "edges")
+    scores = edges.where("seed = 1").select("instance", F.lit(1.0).alias("score")).distinct()
+    known = None
     for _ in range(ROUNDS):
-        patterns = edges.join(scores, "instance").groupBy("context").agg(
-            (F.sum("score") / (F.count(F.lit(1)) + 1)).alias("confidence"))
+        score = F.coalesce("score", F.lit(0.0))
+        patterns = edges.join(scores, "instance", "left").groupBy("context").agg(
+            (F.sum(score) / (F.count(F.lit(1)) + 1)).alias("confidence"),
+            F.sum((score >= MIN_CONFIDENCE).cast("int")).alias("vouching"),
+        ).where(F.col("vouching") >= MIN_SEEDS).select("context", "confidence")
         patterns = written(patterns, "patterns")
         doubt = F.sum(F.log(1.0 - F.least(F.col("confidence"), F.lit(0.999))))
-        scores = written(edges.join(patterns, "context").groupBy("instance").agg(
-            F.greatest(F.max("seed"), 1.0 - F.exp(doubt)).alias("score")), "instances")
+        told = edges.join(patterns, "context").groupBy("instance").agg(
+            F.greatest(F.max("seed"), 1.0 - F.exp(doubt)).alias("score"))
+        seeds = edges.where("seed = 1").select("instance", F.lit(1.0).alias("score"))
+        scores = written(told.union(seeds).groupBy("instance").agg(F.max("score").alias("score")), "instances")
+        now = patterns.count()
+        if now == known:  # no further pattern: the next round would say the same of the same
+            break
+        known = now
     return patterns, scores
 
 
