@@ -1,8 +1,8 @@
 """Mixing documents to target domain weights with soft memberships.
 
 A naive Bayes classifier learned from a table of labels gives every document a
-posterior over domains. Projected-gradient least squares then fits a rate between 0
-and ``max_rate`` for each document, such that the expected tokens of each domain,
+posterior over domains. Projected-gradient least squares then fits a nonnegative rate, at
+most ``max_rate`` if there is one, for each document, such that the expected tokens of each domain,
 the sum of rate x tokens x posterior, match the targets. The driver sees sums per
 domain only. Everything is DataFrame functions.
 """
@@ -28,8 +28,10 @@ SMOOTHING = 2.0
 SIGNIFICANT = 4.0
 #: And the factor by which it must differ.
 MIN_RATIO = 2.0
-TOLERANCE = 1e-4
-MAX_ROUNDS = 60
+#: Part of its target by which a domain's tokens may differ from it.
+TOLERANCE = 5e-4
+#: Steps without a move after which the totals are settled.
+QUIET = 3
 #: Gradient steps that are replayed from their few numbers before rates are written.
 REPLAY = 8
 
@@ -175,27 +177,36 @@ def _dot(p: Column, v: Column, size: int) -> Column:
     return out
 
 
-def fit_rates(members: DataFrame, targets: Sequence[float], max_rate: float | None = 1.0) -> DataFrame:
-    """Add ``rate`` to ``key, tokens, p``: projected gradient with momentum, from rate 1.
+def fit_rates(members: DataFrame, targets: Sequence[float], max_rate: float | None = 1.0) -> tuple[DataFrame, np.ndarray]:
+    """``key, tokens, p`` with ``rate``, and the domains' tokens at these rates.
 
-    Minimises the squared differences between expected and target tokens of the
-    domains, each over the domain's own scale. In units of the square root of a
-    document's tokens the step is one over the largest eigenvalue of the domains'
-    small matrix. Stops when every total is within ``TOLERANCE`` of all tokens, or
-    no longer changes. Documents without tokens keep rate 1.
+    Projected gradient, from rate 1, on the squared differences between expected and
+    target tokens of the domains, measured by the inverse of the domains' own matrix of tokens: in
+    units of the square root of a document's tokens the step is then one, however unlike the domains
+    are. The matrix is that of the documents free to move, which meets targets within reach in a few
+    steps; from the first step that comes no closer on it is that of all documents, with momentum.
+    Stops when every domain is within ``TOLERANCE`` of its target, or when nothing moves any
+    more, which is the least-squares answer to targets out of reach. Documents without
+    tokens keep rate 1.
     """
     k = len(targets)
     p, tokens = F.col("p"), F.col("tokens").cast("double")
-    sums = members.agg(*[
-        F.sum(tokens * F.get(p, F.lit(a)) * F.get(p, F.lit(b))).alias(f"g{a}_{b}") for a in range(k) for b in range(a, k)
-    ], F.sum(tokens).alias("all")).first()
-    start = members.withColumn("rate", F.lit(1.0))
-    if not sums["all"]:
-        return start
-    gram = np.array([[sums[f"g{min(a, b)}_{max(a, b)}"] for b in range(k)] for a in range(k)])
-    scale = 1.0 / np.maximum(np.diag(gram), 1e-9 * sums["all"])
-    root = np.sqrt(scale)
-    step = 1.0 / max(1e-12, float(np.linalg.eigvalsh(root[:, None] * gram * root[None, :]).max()))
+
+    def gram_sums(weight: Column) -> list[Column]:
+        return [F.sum(weight * F.get(p, F.lit(a)) * F.get(p, F.lit(b))) for a in range(k) for b in range(a, k)]
+
+    def inverse(sums: Sequence[float | None], all_tokens: float) -> np.ndarray:
+        gram = np.zeros((k, k))
+        gram[np.triu_indices(k)] = [x or 0.0 for x in sums]
+        gram += np.triu(gram, 1).T
+        # Domains that hardly any tokens belong to, or that always come together, share a step.
+        return np.linalg.inv(gram + 1e-9 * all_tokens * np.eye(k))
+
+    first = members.agg(F.sum(tokens), *gram_sums(tokens), *[F.sum(tokens * F.get(p, F.lit(d))) for d in range(k)]).first()
+    start, everything = members.withColumn("rate", F.lit(1.0)), first[0]
+    if not everything:
+        return start, np.zeros(k)
+    scale = inverse(first[1:-k], everything)
     goal, most = np.asarray(targets, dtype=float), float("inf") if max_rate is None else max_rate
 
     def replayed(rows: DataFrame, steps: list[list[float]]) -> DataFrame:
@@ -214,34 +225,57 @@ def fit_rates(members: DataFrame, targets: Sequence[float], max_rate: float | No
             .withColumns({"rate": F.col("state.rate"), "ahead": F.col("state.ahead")}).drop("state")
         )
 
-    rows, steps, before, error, t = start.withColumn("ahead", F.lit(1.0)), [], None, float("inf"), 1.0
-    for _ in range(MAX_ROUNDS):
+    def expected(rows: DataFrame, rate: str) -> list[Column]:
+        return [F.sum(F.col(rate) * tokens * F.get(p, F.lit(d))).alias(f"{rate}{d}") for d in range(k)]
+
+    rows, steps, t, quiet = start.withColumn("ahead", F.lit(1.0)), [], 1.0, 0
+    before, error, freely, miss = None, float("inf"), True, np.array(first[-k:]) - goal
+    move = scale @ miss
+    while True:
         now = replayed(rows, steps)
-        got = now.agg(*[F.sum(F.col("ahead") * tokens * F.get(p, F.lit(d))).alias(f"d{d}") for d in range(k)]).first()
-        miss = np.array([got[d] for d in range(k)]) - goal
-        still = before is not None and np.abs(miss - before).max() <= TOLERANCE / 10 * sums["all"]
-        if still or np.abs(miss).max() <= TOLERANCE * sums["all"]:
-            return now.drop("ahead")
-        before, worse = miss, float(scale @ miss**2) > error
-        error = float(scale @ miss**2)
-        t_next = 1.0 if worse else (1 + np.sqrt(1 + 4 * t * t)) / 2  # momentum starts again
-        steps.append([*(step * scale * miss).tolist(), 0.0 if worse else float((t - 1) / t_next)])
-        t = t_next
-        if len(steps) == REPLAY:
-            rows, steps = written(replayed(rows, steps), "rates"), []
-    return replayed(rows, steps).drop("ahead")
+        # Free to move: between the bounds, or at one of them and on the way inwards.
+        way = _dot(p, F.lit(move.tolist()), k)
+        free = ((F.col("rate") > 0) | (way < 0)) & ((F.col("rate") < most) | (way > 0))
+        got = now.agg(*expected(now, "rate"), *expected(now, "ahead"), *gram_sums(F.when(free, tokens))).first()
+        reached, miss = np.array(got[:k]), np.array(got[k : 2 * k]) - goal
+        moved = np.inf if before is None else np.abs(reached - before).max()
+        quiet = quiet + 1 if moved <= TOLERANCE / 100 * everything else 0
+        if np.all(np.abs(reached - goal) <= TOLERANCE * goal) or (quiet == QUIET and not freely):
+            return now.drop("ahead"), reached
+        now_error = float(miss @ scale @ miss)
+        worse = now_error > error
+        if freely and (worse or quiet):
+            # Back to where the last step came from, and on with the matrix of all.
+            freely, quiet = False, 0
+            if worse:
+                steps.pop()
+                before, error = None, float("inf")
+                continue
+        before, error = reached, now_error
+        if freely:
+            move = inverse(got[2 * k :], everything) @ miss
+            steps.append([*move.tolist(), 0.0])
+        else:
+            t_next = 1.0 if worse else (1 + np.sqrt(1 + 4 * t * t)) / 2  # momentum starts again
+            move = scale @ miss
+            steps.append([*move.tolist(), 0.0 if worse else float((t - 1) / t_next)])
+            t = t_next
+        if len(steps) > REPLAY:  # the last step may have to be taken back
+            rows, steps = written(replayed(rows, steps[:-1]), "rates"), steps[-1:]
 
 
 def mix(
     docs: DataFrame, labels: DataFrame, weights: Mapping[str, float], total_tokens: float | None = None,
     max_rate: float | None = 1.0, key: str = "doc_id", text: str = "text",
 ) -> DataFrame:
-    """``key, tokens, p, rate, copies`` for every row.
+    """``key, tokens, p, rate, copies, target, achieved, met`` for every row.
 
     ``labels`` has ``key, domain``; of several labels of a key the first by name counts,
     and labels of other domains or without a document teach nothing. ``weights`` are
     the target shares of the domains. ``total_tokens`` defaults to what keeps all of the
-    domain with the largest share. ``copies`` is the rate made whole
+    domain with the largest share. ``target`` and ``achieved``, the same on every row, are the
+    domains' tokens asked for and those expected at the fitted rates, and ``met`` whether these agree to
+    a thousandth; if not, no rates come closer. ``copies`` is the rate made whole
     by a hash of the key: its floor, or one more with the probability of the rest.
     NULL and empty texts have no tokens and rate 1; repeated rows are rated alike.
     """
@@ -253,6 +287,10 @@ def mix(
     if total_tokens is None:
         main = int(share.argmax())
         total_tokens = (supply[main] or 0.0) / share[main]
-    rated = fit_rates(members, (share * total_tokens).tolist(), max_rate)
+    targets = (share * total_tokens).tolist()
+    rated, reached = fit_rates(members, targets, max_rate)
     chance = F.pmod(F.xxhash64(F.lit("copies"), "key"), F.lit(1 << 40)) / float(1 << 40)
-    return rated.select(F.col("key").alias(key), "tokens", "p", "rate", F.floor(F.col("rate") + chance).cast("int").alias("copies"))
+    return rated.select(
+        F.col("key").alias(key), "tokens", "p", "rate", F.floor(F.col("rate") + chance).cast("int").alias("copies"),
+        F.lit(targets).alias("target"), F.lit(reached.tolist()).alias("achieved"),
+        F.lit(bool(np.all(np.abs(reached - targets) <= 1e-3 * np.array(targets)))).alias("met"))

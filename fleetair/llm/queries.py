@@ -59,9 +59,9 @@ def domain_labels(labels: DataFrame) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    mixed = mixing.mix(docs, domain_labels(labels), DOMAIN_WEIGHTS)
-    return mixed.select(
-        "doc_id", "tokens", *[F.get("p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(DOMAIN_WEIGHTS)], "rate", "copies")
+    mixed = mixing.mix(docs, domain_labels(labels), DOMAIN_WEIGHTS, max_rate=None)
+    per_domain = [F.get(c, F.lit(i)).alias(f"{c}_{d}") for c in ("p", "target", "achieved") for i, d in enumerate(DOMAIN_WEIGHTS)]
+    return mixed.select("doc_id", "tokens", "rate", "copies", "met", *per_domain)
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
