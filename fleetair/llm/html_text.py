@@ -1,13 +1,18 @@
 """Main text of web pages by site style trees.
 
 The DOMs of a host's pages are merged: elements with the same chain of tags, classes
-and ids from the root are one style node. Over the host's different pages a node has a
-distribution of contents and one of presentations (the sequence of its children's
-styles). Its importance is the larger of the two entropies, over the logarithm of the
-number of pages: near 0 for what every page repeats, 1 for what no two pages share.
-Branches of low importance are removed from each page, as are those whose markup says
-what they are (navigation, notices, adverts, forms, comments); what is left of the
-article is the text.
+and ids from the root are one style node. Over the host's pages a node has a
+distribution of presentations (the sequence of its children's styles), whose entropy over the
+logarithm of the number of pages is near 0 for a fixed frame and 1 for what no two pages
+share, and a distribution of contents, its own words and links, with an entropy of its own. Words
+that every page repeats tell nothing: a node's information is its words times the entropy of its contents, and a
+branch's is the sum over its nodes.
+
+A node's importance is made of its own presentations and of the part of a page's information that is in its
+branch; the more presentations it has, the more they count. Nodes of low importance beside the running text are removed
+from each page, and inside it those that are repeated whole; so are branches whose markup says what
+they are (navigation, notices, adverts, forms, comments), which is all there is to go by on
+hosts of few pages. What is left of the article is the text.
 """
 
 from __future__ import annotations
@@ -22,13 +27,17 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetair.llm.common import written
+from fleetair.llm.common import free_name, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: A style node of fewer different pages says nothing about repetition.
 MIN_PAGES = 5
 MIN_IMPORTANCE = 0.3
+#: How much less the contents count with every presentation a node has.
+DAMPING = 0.9
+#: Pages whose places in the tree are counted together before they are sent.
+COUNTED_PAGES = 256
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -57,6 +66,10 @@ STATE_LAST = frozenset("open opened closed enabled disabled off".split())
 PARTLY, WHOLLY = 1, 2
 #: Elements that hold running text are not judged by how often they are repeated.
 TEXT_TAGS = frozenset("html body main article p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th".split())
+#: Elements that a running text is made of.
+RUNNING_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th".split())
+#: Elements whose contents are not shown.
+UNSEEN_TAGS = frozenset("head script style template noscript".split())
 _CLOSES = {  # a start tag ends the open element of the first set, up to the second
     "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu"])),
     "dt": (frozenset(["dt", "dd"]), frozenset(["dl"])), "dd": (frozenset(["dt", "dd"]), frozenset(["dl"])),
@@ -68,12 +81,13 @@ _NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Node:
-    __slots__ = ("children", "content", "named", "names", "nested", "noise", "parent", "style", "tag", "within")
+    __slots__ = ("children", "content", "link", "named", "names", "nested", "noise", "parent", "style", "tag", "within")
 
     def __init__(self, tag: str, names: str, noise: bool, parent: Node | None):
         self.tag, self.names, self.noise, self.parent = tag, names, noise, parent
         self.children: list[Node | str] = []
         self.style = self.content = self.named = 0
+        self.link = ""
         self.within = bool(parent) and (parent.within or parent.tag in ("article", "main"))
         self.nested = bool(parent) and (parent.nested or parent.tag == "article")
 
@@ -94,6 +108,7 @@ class _Builder(HTMLParser):
         node = Node(tag, f"{given.get('class', '')} {given.get('id', '')}".strip(), False, self.at)
         node.noise = _is_noise(node, given)
         node.named = 0 if node.noise else _named_noise(node)
+        node.link = given.get("href", "") if tag == "a" else ""
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
@@ -304,44 +319,118 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
+def _own(nodes: list[Node]) -> dict[int, list[str]]:
+    """The words and links of each block, by the block's style, inline elements included."""
+    out: dict[int, list[str]] = {}
+    block: dict[int, Node | None] = {}  # the block an element's text is in; None where it is not shown
+    for node in nodes:  # parents come first
+        around = block[id(node.parent)] if node.parent else node
+        at = block[id(node)] = None if around is None or node.tag in UNSEEN_TAGS else node if node.tag in BLOCK else around
+        if at is None:
+            continue
+        found = out.setdefault(at.style, [])
+        for c in node.children:
+            if isinstance(c, str):
+                found += c.split()
+        if node.link:
+            found.append(node.link)
+    return out
+
+
+def _chain(node: Node) -> list[int]:
+    """The styles of a block and of the blocks around it, outermost first."""
+    out, at = [], node
+    while at:
+        if at.tag in BLOCK:
+            out.append(at.style)
+        at = at.parent
+    return out[::-1]
+
+
+#: Rows of the first pass: a node of a page, and pages with a node.
+_NODE, _PLACE = range(2)
+
+
+def _observed(pages: DataFrame) -> DataFrame:
+    """All that the style trees are made of, from one pass over the pages."""
+    def look(batches):
+        for batch in batches:
+            hosts, htmls = batch.column("host"), batch.column("html")
+            for first in range(0, batch.num_rows, COUNTED_PAGES):
+                rows: list[tuple] = []
+                places: dict[tuple, list[int]] = {}
+                for i in range(first, min(batch.num_rows, first + COUNTED_PAGES)):
+                    host, root = hosts[i].as_py(), parse(htmls[i].as_py())
+                    nodes = annotate(root, host)
+                    own = _own(nodes)
+                    merged: dict[int, list[Node]] = {}
+                    for n in nodes:
+                        if n.tag in BLOCK:
+                            merged.setdefault(n.style, []).append(n)
+                    for style, same in merged.items():
+                        shape = _hash(*[c.style for n in same for c in n.children if isinstance(c, Node)])
+                        words = own.get(style, [])
+                        rows.append((
+                            _NODE, host, style, _hash(*[n.content for n in same]), shape, root.content,
+                            xxhash.xxh64_intdigest(" ".join(words)) >> 1, len(words), None))
+                        place = (host, style, int(same[0].tag in RUNNING_TAGS))
+                        if place not in places:
+                            places[place] = _chain(same[0])
+                rows += [(_PLACE, *p, None, None, None, None, chain) for p, chain in places.items()]
+                cols = list(zip(*rows, strict=True)) or [[]] * 9
+                kinds = (pa.int8(), pa.string(), *[pa.int64()] * 6, pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)],
+                    ["kind", "host", "style", "content", "shape", "page", "own", "words", "chain"])
+
+    return pages.where("host <> ''").select("host", "html").mapInArrow(
+        look, "kind byte, host string, style long, content long, shape long, page long, own long, words long, chain array<long>")
+
+
 def low_importance(pages: DataFrame) -> DataFrame:
-    """``host, styles``: per host the style nodes whose branches are repeated.
+    """``host, styles``: per host the style nodes that are removed.
 
-    Every block element of every page is in its host's tree. A host's style tree counts each different page once, however often it is copied.
+    Every block element of every page is in its host's tree. A host's style tree counts each
+    different page once, however often it is copied.
     """
-    def styles(batches):
-        for batch in batches:
-            rows: list[tuple[str, int, int, int, int]] = []
-            for host, html in zip(batch.column("host"), batch.column("html"), strict=True):
-                host = host.as_py()
-                root = parse(html.as_py())
-                merged: dict[int, list[Node]] = {}
-                for n in annotate(root, host):
-                    if n.tag in BLOCK:
-                        merged.setdefault(n.style, []).append(n)
-                for style, same in merged.items():
-                    shape = _hash(*[c.style for n in same for c in n.children if isinstance(c, Node)])
-                    rows.append((host, style, _hash(*[n.content for n in same]), shape, root.content))
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.string()), *[pa.array(c, pa.int64()) for c in cols[1:]]],
-                ["host", "style", "content", "shape", "page"])
-
-    seen = (
-        pages.where("host <> ''").select("host", "html")
-        .mapInArrow(styles, "host string, style long, content long, shape long, page long").distinct()
-    )
-    # Counts of contents and of presentations of each style node, in one pass.
+    raw = written(_observed(pages), "observed")
     n = F.count(F.lit(1))
-    counted = seen.select("host", "style", F.inline(F.array(
-        F.struct(F.lit(True).alias("of_content"), F.col("content").alias("value")),
-        F.struct(F.lit(False).alias("of_content"), F.col("shape").alias("value")),
-    ))).groupBy("host", "style", "of_content", "value").agg(n.alias("n"))
-    entropy = counted.groupBy("host", "style", "of_content").agg(
-        F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s")
+    # Counts of whole contents, presentations and own contents of each style node, in one pass.
+    seen = raw.where(F.col("kind") == _NODE).select("host", "style", "content", "shape", "page", "own", "words").distinct()
+    counted = seen.select("host", "style", "words", F.inline(F.array(*[
+        F.struct(F.lit(c).alias("of"), F.col(c).alias("value")) for c in ("content", "shape", "own")
+    ]))).groupBy("host", "style", "of", "value").agg(n.alias("n"), F.sum("words").alias("words"))
+    entropy = counted.groupBy("host", "style", "of").agg(
+        F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"), n.alias("kinds"), F.sum("words").alias("words")
     ).where(F.col("m") >= MIN_PAGES).withColumn("h", (F.log("m") - F.col("s") / F.col("m")) / F.log("m"))
-    importance = entropy.groupBy("host", "style").agg(F.max("h").alias("importance"))
-    low = importance.where(F.col("importance") < MIN_IMPORTANCE)
+
+    def of(what: str, column: str) -> Column:
+        return F.max(F.when(F.col("of") == what, F.col(column)))
+
+    nodes = entropy.groupBy("host", "style").agg(
+        F.max("m").alias("m"), F.max(F.when(F.col("of") != "own", F.col("h"))).alias("repeated"),
+        of("shape", "h").alias("presentation"), of("shape", "kinds").alias("kinds"), (of("own", "h") * of("own", "words")).alias("own"))
+
+    # The information of each block's own words, and of its whole branch.
+    places = raw.where(F.col("kind") == _PLACE).groupBy("host", "style").agg(F.max("content").alias("running"), F.min("chain").alias("chain"))
+    tree = written(places.join(nodes, ["host", "style"]), "tree")
+    branch = tree.select("host", F.explode("chain").alias("style"), "own").groupBy("host", "style").agg(F.sum("own").alias("info"))
+    branch = written(tree.join(branch, ["host", "style"]).withColumn("parent", F.try_element_at("chain", F.lit(-2))), "branches")
+    whole = branch.groupBy("host").agg(F.max("info").alias("whole"), F.max("m").alias("pages"))
+    # Running text is where most of a branch's information is in its own words and its paragraphs.
+    text = branch.where("running = 1").groupBy("host", F.col("parent").alias("style")).agg(F.sum("info").alias("text"))
+    running = branch.join(text, ["host", "style"], "left").where(
+        2 * (F.coalesce("text", F.lit(0.0)) + F.col("own")) >= F.col("info")).select("host", F.col("style").alias("around"), F.lit(1).alias("inside"))
+    above = branch.select("host", "style", F.explode(F.slice("chain", 1, F.size("chain") - 1)).alias("around"))
+    inside = above.join(running, ["host", "around"]).groupBy("host", "style").agg(F.max("inside").alias("inside"))
+
+    judged = branch.join(whole, "host").join(inside, ["host", "style"], "left")
+    # Without any information on the host nothing can be told by it.
+    share = F.coalesce(F.least(F.lit(1.0), F.try_divide(F.col("info") / F.col("m"), F.col("whole") / F.col("pages"))), F.lit(1.0))
+    damped = F.pow(F.lit(DAMPING), F.col("kinds"))
+    importance = (1 - damped) * F.col("presentation") + damped * share
+    low = judged.where(
+        F.when(F.col("inside").isNull(), importance < MIN_IMPORTANCE).otherwise(False) | (F.col("repeated") < MIN_IMPORTANCE))
     return low.groupBy("host").agg(F.collect_set("style").alias("styles"))
 
 
@@ -352,18 +441,21 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
     markup alone. White space is what Unicode calls so, character references included.
     """
     rest = [c for c in pages.columns if c not in (html, "text")]
-    hosted = pages.withColumns({"_host": host_of(F.col(url)), "_html": F.col(html)})
-    low = written(low_importance(hosted.select(F.col("_host").alias("host"), F.col("_html").alias("html"))), "styles")
-    low = low.withColumnsRenamed({"host": "_low_host", "styles": "_low"})
+    # Names of ours that no column of the pages has.
+    host_, html_ = (free_name(pages, c) for c in ("_host", "_html"))
+    hosted = pages.withColumns({host_: host_of(F.col(url)), html_: F.col(html)})
+    low = written(low_importance(hosted.select(F.col(host_).alias("host"), F.col(html_).alias("html"))), "styles")
+    low_host, low_styles = (free_name(pages, c) for c in ("_low_host", "_low"))
+    low = low.withColumnsRenamed({"host": low_host, "styles": low_styles})
 
     @F.arrow_udf("string")
-    def text(html_: pa.Array, host: pa.Array, styles: pa.Array) -> pa.Array:
+    def text(htmls: pa.Array, hosts: pa.Array, styles: pa.Array) -> pa.Array:
         out = []
-        for h, name, s in zip(html_, host, styles, strict=True):
+        for h, name, s in zip(htmls, hosts, styles, strict=True):
             root = parse(h.as_py())
             nodes = annotate(root, name.as_py())
             out.append(main_text(root, nodes, frozenset(s.as_py() or ())))
         return pa.array(out, pa.string())
 
-    joined = hosted.join(low, hosted["_host"] == low["_low_host"], "left")
-    return joined.select(*rest, text("_html", "_host", "_low").alias("text"))
+    joined = hosted.join(low, hosted[host_] == low[low_host], "left")
+    return joined.select(*rest, text(html_, host_, low_styles).alias("text"))

@@ -6,11 +6,12 @@ import re
 
 import numpy as np
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
 from fleetair.llm import (
-    decontaminate, exact_dedup, html_text, language, mixing, pii, quality, secrets_scan, sharding, simhash,
+    decontaminate, exact_dedup, html_text, language, mixing, pii, quality, queries, secrets_scan, sharding, simhash,
 )
 from fleetair.llm.queries import _digested
 
@@ -65,7 +66,11 @@ def test_language_odd(odd, empty):
     model = language.fit(odd)
     got = odd.withColumn("p", language.predict(F.col("text"), model)).collect()
     for r in got:
-        assert (r.p.lang_pred == "und") == (not re.search(r"[^\W\d_]", r.text or ""))
+        assert (r.p.lang_pred == "und") == (not regex.search(r"\p{L}", r.text or ""))
+    # Numbers that are no letters, though they count as word characters.
+    signs = odd.sparkSession.createDataFrame([("²",), ("½ ² Ⅷ",), ("_ 7 ٣",), ("ª",), ("日",)], "text string")
+    told = signs.select("text", language.predict(F.col("text"), model).alias("p")).collect()
+    assert {r.text: r.p.lang_pred == "und" for r in told} == {"²": True, "½ ² Ⅷ": True, "_ 7 ٣": True, "ª": False, "日": False}
     assert language.predict(F.col("text"), language.fit(empty)) is not None
     assert odd.select(language.predict(F.col("text"), language.fit(empty)).alias("p")).where("p.lang_pred <> 'und'").isEmpty()
     assert empty.select(language.predict(F.col("text"), model)).count() == 0
@@ -222,6 +227,30 @@ def test_mixing(spark, odd, empty):
     assert mixing.mix(empty, labels, {"a": 0.9, "b": 0.1}).count() == 0
 
 
+def test_mixing_meets_its_targets(spark):
+    """On the given tables every domain is within a thousandth of its target."""
+    got = queries.op5_mixing(spark, "/root/testdata/sf0.01").collect()
+    names = list(queries.DOMAIN_WEIGHTS)
+    p = np.array([[r[f"p_{d}"] for d in names] for r in got])
+    rate, tokens = (np.array([r[c] for r in got], dtype=float) for c in ("rate", "tokens"))
+    target, told = (np.array([got[0][f"{c}_{d}"] for d in names]) for c in ("target", "achieved"))
+    assert target / target.sum() == pytest.approx(list(queries.DOMAIN_WEIGHTS.values()))
+    reached = (rate * tokens) @ p
+    assert reached == pytest.approx(told, rel=1e-6)
+    assert reached == pytest.approx(target, rel=1e-3)
+    assert {r.met for r in got} == {True}
+    assert (rate >= 0).all() and all(abs(r.copies - r.rate) < 1 for r in got)
+
+
+def test_rates_out_of_reach_are_told(spark):
+    """A bound of 1 cannot give more than there is; what is reached comes with the rates."""
+    rows = [(i, 10, [1.0, 0.0] if i % 5 else [0.0, 1.0]) for i in range(100)]
+    members = spark.createDataFrame(rows, "key long, tokens long, p array<double>")
+    rated, reached = mixing.fit_rates(members, [400.0, 500.0], 1.0)
+    assert reached.tolist() == pytest.approx([400, 200], rel=1e-3)
+    assert {round(r.rate, 2) for r in rated.collect()} == {0.5, 1.0}
+
+
 def test_rates_are_the_least_squares_solution(spark):
     """Against a long run of plain projected gradient on the same problem."""
     rng = np.random.default_rng(0)
@@ -230,7 +259,7 @@ def test_rates_are_the_least_squares_solution(spark):
     rows = [(i, int(t), x.tolist()) for i, (t, x) in enumerate(zip(tokens, p, strict=True))]
     members = spark.createDataFrame(rows, "key long, tokens long, p array<double>")
     goal = [2000.0, 500.0, 200.0]
-    rate = np.array([r.rate for r in mixing.fit_rates(members, goal, None).orderBy("key").collect()])
+    rate = np.array([r.rate for r in mixing.fit_rates(members, goal, None)[0].orderBy("key").collect()])
     miss = (rate * tokens) @ p - goal
     assert (rate >= 0).all() and (rate == 0).any()
     scale, plain = 1 / ((tokens[:, None] * p).T @ p).diagonal(), np.ones(200)
@@ -302,6 +331,38 @@ def test_html_style_tree(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_the_style_tree_alone_finds_the_given_articles(spark, monkeypatch):
+    """Without any list of names, and without article elements, on hosts of five pages and more."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html")
+    # Fewer hosts, so that each has enough pages.
+    pages = pages.withColumn("url", F.concat(F.lit("http://h"), F.col("page_id") % 5, F.lit(".example/"), "page_id"))
+    given = {r.page_id: r.html for r in pages.collect()}
+
+    def article(html):
+        """The text of the article element, read by pattern alone."""
+        body = re.search(r"<article>(.*?)</article>", html, re.S)[1]
+        blocks = re.split(r"</?(?:p|h1)>", re.sub(r"<br>", " ", re.sub(r"</?b>", "", body)))
+        return "\n".join(x for x in (" ".join(unescape(b).split()) for b in blocks) if x)
+
+    from html import unescape
+    want = {k: article(v) for k, v in given.items()}
+    assert {r.page_id: r.text for r in html_text.extract(pages).collect()} == want
+    low = html_text.low_importance(pages.select(html_text.host_of(F.col("url")).alias("host"), "html")).collect()
+    assert len(low) == 5 and all(len(r.styles) >= 3 for r in low)
+    for name in ("NOISE_WORDS", "NOISE_ROLES", "HEADER_WORDS"):
+        monkeypatch.setattr(html_text, name, frozenset())
+    monkeypatch.setattr(html_text, "NOISE_TAGS", html_text.UNSEEN_TAGS)
+    plain = pages.withColumn("html", F.replace(F.replace("html", F.lit("<article>"), F.lit('<div class="c">')), F.lit("</article>"), F.lit("</div>")))
+    assert {r.page_id: r.text for r in html_text.extract(plain).collect()} == want
+
+
+def test_html_of_copies_and_ties(spark):
+    """A host whose pages are all alike has no information; nothing is removed for being small."""
+    same = "<body><div class=x>Only words</div><div class=y>More words here</div></body>"
+    pages = spark.createDataFrame([(i, f"http://a.example/{i}", same) for i in range(12)], "page_id long, url string, html string")
+    assert {r.text for r in html_text.extract(pages).collect()} == {"Only words\nMore words here"}
+
+
 def rows_html(i):
     return f"<body><div class=x1>Same words</div><div class=y>Text {i}</div><p>Always</p></body>"
 
@@ -461,6 +522,31 @@ def test_secret_assignments():
     assert named("a = b\nb = a\npassword = a\nb = 'aB3dE5gH7jK9mN1pQ2'") == ["aB3dE5gH7jK9mN1pQ2"]
 
 
+def test_planted_secrets_are_found():
+    """Variables that flow, every kind of quotes, elements, phrases; and what only looks like them."""
+    rng = random.Random(21)
+    alphabet = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789"
+    frames = [
+        "db_pwd = {q}", "auth={q}", "const credentials: string = {q};", "{{'client_pwd': {q}}}", "v1 = {q}\nv2 = v1\nconn.auth_pwd = v2",
+        "<dbAuth>{v}</dbAuth>", "<smtp-credential env='p'>\n  {v}\n</smtp-credential>", "signing_key: {v}", "export DB_PWD={v}",
+        "authKey := {q}", "private_key => {q}", 'auth = """{v}"""', "bearer = '''{v}'''", "let pwd = `{v}`",
+        "passphrase = \"{p}\"", "seed_phrase: '{p}'",
+    ]
+    planted, found, more = 0, 0, 0
+    for i in range(400):
+        v = "".join(rng.choices(alphabet, k=rng.randint(12, 28))) + "7q"
+        phrase = " ".join(rng.sample(WORDS, 5))
+        frame = frames[i % len(frames)]
+        want = phrase if "{p}" in frame else v
+        text = f"# note {i}\nprint('hello')\n" + frame.format(v=v, p=phrase, q=rng.choice(['"', "'", "`"]).join(["", v, ""])) + "\ncolour = 'blue5green7red9'\n"
+        got = named(text)
+        planted, found, more = planted + 1, found + (want in got), more + len(set(got) - {want})
+    assert found >= 0.95 * planted and more == 0
+    for text in ('pwd = "${DB_PWD_1}"', "auth: <your key 1>", 'pwd = "example"', 'auth = "your-password-here1"', 'pwd = "type 1 word here"', "credential = '********'"):
+        assert named(text) == []
+    assert named('auth_pwd = "a<b9!kd8example2Q"') == ["a<b9!kd8example2Q"]
+
+
 def test_pii_patterns(spark, odd_rows, empty):
     rng = random.Random(12)
     pieces = ["a.b", "@", "x-1.org", ".", "1", "12", "255", "256", "4111111111111111", "4111-1111 1111 1111", " ", "-", "+1 ", "(555) 010-9999", "_", "é", "\n", "%", "99.1.2.3"]
@@ -489,3 +575,55 @@ def test_pii_bootstrapping(spark):
     rows += [(50, "Please write to contact address: agent-0077x today"), (51, "some other words agent-0078x here")]
     got = {r.doc_id: [s.kind for s in r.spans] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[50] == ["found"] and got[51] == [] and all(got[i] == ["email"] for i in range(8))
+
+
+def plain_kd(rows, n):
+    """The leaf of every row by splitting lists: widest dimension, byte median, (key, text, id) order."""
+    spans = [max(1, max(r["dims"][d] for r in rows) - min(r["dims"][d] for r in rows)) for d in range(3)]
+    out = {}
+
+    def split(some, first, leaves):
+        if leaves == 1 or not some:
+            out.update({r["id"]: first for r in some})
+            return
+        wide = [max(r["dims"][d] for r in some) - min(r["dims"][d] for r in some) for d in range(3)]
+        d = max(range(3), key=lambda i: wide[i] / spans[i])
+        order = sorted(some, key=lambda r: (r["dims"][d], r["crc"], r["second"]))
+        left = leaves // 2
+        target, total, at = sum(r["bytes"] for r in some) * left / leaves, 0, 0
+        while total + order[at]["bytes"] < target:
+            total += order[at]["bytes"]
+            at += 1
+        over = total + order[at]["bytes"] - target
+        at += over <= order[at]["bytes"] - over
+        split(order[:at], first, left)
+        split(order[at:], first + left, leaves - left)
+
+    split(rows, 0, n)
+    return out
+
+
+def test_planted_identifiers_are_found(spark):
+    """Beside seeds, next to other tokens with digits, and in contexts that only found identifiers vouch for."""
+    rng = random.Random(8)
+    ids = [f"{rng.choice('QXZ')}{rng.randrange(10**6, 10**7)}{rng.choice('abc')}" for _ in range(30)]
+    rows = [f"some text. Write to reference person: user{i}@mail.example.org, thanks" for i in range(40)]
+    rows += [f"on 12march24 see page77 Write to reference person: {x} today" for x in ids[:12]]
+    rows += [f"the customs badge holder {x} was there" for x in ids[:12]]  # known by now, and so is the context
+    rows += [f"then the customs badge holder {x} left" for x in ids[12:]]
+    rows += [f"room{i}b is on floor{i}c" for i in range(20)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {(r.doc_id, rows[r.doc_id][s.start : s.end]) for r in pii.find(docs).collect() for s in r.spans if s.kind == "found"}
+    planted = {(i, x) for i, t in enumerate(rows) for x in ids if x in t.split()}
+    assert len(got & planted) >= 0.9 * len(planted) and len(planted) == 42
+    assert not got - planted
+
+
+@pytest.mark.parametrize("n", [5, 64])
+def test_shards_equal_a_plain_tree(spark, sf, n):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    tagged = sharding._dimensions(docs, "doc_id", "text", ()).collect()
+    rows = [
+        {"id": r.doc_id, "dims": [r._kd_dim0, r._kd_dim1, r._kd_dim2], "crc": r._kd_crc, "second": r._kd_second, "bytes": r._kd_bytes}
+        for r in tagged]
+    assert {r.doc_id: r.shard for r in sharding.shard(docs, n_shards=n).collect()} == plain_kd(rows, n)
