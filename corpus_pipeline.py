@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetair.llm import decontaminate, language, mixing, sharding, simhash
-from fleetair.llm.common import table, written
+from fleetair.llm.common import free_name, sent, table, text_bytes, written
 from fleetair.llm.queries import DOMAIN_WEIGHTS, domain_labels
 
 #: A document in which no language is this likely is rejected.
@@ -28,9 +28,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.fit(docs)
     if not model.languages:  # nothing to learn from: only letters can be asked for
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    found = docs.withColumn("_language", language.predict(F.col("text"), model))
-    sure = (F.col("_language.lang_pred") != language.UNKNOWN) & (F.col("_language.score") >= MIN_CONFIDENCE)
-    return found.where(sure).drop("_language")
+    name = free_name(docs, "_language")
+    found = docs.withColumn(name, language.predict(F.col("text"), model))
+    sure = (F.col(name)["lang_pred"] != language.UNKNOWN) & (F.col(name)["score"] >= MIN_CONFIDENCE)
+    return found.where(sure).drop(name)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +47,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents stay by their fitted rates, at most once each."""
     mixed = mixing.mix(docs, domain_labels(table(spark, sf_dir, "labels")), DOMAIN_WEIGHTS)
-    gone = mixed.groupBy(F.col("doc_id").alias("_gone")).agg(F.max("copies").alias("_copies")).where("_copies = 0")
+    copies = mixed.groupBy(F.col("doc_id").alias("_gone")).agg(F.max("copies").alias("_copies"))
+    gone = written(copies.where("_copies = 0").select("_gone"), "gone")
+    gone = sent(gone, 16 + text_bytes(F.col("_gone")))
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
 
 
