@@ -10,6 +10,8 @@ as arrays of small numbers.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import sys
 from collections import defaultdict
 from collections.abc import Callable, Iterator
@@ -51,6 +53,13 @@ def numbering() -> defaultdict:
     return numbers
 
 
+def give_back() -> None:
+    """Return what a worker has freed to the system: it lives on after a task, and keeps it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def block_ids() -> Iterator[int]:
     """Numbers that no other task of the job gives."""
     first = TaskContext.get().partitionId() << 32
@@ -59,11 +68,25 @@ def block_ids() -> Iterator[int]:
         first += 1
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table of large arrays to the shared scratch folder and read it again."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Rows that Python gets at a time: texts, and rows of blocks.
+TEXTS_AT_ONCE, BLOCKS_AT_ONCE = 512, 4
+_AT_ONCE = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def stored(df: DataFrame, name: str, at_once: int = BLOCKS_AT_ONCE, rows_per_file: int = 0) -> DataFrame:
+    """Write a table of large arrays to the shared scratch folder and read it again.
+
+    While it is made Python gets ``at_once`` rows at a time. Files have few rows, since a reader
+    takes a file's rows together.
+    """
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    before = spark.conf.get(_AT_ONCE)
+    spark.conf.set(_AT_ONCE, at_once)
+    try:
+        df.write.option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(path)
+    finally:
+        spark.conf.set(_AT_ONCE, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def totals(
@@ -92,6 +115,7 @@ def totals(
                     pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64))),
                     pa.ListArray.from_arrays(offsets, pa.array(n.astype(np.int64))),
                 ], ["bucket", "block", "deleted", "keys", "n"])
+        give_back()
 
     def add(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetair.llm import blocks as bl
-from fleetair.llm.blocks import block_ids, in_order, numbering, word_lists
+from fleetair.llm.blocks import block_ids, give_back, in_order, numbering, word_lists
 from fleetair.llm.common import written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -108,11 +108,15 @@ def _packed(docs: DataFrame, training: Column, key: str, text: str) -> DataFrame
                 if open_[deleted].size >= BLOCK_TOKENS:
                     yield open_[deleted].row(next(ids), deleted, arrow)
                     open_[deleted] = _Block()
+                    give_back()
         for deleted, block in open_.items():
             if block.size:
                 yield block.row(next(ids), deleted, arrow)
+        block = None
+        open_.clear()
+        give_back()
 
-    return bl.stored(rows.mapInArrow(pack, ", ".join(map(" ".join, zip(names, kinds, strict=True)))), "blocks")
+    return bl.stored(rows.mapInArrow(pack, ", ".join(map(" ".join, zip(names, kinds, strict=True)))), "blocks", bl.TEXTS_AT_ONCE, bl.BLOCKS_AT_ONCE)
 
 
 @dataclass(frozen=True)

@@ -134,10 +134,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = token_align.align(table(spark, sf_dir, "documents"))
+    found = token_align.align(table(spark, sf_dir, "documents"), digest=True)
     return found.select(
         "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
-        F.when(F.col("n_a") > 0, _digest(F.col("groups"))).otherwise("").alias("groups_sha256"), "n_shared")
+        F.col("groups").alias("groups_sha256"), "n_shared")
 
 
 QUERIES = {f.__name__: f for f in (

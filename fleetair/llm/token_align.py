@@ -13,11 +13,12 @@ distinct unit of a block of documents once.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
 import sys
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from fleetair.llm import blocks as bl
+from fleetair.llm.blocks import block_ids, give_back, in_order, numbering
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -35,9 +37,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 TOKENIZERS = "/opt/tokenizers"
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Units after which a block is full; a longer text is a block of its own.
-BLOCK_UNITS = 1 << 20
-#: Units encoded at a time, and products of matrix entries made at a time.
-ENCODED, PRODUCTS = 1 << 13, 1 << 21
+BLOCK_UNITS = 3 << 17
+#: Units aligned at a time, units encoded as one text, and products of matrix entries made at a time.
+ALIGNED, TOGETHER, PRODUCTS = 1 << 13, 1 << 10, 1 << 20
 
 _UNIT = re.compile(r"(?<=\S) (?=\S)")
 _BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
@@ -138,17 +140,55 @@ class Coders:
         self.bytes_b = [
             bytes([int(m[1], 16)]) if m else p.replace("▁", " ").encode() for m, p in zip(single, pieces, strict=True)]
         self.size_a, self.size_b = (np.array([len(x) for x in t]) for t in (self.bytes_a, self.bytes_b))
-
-    def encode(self, units: list[str]):
-        """The ids of each unit by A, after a space, and by B; both empty where the bytes differ."""
-        for k in range(0, len(units), ENCODED):
-            some = units[k : k + ENCODED]
-            by_a = self.a.encode_batch([" " + u for u in some], add_special_tokens=False)
-            by_b = self.b.encode(some, num_threads=1)
-            for unit, a, b in zip(some, by_a, by_b, strict=True):
-                raw, ids = (" " + unit).encode(), a.ids
-                same = b"".join(map(self.bytes_a.__getitem__, ids)) == raw == b"".join(map(self.bytes_b.__getitem__, b))
-                yield (ids, b) if same else ([], [])
+        self.names = [str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
+
+    def _ids(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """The ids of a text by A, after a space, and by B; None where the bytes differ."""
+        a = self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids
+        b = self.b.encode(text)
+        raw = (" " + text).encode()
+        # A has a token for every byte and gives any text back; its tokens' sizes tell if it ever does not.
+        if b"".join(map(self.bytes_b.__getitem__, b)) != raw:
+            return None
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        if self.size_a[a].sum() != len(raw):
+            return None
+        return a, b
+
+    def encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all units by A and by B, and how many of each a unit has; none where
+        the bytes differ.
+
+        Units that begin and end with other characters than spaces are encoded as one
+        text, in which spaces stand between them.
+        """
+        out: list[list[np.ndarray]] = [[], []]
+        n = np.zeros((2, len(units)), np.int64)
+
+        def put(first: int, some: list[str], found) -> None:
+            ends = np.cumsum([1 + len(u.encode()) for u in some])
+            for side, (ids, size) in enumerate(zip(found, (self.size_a, self.size_b), strict=True)):
+                upto = np.searchsorted(np.cumsum(size[ids]), ends, "right")
+                n[side, first : first + len(some)] = np.diff(upto, prepend=0)
+                out[side].append(ids)
+
+        at = 0
+        while at < len(units):
+            end = at
+            while end < len(units) and end - at < TOGETHER and units[end] and not (units[end][0].isspace() or units[end][-1].isspace()):
+                end += 1
+            some = units[at : max(end, at + 1)]
+            found = self._ids(" ".join(some))
+            if found is not None:
+                put(at, some, found)
+            elif len(some) > 1:
+                for i, unit in enumerate(some):
+                    one = self._ids(unit)
+                    if one is not None:
+                        put(at + i, [unit], one)
+            at += len(some)
+        empty = np.empty(0, np.int64)
+        return *(np.concatenate([empty, *o]) for o in out), n[0], n[1]
 
 
 @dataclass
@@ -174,9 +214,13 @@ def _within(per_item: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def align_units(coders: Coders, units: list[str]) -> Aligned:
     """Aligns every unit; they are laid one after the other and no token leaves its unit."""
-    found = list(coders.encode(units))
-    n_a, n_b = (np.array([len(f[k]) for f in found], np.int64) for k in (0, 1))
-    ids_a, ids_b = (np.array([i for f in found for i in f[k]], np.int64) for k in (0, 1))
+    parts = [_aligned(coders, units[k : k + ALIGNED]) for k in range(0, max(1, len(units)), ALIGNED)]
+    arrays = [np.concatenate([getattr(p, f.name) for p in parts]) for f in fields(Aligned)[:-1]]
+    return Aligned(*arrays, [g for p in parts for g in p.groups])
+
+
+def _aligned(coders: Coders, units: list[str]) -> Aligned:
+    ids_a, ids_b, n_a, n_b = coders.encode(units)
     size_a, size_b = coders.size_a[ids_a], coders.size_b[ids_b]
     a, b = byte_incidence(size_a), byte_incidence(size_b)
     overlaps = product(a, b.transposed())
@@ -187,11 +231,14 @@ def align_units(coders: Coders, units: list[str]) -> Aligned:
     # The groups of each unit, and the tokens of each group.
     ends = np.append(0, np.cumsum(_within(size_a, n_a)))
     n_groups = np.diff(np.searchsorted(cuts, ends, "right"))
-    in_group = [np.append(0, np.cumsum(np.bincount(m.column, minlength=len(cuts)))).tolist() for m in (in_a, in_b)]
-    names = [list(map(str, ids.tolist())) for ids in (ids_a, ids_b)]
-    spelled = [
-        f"{','.join(names[0][a0:a1])}|{','.join(names[1][b0:b1])}"
-        for a0, a1, b0, b1 in zip(in_group[0], in_group[0][1:], in_group[1], in_group[1][1:])]
+    in_group = [np.bincount(m.column, minlength=len(cuts)) for m in (in_a, in_b)]
+    names = [[coders.names[i] for i in ids.tolist()] for ids in (ids_a, ids_b)]
+    ends_a, ends_b = (np.cumsum(n).tolist() for n in in_group)
+    spelled, a0, b0 = [], 0, 0
+    for a1, b1 in zip(ends_a, ends_b):
+        # Most groups have one token of each.
+        spelled.append((names[0][a0] if a1 == a0 + 1 else ",".join(names[0][a0:a1])) + "|" + (names[1][b0] if b1 == b0 + 1 else ",".join(names[1][b0:b1])))
+        a0, b0 = a1, b1
     upto = np.append(0, np.cumsum(n_groups)).tolist()
     return Aligned(
         n_a, n_b, n_groups, _within(shared, n_a), _within(per_token, n_a),
@@ -202,7 +249,7 @@ def align_units(coders: Coders, units: list[str]) -> Aligned:
 class _Block:
     """Documents on their way into a row of the table of blocks."""
 
-    numbers: dict = field(default_factory=bl.numbering)
+    numbers: dict = field(default_factory=numbering)
     units: list = field(default_factory=list)
     keys: list = field(default_factory=list)
     size: int = 0
@@ -213,11 +260,16 @@ class _Block:
         self.keys.append(key)
         self.size += len(units) + 1
 
-    def row(self, block: int, coders: Coders, schema: pa.Schema) -> pa.RecordBatch:
+    def row(self, block: int, coders: Coders, schema: pa.Schema, digest: bool) -> pa.RecordBatch:
         found = align_units(coders, list(self.numbers))
         # A text with a unit that the tokenizers do not give back has no tokens.
         units = [u if (found.n_a[u] > 0).all() else u[:0] for u in self.units]
+        lengths = np.array([len(u) for u in units], np.int64)
         used = np.concatenate(units)
+        sums = [_within(x[used], lengths) for x in (found.n_a, found.n_b, found.n_groups, found.n_shared, found.n_links)]
+        texts = (";".join([found.groups[i] for i in u.tolist()]) for u in units)
+        groups = [hashlib.sha256(t.encode()).hexdigest() if digest and t else t for t in texts]
+        # The commonest units get the smallest numbers, which pack well.
         order = np.argsort(-np.bincount(used, minlength=len(found.n_a)), kind="stable")
         rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order), dtype=np.int32)
@@ -225,10 +277,7 @@ class _Block:
         starts = np.cumsum(found.n_links) - found.n_links
         n = found.n_links[order]
         moved = np.repeat(starts[order] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        values = [
-            block, False, self.keys, [len(u) for u in units], rank[used],
-            *(x[order] for x in (found.n_a, found.n_b, found.n_groups, found.n_shared, found.n_links)),
-            [found.groups[i] for i in order.tolist()], link[moved], pairs.view(np.int64)]
+        values = [block, False, self.keys, *sums, groups, lengths, rank[used], n, link[moved], _b_ids(pairs), pairs.view(np.int64)]
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, schema.types, strict=True)], schema=schema)
 
 
@@ -242,9 +291,9 @@ def _b_ids(keys: np.ndarray) -> np.ndarray:
 
 def _linked(row: dict) -> tuple[np.ndarray, np.ndarray]:
     """A block's distinct id pairs and how many links hold each."""
-    units, n_links, links, pairs = (row[c].values.to_numpy() for c in ("units", "n_links", "links", "pairs"))
-    n = np.bincount(units, minlength=len(n_links))
-    return pairs.view(np.uint64), np.bincount(links, weights=np.repeat(n, n_links), minlength=len(pairs))
+    units, per_unit, links, pairs = (row[c].values.to_numpy() for c in ("units", "per_unit", "links", "pairs"))
+    n = np.bincount(units, minlength=len(per_unit))
+    return pairs.view(np.uint64), np.bincount(links, weights=np.repeat(n, per_unit), minlength=len(pairs))
 
 
 def _highest(keys: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -255,13 +304,16 @@ def _highest(keys: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return ids, most
 
 
-def align(docs: DataFrame, key: str = "doc_id", text: str = "text", folder: str = TOKENIZERS) -> DataFrame:
+def align(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", folder: str = TOKENIZERS, digest: bool = False
+) -> DataFrame:
     """``key, n_a, n_b, n_groups, n_links, n_shared, n_best, count_sum, groups`` of every row.
 
     ``n_links`` is the number of overlap links, ``n_shared`` of links within groups.
     ``count_sum`` adds up, over the overlap links, how many links of the corpus have the same ids, and
     ``n_best`` tells how many links have the pair that their B id has most often.
-    ``groups`` spells the groups, A ids before B ids. A NULL or empty text, and one whose
+    ``groups`` spells the groups, A ids before B ids; with ``digest`` it is the SHA-256 of that in
+    hexadecimal, which spares moving several bytes for each byte of text. A NULL or empty text, and one whose
     bytes a tokenizer does not give back, has zeros and an empty string. Repeated rows count as
     often as they stand there. ``folder`` holds the vocabulary files, which the driver
     reads. What grows with a text is a number for each unit; a text without spaces is one unit.
@@ -269,30 +321,33 @@ def align(docs: DataFrame, key: str = "doc_id", text: str = "text", folder: str
     with open(os.path.join(folder, BYTE_BPE), encoding="utf-8") as a, open(os.path.join(folder, PIECE_BPE), "rb") as b:
         byte_bpe, piece_bpe = json.dumps(json.load(a)), b.read()
     key_type = docs.schema[key].dataType.simpleString()
-    numbers = ("n_a", "n_b", "n_groups", "n_shared", "n_links")
+    numbers = ["n_a", "n_b", "n_groups", "n_shared", "n_links"]
     columns = {
-        "block": "long", "deleted": "boolean", "keys": f"array<{key_type}>", "lengths": "array<int>", "units": "array<int>",
-        **dict.fromkeys(numbers, "array<int>"), "groups": "array<string>", "links": "array<int>", "pairs": "array<long>"}
+        "block": "long", "deleted": "boolean", "keys": f"array<{key_type}>", **dict.fromkeys(numbers, "array<long>"),
+        "groups": "array<string>", **dict.fromkeys(("lengths", "units", "per_unit", "links", "b_ids"), "array<int>"), "pairs": "array<long>"}
 
     def pack(batches):
-        coders, ids, block, arrow = Coders(byte_bpe, piece_bpe), bl.block_ids(), _Block(), None
+        coders, ids, block, arrow = Coders(byte_bpe, piece_bpe), block_ids(), _Block(), None
         for batch in batches:
             if arrow is None:
-                lists = [pa.list_(batch.schema.field("key").type), *[pa.list_(pa.int32())] * 7, pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64())]
-                arrow = pa.schema(zip(columns, [pa.int64(), pa.bool_(), *lists], strict=True))
+                kinds = [batch.schema.field("key").type, *[pa.int64()] * 5, pa.string(), *[pa.int32()] * 5, pa.int64()]
+                arrow = pa.schema(zip(columns, [pa.int64(), pa.bool_(), *map(pa.list_, kinds)], strict=True))
             for key_, text_ in zip(batch.column("key"), batch.column("text"), strict=True):
                 block.add(key_.as_py(), text_.as_py())
                 if block.size >= BLOCK_UNITS:
-                    yield block.row(next(ids), coders, arrow)
+                    yield block.row(next(ids), coders, arrow, digest)
                     block = _Block()
+                    give_back()
         if block.size:
-            yield block.row(next(ids), coders, arrow)
+            yield block.row(next(ids), coders, arrow, digest)
+        block = coders = None
+        give_back()
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    blocks = bl.stored(rows.mapInArrow(pack, ", ".join(map(" ".join, columns.items()))), "blocks")
+    blocks = bl.stored(rows.mapInArrow(pack, ", ".join(map(" ".join, columns.items()))), "blocks", bl.TEXTS_AT_ONCE, bl.BLOCKS_AT_ONCE)
     entries = blocks.agg(F.sum(F.size("pairs"))).first()[0] or 0
     buckets = max(1, -(-entries // bl.BUCKET_ENTRIES))
-    sent = blocks.select("block", "deleted", "units", "n_links", "links", "pairs")
+    sent = blocks.select("block", "deleted", "units", "per_unit", "links", "pairs")
     counts = bl.stored(bl.totals(sent, _linked, buckets, _highest), "counts")
     # One row per B id, as many as the vocabulary has.
     highest = counts.select(F.inline(F.arrays_zip("ids", "vals"))).groupBy("ids").agg(F.max("vals").alias("most")).toArrow()
@@ -300,20 +355,17 @@ def align(docs: DataFrame, key: str = "doc_id", text: str = "text", folder: str
     most[highest["ids"].to_numpy()] = highest["most"].to_numpy()
 
     def counted(block: pa.Table, count: pa.Table) -> pa.Table:
-        row = {c: block[c][0].values for c in block.schema.names if c not in ("block", "deleted")}
-        lengths, units, links, n_links = (row[c].to_numpy() for c in ("lengths", "units", "links", "n_links"))
-        total = bl.in_order(count, "total") if count.num_rows else np.empty(0, np.int64)
-        best = total == most[_b_ids(row["pairs"].to_numpy().view(np.uint64))]
-        of_unit = {c: row[c].to_numpy() for c in numbers}
-        of_unit |= {"n_best": _within(best[links].astype(np.int64), n_links), "count_sum": _within(total[links], n_links)}
-        spelled, ends = row["groups"].to_pylist(), np.cumsum(lengths)
-        found = {c: _within(of_unit[c][units].astype(np.int64), lengths) for c in names[1:-1]}
-        words = [";".join([spelled[u] for u in units[e - n : e].tolist()]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
-        return pa.table([row["keys"], *(pa.array(x, pa.int64()) for x in found.values()), pa.array(words, pa.string())], names=names)
+        row = {c: block[c][0].values for c in block.schema.names if c != "block"}
+        lengths, units, per_unit, links, b_ids = (row[c].to_numpy() for c in ("lengths", "units", "per_unit", "links", "b_ids"))
+        total = in_order(count, "total") if count.num_rows else np.empty(0, np.int64)
+        best = (total == most[b_ids]).astype(np.int64)
+        sums = [_within(_within(x[links], per_unit)[units], lengths) for x in (best, total)]
+        found = {**{c: row[c] for c in numbers}, "n_best": pa.array(sums[0]), "count_sum": pa.array(sums[1])}
+        return pa.table([row["keys"], *(found[c] for c in names[1:-1]), row["groups"]], names=names)
 
     names = ["key", "n_a", "n_b", "n_groups", "n_links", "n_shared", "n_best", "count_sum", "groups"]
     out = f"key {key_type}, {', '.join(f'{c} long' for c in names[1:-1])}, groups string"
     return (
-        blocks.groupBy("block").cogroup(counts.select("block", "bucket", "total").groupBy("block"))
+        blocks.drop("deleted", "pairs").groupBy("block").cogroup(counts.select("block", "bucket", "total").groupBy("block"))
         .applyInArrow(counted, out).withColumnRenamed("key", key)
     )

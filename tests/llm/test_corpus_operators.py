@@ -263,6 +263,8 @@ def test_alignment_of_given_documents(spark, sf, coders):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: tuple(r)[1:] for r in token_align.align(df).collect()}
     assert got == {r.doc_id: w for r, w in zip(rows, want)}
+    digests = {r.doc_id: r.groups for r in token_align.align(df, digest=True).collect()}
+    assert digests == {k: sha(v[-1]) if v[-1] else "" for k, v in got.items()}
     assert token_align.align(df.where("false")).collect() == []
 
 
