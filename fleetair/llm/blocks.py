@@ -53,6 +53,15 @@ def numbering() -> defaultdict:
     return numbers
 
 
+def halves(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers as their low and high 16 bits. The high ones are mostly 0 and pack to nothing."""
+    return (numbers & 0xFFFF).astype(np.uint16).view(np.int16), (numbers >> 16).astype(np.int16)
+
+
+def joined(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return high.astype(np.int32) << 16 | low.view(np.uint16)
+
+
 def give_back() -> None:
     """Return what a worker has freed to the system: it lives on after a task, and keeps it."""
     pa.default_memory_pool().release_unused()

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetair.llm import blocks as bl
-from fleetair.llm.blocks import block_ids, give_back, in_order, numbering, word_lists
+from fleetair.llm.blocks import block_ids, give_back, halves, in_order, joined, numbering, word_lists
 from fleetair.llm.common import written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -84,7 +84,7 @@ class _Block:
         rank[order] = np.arange(len(order), dtype=np.int32)
         names = np.array([xxhash.xxh64_intdigest(w) for w in self.numbers], np.uint64)[order]
         learned = int(np.array(self.lengths)[np.array(self.training, bool)].sum())
-        values = [block, deleted, learned, self.keys, self.training, self.lengths, rank[tokens], names.view(np.int64)]
+        values = [block, deleted, learned, self.keys, self.training, self.lengths, *halves(rank[tokens]), names.view(np.int64)]
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, schema.types, strict=True)], schema=schema)
 
 
@@ -93,14 +93,14 @@ def _packed(docs: DataFrame, training: Column, key: str, text: str) -> DataFrame
     key_type = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
     rows = rows.withColumn("deleted", F.col("training") & (F.pmod(F.xxhash64(F.lit("deleted"), "key"), F.lit(DELETED)) == 0))
-    names = ("block", "deleted", "learned", "keys", "training", "lengths", "tokens", "names")
-    kinds = ("long", "boolean", "long", f"array<{key_type}>", "array<boolean>", "array<int>", "array<int>", "array<long>")
+    names = ("block", "deleted", "learned", "keys", "training", "lengths", "low", "high", "names")
+    kinds = ("long", "boolean", "long", f"array<{key_type}>", "array<boolean>", "array<int>", "array<short>", "array<short>", "array<long>")
 
     def pack(batches):
         arrow, ids, open_ = None, block_ids(), {False: _Block(), True: _Block()}
         for batch in batches:
             if arrow is None:
-                lists = (pa.list_(t) for t in (batch.schema.field("key").type, pa.bool_(), pa.int32(), pa.int32(), pa.int64()))
+                lists = (pa.list_(t) for t in (batch.schema.field("key").type, pa.bool_(), pa.int32(), pa.int16(), pa.int16(), pa.int64()))
                 arrow = pa.schema(zip(names, (pa.int64(), pa.bool_(), pa.int64(), *lists), strict=True))
             for key_, text_, training_, deleted in zip(*(batch.column(c) for c in ("key", "text", "training", "deleted")), strict=True):
                 deleted = deleted.as_py()
@@ -134,7 +134,8 @@ class _Grams:
 
 
 def _grams(row: dict) -> _Grams:
-    tokens, lengths, names = (row[c].values.to_numpy() for c in ("tokens", "lengths", "names"))
+    low, high, lengths, names = (row[c].values.to_numpy() for c in ("low", "high", "lengths", "names"))
+    tokens = joined(low, high)
     training = row["training"].values.to_numpy(zero_copy_only=False)
     names = names.view(np.uint64)
     starts = np.append(0, np.cumsum(lengths[:-1], dtype=np.int64))
@@ -233,7 +234,7 @@ def score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "t
     blocks = _packed(docs, training, key, text)
     size = blocks.agg(
         F.sum("learned").alias("learned"), F.sum(F.when(F.col("deleted"), F.col("learned"))).alias("deleted"),
-        F.sum(F.size("tokens")).alias("tokens")).first()
+        F.sum(F.size("low")).alias("tokens")).first()
     n_tokens, n_deleted = size["learned"] or 0, size["deleted"] or 0
     buckets = max(1, -(-(size["tokens"] or 0) // bl.BUCKET_ENTRIES))
     counts = bl.stored(bl.totals(blocks, _counted, buckets, _vocabulary), "counts")
