@@ -6,7 +6,8 @@ that both sides share hold such a run, whose smallest hash is chosen on both sid
 so no shared span of 13 words is missed. Items of fewer words are winnowed in classes of their
 lengths, with smaller grams and runs that fit the shortest of the class. Where fingerprints
 meet, the hit is extended: every window around it is compared with the benchmark's
-windows as text. Everything is DataFrame functions.
+windows as text. Every text is cut into words once, for its fingerprints and for the
+number of its words; only texts with hits are read again. Everything is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -25,9 +26,10 @@ SPAN_WORDS = 13
 CLASSES = ((13, 13), (7, 12), (4, 6), (2, 3), (1, 1))
 #: A fingerprint is a hash of 33 bits with its position in 30 bits below it.
 POSITION_BITS = 30
+#: The class of rows that hold a text's number of words in place of a position.
+COUNT = -1
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER_BEYOND_ASCII = r"[\p{Lu}\p{Lt}\p{IsUppercase}&&[^\x00-\x7F]]"
 
 
@@ -42,10 +44,6 @@ def text_hash(text: Column) -> Column:
     return F.when(text.isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(text))
 
 
-def word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(_WORD_ANY_CASE)), F.lit(0)).cast("long")
-
-
 def _gram_hash(hashes: Column, at: Column, size: int) -> Column:
     return F.xxhash64(*[F.get(hashes, at + j) for j in range(size)])
 
@@ -77,9 +75,11 @@ def with_word_hashes(df: DataFrame, text: str, *keep: str) -> DataFrame:
     return cut.select(*keep, F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
 
 
-def winnowed(hashed: DataFrame, classes: Sequence[Class], *keep: str) -> DataFrame:
+def winnowed(hashed: DataFrame, classes: Sequence[Class], *keep: str, count: Column | None = None) -> DataFrame:
     """A row per fingerprint: the distinct minima, ``cls``, ``hash`` and ``pos``, over runs of
-    the grams of each class. Fewer words than the shortest window give none.
+    the grams of each class. Fewer words than the shortest window give none. With ``count``, a
+    hash of the row's key, each row gives one of the class ``COUNT`` besides: ``pos`` is its
+    number of words and ``hash`` a part of ``count``, which spreads these rows in a join.
 
     Every step is a column of its own: an array that a lambda looks into must be
     there already, or it would be computed again for each element.
@@ -108,13 +108,16 @@ def winnowed(hashed: DataFrame, classes: Sequence[Class], *keep: str) -> DataFra
         whole = F.transform(v, lambda x, i: F.least(x, F.get(v, i + rest))) if rest else v
         return F.array_distinct(F.slice(whole, F.lit(1), F.greatest(F.lit(0), F.col("n") - (c.span - 1))))
 
-    rows = rows.select(*keep, *[minima(k).alias(f"v{k}") for k in numbers])
+    rows = rows.select(*keep, "n", *[minima(k).alias(f"v{k}") for k in numbers])
     # (A parameter more would make Spark pass the index to it.)
     def named(k: int) -> Column:
         return F.transform(f"v{k}", lambda f: F.struct(F.lit(k).alias("cls"), f.alias("f")))
 
-    every = F.concat(*[named(k) for k in numbers])
-    return rows.select(*keep, F.inline(every)).select(*keep, "cls", _hash_part(F.col("f")).alias("hash"), _position_part(F.col("f")).alias("pos"))
+    every = [named(k) for k in numbers]
+    if count is not None:
+        counted = F.shiftleft(count.bitwiseAND(low), POSITION_BITS).bitwiseOR(F.col("n").cast("long"))
+        every.append(F.array(F.struct(F.lit(COUNT).alias("cls"), counted.alias("f"))))
+    return rows.select(*keep, F.inline(F.concat(*every))).select(*keep, "cls", _hash_part(F.col("f")).alias("hash"), _position_part(F.col("f")).alias("pos"))
 
 
 def _hash_part(fingerprint: Column) -> Column:
@@ -168,10 +171,11 @@ def contamination(
     of_len = reduce(lambda c, k: F.when(F.col("len").isin(*classes[k].lens), k).otherwise(c), range(len(classes)), F.lit(-1))
     item_prints = sent(written(
         winnowed(windows.select(of_len.alias("own"), F.col("hashes").alias("h")), classes, "own")
-        .where("own = cls").select("cls", "hash").distinct(), "prints"), F.lit(24))
-    hashed = with_word_hashes(base, "_text", *same)
-    hits = winnowed(hashed, classes, *same).join(item_prints, ["cls", "hash"], "left_semi").select(*same, "pos", "cls")
-    touched = _touched(base, hits, same)
+        .where("own = cls").select("cls", "hash").distinct().withColumn("shared", F.lit(True)), "prints"), F.lit(24))
+    prints = winnowed(with_word_hashes(base, "_text", *same), classes, *same, count=F.xxhash64(*same))
+    met = prints.join(item_prints, ["cls", "hash"], "left").where((F.col("cls") == COUNT) | F.col("shared"))
+    read = written(met.select(*same, "pos", "cls"), "read")
+    touched = _touched(base, read.where(F.col("cls") != COUNT), same)
 
     # Extend: the text of every window around a hit, compared with the items' windows.
     w, n = F.col("w"), F.size("w")
@@ -217,7 +221,7 @@ def contamination(
         .agg(F.sort_array(F.collect_set("item")).alias("item_ids"))
     )
     marks = _same_rows(hit_words, items, same)
-    counted = base.select(*same, word_count(F.col("_text")).alias("n_words"))
+    counted = read.where(F.col("cls") == COUNT).select(*same, F.col("pos").cast("long").alias("n_words"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return (
         _same_rows(counted, marks, same, "left")

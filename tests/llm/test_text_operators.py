@@ -168,6 +168,25 @@ def test_decontamination_of_repeated_rows(spark, monkeypatch):
     assert seen[0] == seen[1] and len(seen[0]) == 2
 
 
+def test_decontamination_cuts_texts_once(spark, tmp_path):
+    """The number of words comes from the pass that makes the fingerprints: the result reads no text."""
+    rng = random.Random(8)
+    passage = sentence(rng, 30)
+    rows = [(1, passage), (1, passage), (2, "a-b C"), (3, None), (None, ""), (None, "ÉCOLE ſ"), (4, "!!")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    bench = spark.createDataFrame([(1, passage), (2, "b c")], "item_id long, text string")
+    # With and without items, and with a table of fingerprints that is shuffled.
+    for items, limit in ((bench, None), (bench.limit(0), None), (bench, -1)):
+        with pytest.MonkeyPatch.context() as patch:
+            if limit is not None:
+                patch.setattr("fleetair.llm.common.MAX_SENT_BYTES", limit)
+            found = decontaminate.contamination(spark.read.parquet(f"{tmp_path}/docs"), items)
+        assert not [f for f in found.inputFiles() if f"{tmp_path.name}/docs" in f]
+        hits = {passage: 30, "a-b C": 2} if items is bench else {}
+        assert sorted(((r.doc_id, r.n_words, r.n_hit) for r in found.collect()), key=repr) == sorted(
+            ((k, len(plain_words(t)), hits.get(t, 0)) for k, t in rows), key=repr)
+
+
 # Sharding
 
 
