@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetair.plans.joins import MAX_BROADCAST_BYTES
 from fleetair.plans.scratch import written
-from fleetair.plans.search import count_at_or_below, search_steps
 from fleetair.plans.timeline import (
     Slices,
     Timeline,
@@ -241,27 +244,54 @@ def boot_segments(
     return line.result("_prev", "_wrap", "_boot", "_boots", "_wraps", "_base")
 
 
+# Bits of the number of bands in a page: a row is compared with the bands of one page.
+PAGE_BITS = 6
+
+
+def _paged(breakpoints: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """The bands in their order with the number of their page, and each page's number and first ``lo``."""
+    names = ["lo", "hi", "index_lo", "index_hi"]
+    bands = breakpoints.select(*[F.col(c).cast("double").alias(c) for c in names]).where("lo < hi").orderBy(*names)
+    # Numbers ascend with the order, and a partition's begin where a page does.
+    bands = written(bands.withColumn("_of", F.shiftright(F.monotonically_increasing_id(), PAGE_BITS)), "bands")
+    pages = bands.groupBy("_of").agg(F.sort_array(F.collect_list(F.struct(*names))).alias("b"))
+    overlap = F.exists(F.sequence(F.lit(0), F.size("b") - 1), lambda i: F.get("b", i)["hi"] > F.get("b", i + 1)["lo"])
+    found = pages.select(
+        "_of", F.get("b", F.lit(0))["lo"].alias("lo"), F.element_at("b", -1)["hi"].alias("hi"),
+        F.coalesce(overlap, F.lit(False)).alias("overlap")).toArrow().sort_by("_of")
+    lo, hi = found["lo"].to_numpy(), found["hi"].to_numpy()
+    # What is not a number is above all numbers.
+    if found["overlap"].to_numpy().any() or not (hi[:-1] <= lo[1:]).all():
+        raise ValueError("bands overlap")
+    return bands, found["_of"].to_numpy(), lo
+
+
 def aqi_band(df: DataFrame, value: str, breakpoints: DataFrame, out: str = "aqi") -> DataFrame:
     """Index of a concentration by a table of bands, linear inside each.
 
     ``breakpoints`` has lo, hi, index_lo, index_hi; a band covers lo <= x < hi. Bands that
-    overlap end the query, those that cover nothing are left out. The bands are read once as
-    a sorted scalar subquery, so rows neither move nor multiply, and a row finds its band by binary
-    search. NULL outside every band.
+    overlap end the query, those that cover nothing are left out. The bands are sorted and cut into pages;
+    the driver has where each page begins, a row finds its page by binary search and is joined
+    with the one band in it that covers it. Rows do not move unless the bands are
+    too many to be sent to every executor. NULL outside every band.
     """
-    band = F.struct(*[F.col(c).cast("double").alias(c) for c in ("lo", "hi", "index_lo", "index_hi")])
-    table = breakpoints.agg(F.sort_array(F.collect_list(F.when(F.col("lo") < F.col("hi"), band))).alias("b"))
-    overlap = F.exists(F.sequence(F.lit(0), F.size("b")), lambda i: F.get("b", i)["hi"] > F.get("b", i + 1)["lo"])
-    bands = table.select(F.struct(
-        F.when(overlap, F.raise_error(F.lit("bands overlap"))).otherwise(F.col("b")).alias("bands"),
-        F.col("b.lo").alias("lo"), search_steps(F.col("b")).alias("steps")).alias("t")).scalar()
-    x = F.col(value).cast("double")
-    at = count_at_or_below(F.col("_table.lo"), x, F.col("_table.steps"))
-    with_band = df.withColumn("_table", bands).withColumn("_band", F.get("_table.bands", at - 1))
-    b = F.col("_band")
-    share = (x - b["lo"]) / (b["hi"] - b["lo"])
-    index = F.when(x < b["hi"], b["index_lo"] + share * (b["index_hi"] - b["index_lo"]))
-    return with_band.withColumn(out, index).drop("_band", "_table")
+    bands, pages, starts = _paged(breakpoints)
+
+    @F.arrow_udf("long")
+    def page(x: pa.Array) -> pa.Array:
+        at = np.searchsorted(starts, x.to_numpy(zero_copy_only=False), "right") - 1
+        return pa.array(pages[at] if len(pages) else at, mask=at < 0)
+
+    bands = bands.select("_of", *[F.col(c).alias(f"_{c}") for c in ("lo", "hi", "index_lo", "index_hi")])
+    # The rows of a broadcast table have eight bytes for each column and as many for themselves and their place.
+    if (len(pages) << PAGE_BITS) * 64 <= MAX_BROADCAST_BYTES:
+        bands = F.broadcast(bands)
+    x = F.col("_x")
+    rows = df.withColumn("_x", F.col(value).cast("double")).withColumn("_page", F.when(x.isNotNull(), page(x)))
+    joined = rows.join(bands, (F.col("_page") == F.col("_of")) & (x >= F.col("_lo")) & (x < F.col("_hi")), "left")
+    share = (x - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+    index = F.col("_index_lo") + share * (F.col("_index_hi") - F.col("_index_lo"))
+    return joined.withColumn(out, index).drop("_x", "_page", *bands.columns)
 
 
 def label_intervals(

@@ -8,18 +8,12 @@ from pyspark.sql import functions as F
 _POWERS = [1 << k for k in range(30, -1, -1)]
 
 
-def search_steps(values: Column) -> Column:
-    """The powers of two that a search in ``values`` goes by, greatest first."""
-    return F.filter(F.lit(_POWERS), lambda p: p <= F.size(values))
-
-
-def count_at_or_below(values: Column, x: Column, steps: Column | None = None) -> Column:
+def count_at_or_below(values: Column, x: Column) -> Column:
     """How many of the ascending ``values`` are at or below ``x``.
 
     The answer is put together bit by bit, so the cost is the logarithm of the size.
-    ``steps`` are ``search_steps(values)`` where they are the same for many rows.
     """
     def step(at: Column, p: Column) -> Column:
         return F.when(F.get(values, at + p - 1) <= x, at + p).otherwise(at)
 
-    return F.aggregate(search_steps(values) if steps is None else steps, F.lit(0), step)
+    return F.aggregate(F.filter(F.lit(_POWERS), lambda p: p <= F.size(values)), F.lit(0), step)

@@ -37,6 +37,28 @@ def test_many_bands(spark):
         ts_ops.aqi_band(df, "x", bands.union(bands.where("lo = 7"))).collect()
 
 
+@pytest.mark.parametrize("limit", [1 << 27, 0])
+def test_bands_are_not_copied_for_each_row(spark, monkeypatch, limit):
+    """Rows times bands would be terabytes; sent to the executors or shuffled, bands give the same."""
+    monkeypatch.setattr(ts_ops, "MAX_BROADCAST_BYTES", limit)
+    bands = spark.range(200_000).select(
+        "id", F.col("id").alias("lo"), F.when(F.col("id") == 199_999, float("inf")).otherwise(F.col("id") + 0.5).alias("hi"),
+        F.col("id").alias("index_lo"), (F.col("id") + 1).alias("index_hi"))
+    df = spark.range(400_000).select("id", (F.col("id") / 2.0 + 0.25).alias("x")).repartition(4)
+    found = ts_ops.aqi_band(df, "x", bands)
+    assert found.columns == ["id", "x", "aqi"]
+    in_band, wrong = found.agg(
+        F.count("aqi"), F.count(F.when(~F.col("aqi").eqNullSafe(F.when(F.col("id") % 2 == 0, F.col("id") / 2 + 0.5)), 1))).first()
+    # The last band has no end, and its share of it is none.
+    assert (in_band, wrong) == (200_001, 2)
+    odd = spark.createDataFrame([(float("nan"),), (float("-inf"),), (None,), (0.0,), (-0.0,), (1e300,), (64.0,)], "x double").coalesce(1)
+    got = {str(r.x): r.aqi for r in ts_ops.aqi_band(odd, "x", bands).collect()}
+    assert got == {"nan": None, "-inf": None, "None": None, "0.0": 0.0, "-0.0": 0.0, "1e+300": 199_999.0, "64.0": 64.0}
+    pages_apart = bands.withColumn("hi", F.when(F.col("id") == 63, 64.5).otherwise(F.col("hi")))
+    with pytest.raises(Exception, match="bands overlap"):
+        ts_ops.aqi_band(odd, "x", pages_apart).collect()
+
+
 def test_many_labels(spark):
     df = spark.range(36_000).select("id", (F.col("id") % 12_000).alias("label"))
     sizes = ml.assign_split(df, "id", "label").groupBy("label").agg(
