@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -153,10 +154,15 @@ def layers_from_table(weights: DataFrame) -> list[Layer]:
 
 def _vectors(df: DataFrame, features: Sequence[str] | str, label: str) -> DataFrame:
     """``x, y`` of the labelled rows that have every feature."""
-    x = F.col(features).cast("array<double>") if isinstance(features, str) else F.array(
-        *[F.col(c).cast("double") for c in features]
-    )
-    complete = x.isNotNull() & ~F.exists(x, lambda v: v.isNull())
+    if isinstance(features, str):
+        x = F.col(features).cast("array<double>")
+        complete = x.isNotNull() & ~F.exists(x, lambda v: v.isNull())
+    else:
+        each = [F.col(c).cast("double") for c in features]
+        x = F.array(*each)
+        # A condition per feature: of one that names them all, the planner keeps a copy for every
+        # way to write some features as what they are computed from, 65,536 for sixteen.
+        complete = reduce(lambda a, b: a & b, [v.isNotNull() for v in each], F.lit(True))
     return labelled(df, label).where(complete).select(x.alias("x"), F.col(label).cast("int").alias("y"))
 
 

@@ -114,3 +114,24 @@ def test_network_learns_and_is_saved(spark, rows, data, tmp_path, monkeypatch, s
     assert np.mean([int(np.argmax(r.probs)) == r.y for r in hits]) > 0.85
     same, _ = network.train_mlp(rows, (4, 16, 8, 3), epochs=2)
     assert same == network.train_mlp(rows, (4, 16, 8, 3), epochs=2)[0]
+
+
+def test_planning_does_not_double_with_each_feature(spark):
+    """What the planner knows of complete rows grows with the features, not with their subsets."""
+    names = [f"f{i}" for i in range(9)]
+    wide = spark.createDataFrame([(i, i % 3, [float(i)] * 9) for i in range(40)], "id long, label int, e array<double>")
+    df = wide.select("id", "label", *[F.get("e", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    train, _ = ml.stratified_split(df, "id", "label")
+
+    def derived(plan):
+        own = plan.getAllValidConstraints(plan.projectList()).size() if plan.nodeName() == "Project" else 0
+        return max([own, *(derived(plan.children().apply(i)) for i in range(plan.children().size()))])
+
+    assert 9 < derived(ml._vectors(train, names, "label")._jdf.queryExecution().optimizedPlan()) < 50
+
+
+def test_only_complete_rows_are_learned_from(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(1.0, "2", 0), (None, "2", 1), (1.5, None, 1), (nan, "3", 2), (2.0, "4", 3), (3.0, "5", None)], "a double, b string, label int")
+    assert [(str(r.x), r.y) for r in ml._vectors(df, ["a", "b"], "label").collect()] == [("[1.0, 2.0]", 0), ("[nan, 3.0]", 2)]
+    assert ml._vectors(df, [], "label").count() == 4
