@@ -61,10 +61,27 @@ def _route(x: np.ndarray, feature: np.ndarray, threshold: np.ndarray, levels: in
     return at
 
 
+def _closed(feature: np.ndarray, threshold: np.ndarray, value: np.ndarray) -> tuple:
+    """The same trees with every leaf on the last level: what is below a leaf has its value."""
+    feature, threshold, value = feature.copy(), threshold.copy(), value.copy()
+    for node in range(feature.shape[1] // 2):
+        leaf = feature[:, node] < 0
+        for child in (2 * node + 1, 2 * node + 2):
+            feature[leaf, child], value[leaf, child] = -1, value[leaf, node]
+        feature[leaf, node] = 0
+    return feature, threshold, value
+
+
 def _margins(x, feature, threshold, value, classes: int) -> np.ndarray:
     out, levels = np.zeros((len(x), classes)), int(np.log2(feature.shape[1] + 1)) - 1
+    feature, threshold, value = _closed(feature, threshold.astype(x.dtype), value)
+    # One feature's values after another's.
+    columns, rows, start = np.ascontiguousarray(x.T).ravel(), np.arange(len(x)), feature * len(x)
     for t in range(len(feature)):
-        out[:, t % classes] += value[t][_route(x, feature[t], threshold[t], levels)]
+        at = np.zeros(len(x), np.int64)
+        for _ in range(levels):
+            at = 2 * at + 1 + (columns.take(rows + start[t].take(at)) >= threshold[t].take(at))
+        out[:, t % classes] += value[t].take(at)
     return out
 
 
@@ -97,19 +114,23 @@ def _sums(rows: DataFrame, shards: int, width: int, recent: tuple, partial: tupl
     shape = (classes, nodes, width, bins)
 
     def add(batches):
-        total = np.zeros((2, classes, nodes * width * bins))
+        total = np.zeros((2, classes, width, nodes * bins))
         for batch in batches:
-            x, y = _matrix(batch.column("x"), width).astype(np.int64), batch.column("y").to_numpy()
+            x, y = _matrix(batch.column("x"), width), batch.column("y").to_numpy()
             margin = _matrix(batch.column("margin"), classes) + _margins(x, *recent, classes)
             p = np.exp(margin - margin.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
+            columns = np.ascontiguousarray(x.T)
             for c in range(classes):
                 at = _route(x, partial[0][c], partial[1][c], level) - first
-                here = (at >= 0) & (partial[0][c][np.maximum(at, 0) + first] == OPEN)
+                here = np.flatnonzero((at >= 0) & (partial[0][c][np.maximum(at, 0) + first] == OPEN))
                 g, h = p[here, c] - (y[here] == c), np.maximum(2 * p[here, c] * (1 - p[here, c]), 1e-16)
-                key = ((at[here, None] * width + np.arange(width)) * bins + x[here]).ravel()
-                for k, weight in enumerate((g, h)):
-                    total[k, c] += np.bincount(key, np.repeat(weight, width), nodes * width * bins)
+                node = at[here] * bins
+                for f in range(width):
+                    key = node + columns[f].take(here)
+                    for k, weight in enumerate((g, h)):
+                        total[k, c, f] += np.bincount(key, weight, nodes * bins)
+        total = total.reshape(2, classes, width, nodes, bins).swapaxes(2, 3)
         flat = total.reshape(2, -1)
         at = np.flatnonzero(flat[1])
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[0, at]), pa.array(flat[1, at])], ["at", "g", "h"])
@@ -196,7 +217,7 @@ def _moved(rows: DataFrame, trees: tuple, width: int, classes: int) -> DataFrame
     """The margins after some more trees."""
     def move(batches):
         for batch in batches:
-            x = _matrix(batch.column("x"), width).astype(np.int64)
+            x = _matrix(batch.column("x"), width)
             margin = _matrix(batch.column("margin"), classes) + _margins(x, *trees, classes)
             offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * classes)
             yield pa.RecordBatch.from_arrays(

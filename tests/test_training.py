@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fleetair.checks import models
 from fleetair.operators import boosting, ml, network
 
 
@@ -116,17 +117,17 @@ def test_network_learns_and_is_saved(spark, rows, data, tmp_path, monkeypatch, s
     assert same == network.train_mlp(rows, (4, 16, 8, 3), epochs=2)[0]
 
 
+def derived(plan):
+    own = plan.getAllValidConstraints(plan.projectList()).size() if plan.nodeName() == "Project" else 0
+    return max([own, *(derived(plan.children().apply(i)) for i in range(plan.children().size()))])
+
+
 def test_planning_does_not_double_with_each_feature(spark):
     """What the planner knows of complete rows grows with the features, not with their subsets."""
     names = [f"f{i}" for i in range(9)]
     wide = spark.createDataFrame([(i, i % 3, [float(i)] * 9) for i in range(40)], "id long, label int, e array<double>")
     df = wide.select("id", "label", *[F.get("e", F.lit(i)).alias(n) for i, n in enumerate(names)])
     train, _ = ml.stratified_split(df, "id", "label")
-
-    def derived(plan):
-        own = plan.getAllValidConstraints(plan.projectList()).size() if plan.nodeName() == "Project" else 0
-        return max([own, *(derived(plan.children().apply(i)) for i in range(plan.children().size()))])
-
     assert 9 < derived(ml._vectors(train, names, "label")._jdf.queryExecution().optimizedPlan()) < 50
 
 
@@ -135,3 +136,28 @@ def test_only_complete_rows_are_learned_from(spark):
     df = spark.createDataFrame([(1.0, "2", 0), (None, "2", 1), (1.5, None, 1), (nan, "3", 2), (2.0, "4", 3), (3.0, "5", None)], "a double, b string, label int")
     assert [(str(r.x), r.y) for r in ml._vectors(df, ["a", "b"], "label").collect()] == [("[1.0, 2.0]", 0), ("[nan, 3.0]", 2)]
     assert ml._vectors(df, [], "label").count() == 4
+
+
+def test_planning_of_the_queries_features(spark, sf):
+    rows = models.feature_rows(spark, sf).withColumn("iaq", F.col("label") + F.col("iaq") / 4)
+    train, _ = ml.stratified_split(rows, "row_id", "label")
+    assert 16 < derived(ml._vectors(train, models.FEATURES, "label")._jdf.queryExecution().optimizedPlan()) < 300
+
+
+def test_margins_follow_each_row(spark):
+    """Trees with leaves on all levels, over numbers and over bins."""
+    rng = np.random.default_rng(8)
+    feature, threshold, value = rng.integers(0, 4, (6, 15)), np.round(rng.normal(size=(6, 15)), 1), rng.normal(size=(6, 15))
+    feature[rng.random((6, 15)) < 0.3] = feature[:, 7:] = -1
+    feature[0, 0] = -1
+    x = np.round(rng.normal(size=(200, 4)), 1)
+    x[:3] = [[np.nan] * 4, [np.inf] * 4, [-np.inf] * 4]
+    for data, cut in ((x, threshold), (rng.integers(0, 9, (200, 4)).astype(np.int16), rng.integers(1, 9, (6, 15)))):
+        want = np.zeros((200, 3))
+        for r, row in enumerate(data):
+            for t in range(6):
+                at = 0
+                while feature[t, at] >= 0:
+                    at = 2 * at + 1 + bool(row[feature[t, at]] >= cut[t, at])
+                want[r, t % 3] += value[t, at]
+        assert (boosting._margins(data, feature, cut, value, 3) == want).all()
