@@ -59,6 +59,17 @@ def test_bands_are_not_copied_for_each_row(spark, monkeypatch, limit):
         ts_ops.aqi_band(odd, "x", pages_apart).collect()
 
 
+def test_no_row_carries_the_table_of_bands(spark):
+    bands = spark.createDataFrame([(0.0, 1.0, 0.0, 1.0), (1.0, 2.0, 1.0, 2.0)], "lo double, hi double, index_lo double, index_hi double")
+
+    def kinds(plan):
+        return [plan.schema().simpleString(), *(k for i in range(plan.children().size()) for k in kinds(plan.children().apply(i)))]
+
+    found = ts_ops.aqi_band(spark.range(3).select(F.col("id").cast("double").alias("x")), "x", bands)
+    assert [k for k in kinds(found._jdf.queryExecution().optimizedPlan()) if "array<" in k] == []
+    assert [r.aqi for r in found.collect()] == [0.0, 1.0, None]
+
+
 def test_many_labels(spark):
     df = spark.range(36_000).select("id", (F.col("id") % 12_000).alias("label"))
     sizes = ml.assign_split(df, "id", "label").groupBy("label").agg(
